@@ -7,15 +7,7 @@ import importlib
 #: Query name: module that has a function of this name.
 QUERIES = {
     "op1_packing": "packing",
-    "op2_warc": "warc",
-    "op3_line_dedup": "linededup",
-    "op4_decontamination": "decontam",
-    "op5_ogg": "ogg",
-    "op6_quality": "quality",
-    "op7_language": "langid",
     "op8_arrow_tokens": "arrowstore",
-    "op9_minhash": "minhash",
-    "op10_lm_scoring": "bloomlm",
 }
 
 
