@@ -7,6 +7,9 @@ import importlib
 #: Query name: module that has a function of this name.
 QUERIES = {
     "op1_packing": "packing",
+    "op2_warc": "warc",
+    "op5_ogg": "ogg",
+    "op7_language": "langid",
     "op8_arrow_tokens": "arrowstore",
 }
 
@@ -16,4 +19,14 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_warc": """
+            WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+                 d AS (SELECT page_id, octet_length(b) AS n, sha256(b) AS h FROM p),
+                 f AS (SELECT h, min(page_id) AS first FROM d GROUP BY h)
+            SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
+                   CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+                   CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
+            FROM d JOIN f USING (h)
+        """,
+    }
