@@ -75,3 +75,19 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 bytes of a string column; null gives b""."""
     return [x if x is not None else b"" for x in column.cast(pa.binary()).to_pylist()]
 
+
+
+def join_by_count(rows: DataFrame, table: DataFrame, key: str, count: str, total: int, how: str = "inner", share: int = 256) -> DataFrame:
+    """rows joined with a table that has one row for each key, and in `count` how many rows have it.
+
+    Keys with more than total / share rows, so fewer than `share` keys, are broadcast: their rows stay where they
+    are, however many they are. The other keys are joined by a shuffle, in which none is large.
+    """
+    limit = total // share
+    hot = table.filter(F.col(count) > limit).withColumn("_hot", F.lit(True))
+    cold = table.filter(F.col(count) <= limit)
+    names = [c for c in table.columns if c != key]
+    few = rows.join(F.broadcast(hot.select(key)), key, "left_semi").join(F.broadcast(hot), key)
+    many = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how)
+    columns = [*rows.columns, *names]
+    return few.select(*columns).unionByName(many.select(*columns))
