@@ -1,12 +1,70 @@
-"""The corpus pipeline: stages that filter and pack `documents`, each with the rows that the last one kept."""
+"""The corpus pipeline: language, repeated lines, near-duplicates, benchmark passages, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns the rows for the next one, which are written and read again in
+between; a stage works on all rows that its predecessor kept and learns from these alone. All but the last
+return the columns of `docs`. A stage deletes what the stages before left in the shared folder, which nothing reads
+any more once their result is written.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import common, decontam, langid, linededup, minhash, packing
+
+
+def _begin(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    common.tuned(spark)
+    common.discard(spark, docs.inputFiles())
+    return docs
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the model knows; those that it rejects go (null text, no letter, too far from all centroids)."""
+    docs = _begin(spark, docs)
+    return langid.identify(docs, langid.fit(docs)).filter("not rejected").select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the blocks of lines that an earlier one has; those of which nothing is left go. n_chars, if there, follows the text."""
+    docs = _begin(spark, docs)
+    rows = linededup.deduplicated(docs)
+    left = rows.filter("n_deleted = 0 or trim(text) <> ''")
+    if "n_chars" in docs.columns:
+        chars = F.when(F.col("n_deleted") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        left = left.withColumn("n_chars", chars.cast(docs.schema["n_chars"].dataType))
+    return left.select(*docs.columns)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest doc_id."""
+    docs = _begin(spark, docs)
+    gone = common.saved(minhash.near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    docs = _begin(spark, docs)
+    return decontam.without_matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences, as op1_packing gives them."""
+    import public_tokenizers
+
+    pieces = packing.pack(_begin(spark, docs), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
 
-STAGES: list = []
+STAGES = [("language", language), ("lines", lines), ("near", near), ("benchmark", benchmark), ("pack", pack)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The stages applied to documents; what each keeps is written to the shared folder."""
+    docs = common.documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = common.saved(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
