@@ -5,7 +5,8 @@ that is no letter counts as a space), hashed to DIMENSIONS buckets; weights are
 length. The idf comes from all training documents. The centroids of a language are a spherical k-means of at
 most PER_LANGUAGE of its training documents, chosen by a hash of doc_id. A text goes to the language of the
 centroid with the highest cosine; it is rejected if its distance is over that language's limit, which is
-REACH times the largest distance of a sampled document from its language's centroids (1 at most).
+REACH times the largest distance of a sampled document from its language's centroids, and between
+LEAST_LIMIT and 1: texts of a word or two are far from all centroids and still in a language.
 
 Null text, or text without a letter: `und`, score 0, rejected. No training rows: `und` for all. Equal texts get
 equal predictions; rows that repeat are predicted each. Null lang isn't learned from. Other columns are ignored.
@@ -28,6 +29,7 @@ CENTROIDS = 4
 #: Bound of the sample that the centroids of a language are fitted on (a documented parameter).
 PER_LANGUAGE = 1000
 REACH = 1.25
+LEAST_LIMIT = 0.9
 UNKNOWN = "und"
 
 _CLEAN = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
@@ -82,7 +84,7 @@ class Model:
             x = unit_vectors(count, idf)
             own = cluster(x, CENTROIDS)
             self.names += [name] * len(own)
-            self.limit += [min(1.0, REACH * float(1 - (x @ own.T).max(axis=1).min()))] * len(own)
+            self.limit += [min(1.0, max(LEAST_LIMIT, REACH * float(1 - (x @ own.T).max(axis=1).min())))] * len(own)
             centres.append(own)
         self.centres = np.concatenate(centres).astype(np.float32) if centres else np.zeros((0, DIMENSIONS), np.float32)
         self.limit = np.array(self.limit)
