@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.plans import registry
 
-PLANS = ("cleaning", "relational", "statistics", "matrices")
+PLANS = ("cleaning", "relational", "statistics", "matrices", "partitions")
 for _name in PLANS:
     import_module(f"tessera.plans.{_name}")
 
