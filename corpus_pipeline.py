@@ -23,25 +23,26 @@ def _begin(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model knows; those that it rejects go (null text, no letter, too far from all centroids)."""
     docs = _begin(spark, docs)
-    return langid.identify(docs, langid.fit(docs)).filter("not rejected").select(*docs.columns)
+    return langid.accepted(docs, langid.fit(docs))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the blocks of lines that an earlier one has; those of which nothing is left go. n_chars, if there, follows the text."""
     docs = _begin(spark, docs)
-    rows = linededup.deduplicated(docs)
+    aside = {c: f"__{c}" for c in ("n_lines", "n_deleted") if c in docs.columns}
+    rows = linededup.deduplicated(docs.withColumnsRenamed(aside))
     left = rows.filter("n_deleted = 0 or trim(text) <> ''")
     if "n_chars" in docs.columns:
         chars = F.when(F.col("n_deleted") > 0, F.length("text")).otherwise(F.col("n_chars"))
         left = left.withColumn("n_chars", chars.cast(docs.schema["n_chars"].dataType))
-    return left.select(*docs.columns)
+    return left.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest doc_id."""
     docs = _begin(spark, docs)
-    gone = common.saved(minhash.near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    gone = common.saved(minhash.near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -162,6 +162,17 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(*kept).mapInArrow(predict, out)
 
 
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, all columns as they are, whose text isn't rejected."""
+    at = docs.columns.index("text")
+
+    def keep(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            yield batch.filter(pa.array([not x for x in model.predict(batch.column(at).to_pylist())[2]], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     rows = identify(docs.select("doc_id", "text"), fit(docs))

@@ -1,0 +1,446 @@
+"""The operators on small tables: brute force, round trips, and odd input."""
+
+import hashlib
+import itertools
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+
+from tessera.llm import arrowstore, bloomlm, bytesvec, components, decontam, langid, linededup, minhash, ogg, packing, quality, tokens, warc
+from tests.llm.conftest import prose
+
+BPE = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def library_ids(text):
+    return [*tokens.encoder(BPE).model.encode(text or "", add_special_tokens=False).ids, 0]
+
+
+def shingles(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+# tokens
+
+
+def test_cached_ids_are_the_library_s():
+    texts = ["it's a test's  'll x1y2 \n\n foo \n bar baz×a ÷ <|endoftext|> don't", "", " ", "\n\n", "日本語 テスト、 a b c\x1cd e\x85f\xa0g", "a'b 's 'sx ('t) \t x", "é à,ü;ß\nÀ'é 12ab 3.4 .5", prose(500, 5)]
+    small = tokens.Encoder(BPE, slot_bits=4, pool=64)  # forgets all the time
+    for encode in (tokens.encoder(BPE), small, small):
+        for first, ids, offsets in encode.encode([t.encode() for t in texts]):
+            for k in range(len(offsets) - 1):
+                assert [*ids[offsets[k] : offsets[k + 1]], 0] == library_ids(texts[first + k])
+
+
+def test_borders_on_random_strings():
+    r = random.Random(1)
+    alphabet = "ab Z9'.,-\n\té×÷  一́s"
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randrange(40))) for _ in range(3000)]
+    for first, ids, offsets in tokens.encoder(BPE).encode([t.encode() for t in texts]):
+        for k in range(len(offsets) - 1):
+            assert [*ids[offsets[k] : offsets[k + 1]], 0] == library_ids(texts[first + k]), repr(texts[first + k])
+
+
+# 1 and 8
+
+
+def check_pieces(rows, texts):
+    ids = [np.array(library_ids(t), "<u4") for t in texts]
+    whole, sequences = {}, {}
+    for r in rows:
+        whole.setdefault((r.doc_id, r.doc_tokens), []).append((r.start, r.length, zlib.crc32(bytes(r.ids))))
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in sequences.values():
+        own.sort()
+        assert [o for o, _ in own] == [0, *itertools.accumulate(n for _, n in own)][:-1]
+        assert sum(n for _, n in own) <= 1024
+    assert sorted(sequences) == list(range(len(sequences)))
+    assert sum(r.length for r in rows) == sum(map(len, ids))
+    assert len(sequences) - 1 <= sum(map(len, ids)) / 1024 / 0.98
+    return whole, ids
+
+
+def test_packing_puts_each_id_in_one_piece(spark, odd_docs):
+    rows = packing.pack(odd_docs, BPE).collect()
+    texts = [r.text for r in odd_docs.collect()]
+    whole, _ = check_pieces(rows, texts)
+    own = np.array(library_ids(prose(60_000, 2)), "<u4")
+    at = 0
+    for start, n, crc in sorted(whole[7, len(own)]):
+        assert start == at and crc == zlib.crc32(own[at : at + n].tobytes())
+        at += n
+    assert at == len(own)
+
+
+def test_packing_of_equal_lengths_and_of_nothing(spark, make_docs):
+    text = prose(500, 3)
+    rows = packing.pack(make_docs([(i, text) for i in range(40)]), BPE).collect()
+    check_pieces(rows, [text] * 40)
+    assert packing.pack(make_docs([]), BPE).collect() == []
+
+
+def test_plan_covers_any_histogram():
+    r = np.random.default_rng(0)
+    for h in (r.integers(0, 50, 64), np.bincount([40] * 90, minlength=64), np.zeros(64, int), np.bincount([63] * 9 + [1] * 4, minlength=64)):
+        plan = packing.Plan(h, 64)
+        fill = {}
+        for n in np.flatnonzero(h):
+            seq, off, cut = plan.place(np.full(h[n], n), np.arange(h[n]))
+            for s, o, c in zip(seq.tolist(), off.tolist(), cut.tolist(), strict=True):
+                fill.setdefault(s, []).append((o, c))
+                if c < n:
+                    fill.setdefault(s + 1, []).append((0, n - c))
+        for own in fill.values():
+            own.sort()
+            assert [o for o, _ in own] == [0, *itertools.accumulate(n for _, n in own)][:-1] and sum(n for _, n in own) <= 64
+        assert len(fill) == plan.sequences
+
+
+def test_token_files_round_trip(spark, odd_docs):
+    manifest = arrowstore.write_tokens(odd_docs, BPE)
+    rows = arrowstore.read_tokens(spark, manifest, with_ids=True).collect()
+    rows.sort(key=lambda r: r.start)
+    docs = sorted(((r.doc_id if r.doc_id is not None else -1, r.text or "") for r in odd_docs.collect()))
+    at = 0
+    for r, (doc_id, _) in zip(rows, docs, strict=True):
+        assert (r.doc_id if r.doc_id is not None else -1) == doc_id and r.start == at and r.n_tokens == len(r.ids)
+        assert r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+        at += r.n_tokens
+    assert sorted(tuple(r.ids) for r in rows) == sorted(tuple(library_ids(t)) for _, t in docs)
+
+
+def test_token_files_random_access(spark, make_docs):
+    docs = make_docs([(i, prose(400, i)) for i in range(200)])
+    rows = arrowstore.write_tokens(docs.coalesce(1), BPE).orderBy("shard").collect()
+    file = arrowstore.SequenceFile(rows[0].path)
+    flat = np.concatenate(list(file.ids()))
+    assert len(flat) == rows[0].n_tokens
+    last = (len(flat) - 1) // file.width
+    for i in (0, last // 2, last):
+        ids, mask = file.sequence(i)
+        assert (ids[mask] == flat[i * file.width : (i + 1) * file.width]).all()
+    assert not file.sequence(last)[1][-1] or len(flat) % file.width == 0
+    assert arrowstore.read_tokens(spark, arrowstore.write_tokens(make_docs([]), BPE)).collect() == []
+
+
+# 2
+
+
+def test_warc_round_trip(spark):
+    big = "".join(random.Random(4).choices("abcdefgh\n", k=700_000))
+    same = "é" * 60
+    pages = [(3, "u 3", same), (1, "u1", same), (2, None, None), (5, "u5", "short"), (6, "u6", "short"), (7, "u7", big), (7, "u7", big), (8, "u8", big), (None, "u", same)]
+    df = spark.createDataFrame([(*p, "x", "y") for p in pages], "page_id long, url string, html string, digest string, first string")
+    rows = warc.read_chunks(warc.write_archives(df)).collect()
+    last = [r for r in rows if r["last"]]
+    assert len(last) == len(pages)
+    kinds = sorted((r.record_id, r.record_type, r.refers_to) for r in last)
+    urn = "<urn:page:{}>".format
+    want = [(urn(1), "response", None), (urn(2), "response", None), (urn(3), "revisit", urn(1)), (urn(5), "response", None), (urn(6), "response", None), (urn(7), "response", None), (urn(7), "response", None), (urn(8), "revisit", urn(7)), (urn(""), "revisit", urn(1))]
+    assert kinds == sorted(want, key=lambda x: x[:2])
+    parts = sorted((r for r in rows if r.record_id == urn(7)), key=lambda r: (r.chunk, r.offset))
+    assert len(parts) == 6 and all(len(r.data) <= warc.CHUNK for r in parts)
+    assert b"".join(bytes(r.data) for r in parts[::2]) == big.encode()
+    for r in parts:
+        assert r.sha256 == hashlib.sha256(big.encode()[: r.bytes]).hexdigest()
+    assert {r.payload_bytes for r in last if r.record_type == "revisit"} == {120, 700_000}
+    assert warc.write_archives(df.limit(0)).collect() == []
+
+
+def test_warc_refuses_a_changed_payload():
+    import io
+
+    data = bytearray(b"".join(bytes(x) for x in warc.record(1, "u", b"hello" * 30, hashlib.sha256(b"hello" * 30).hexdigest(), None, False)))
+    assert [r["bytes"] for r in warc.chunks(io.BufferedReader(io.BytesIO(bytes(data))))] == [150]
+    data[-10] ^= 1
+    with pytest.raises(ValueError):
+        list(warc.chunks(io.BufferedReader(io.BytesIO(bytes(data)))))
+
+
+# 3
+
+
+def test_patience():
+    assert linededup.patience(list("abcxdef"), list("abcydef")) == [(0, 0, 3), (4, 4, 3)]
+    assert linededup.patience(list("xabcy"), list("pqabcz")) == [(1, 2, 3)]
+    assert linededup.patience([], list("a")) == []
+    r = random.Random(2)
+    for _ in range(200):
+        a, b = ([r.choice("abcdefgh") for _ in range(r.randrange(12))] for _ in "ab")
+        blocks = linededup.patience(a, b)
+        assert all(a[i : i + n] == b[j : j + n] for i, j, n in blocks)
+        assert all(x[0] + x[2] <= y[0] and x[1] + x[2] <= y[1] for x, y in itertools.pairwise(blocks))
+
+
+def test_line_dedup(spark, make_docs):
+    line = [prose(14, k) for k in range(8)]
+    rows = [(1, "\n".join([line[0], "short", line[1]])), (2, "\n".join(["own words", line[0], "short", line[1], "end"])), (3, "\n".join([line[0], "short", line[1]])), (4, "short\n" + line[2]), (5, None), (6, ""), (3, "\n".join([line[0], "short", line[1]]))]
+    out = {(r.doc_id, i): r for i, r in enumerate(linededup.deduplicated(make_docs(rows)).orderBy("doc_id").collect())}
+    text = {k[0]: r.text for k, r in out.items()}
+    assert text == {1: rows[0][1], 2: "own words\nend", 3: "", 4: rows[3][1], 5: None, 6: ""}
+    assert {k[0]: r.n_deleted for k, r in out.items()} == {1: 0, 2: 3, 3: 3, 4: 0, 5: 0, 6: 0}
+    assert linededup.deduplicated(make_docs([])).collect() == []
+
+
+def test_line_dedup_of_odd_rows(spark, odd_docs):
+    out = linededup.deduplicated(odd_docs).collect()
+    assert len(out) == odd_docs.count()
+    by = {r.doc_id: r for r in out}
+    assert by[1].n_deleted == 0 and by[4].text == "" and by[9].text == "" and by[2].text is None and by[7].n_deleted == 0
+
+
+def test_a_line_that_all_share_is_cut_from_all_but_the_first(spark, make_docs):
+    shared = prose(60, 99)
+    out = {r.doc_id: r.text for r in linededup.deduplicated(make_docs([(i, f"{prose(12, i)}\n{shared}\n{prose(12, 1000 + i)}") for i in range(60)])).collect()}
+    assert shared in out[0] and all(shared not in out[i] and out[i].count("\n") == 1 for i in range(1, 60))
+
+
+# 4
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_myers_against_brute_force():
+    r = random.Random(3)
+    for _ in range(300):
+        p, t = ("".join(r.choice("abc") for _ in range(r.randrange(1, n))) for n in (9, 16))
+        best = min(edit_distance(p, t[i:j]) for i in range(len(t) + 1) for j in range(i, len(t) + 1))
+        found = decontam.distances(p, t, 4)
+        assert (found[0] if found else 5) == min(best, 5)
+
+
+def test_decontamination(spark, make_docs):
+    item = prose(40, 7)
+    near = item[:50] + "#" + item[52:120] + "qq" + item[120:]
+    far = "".join(c if i % 9 else "z" for i, c in enumerate(item))
+    docs = make_docs([(1, f"{prose(200, 8)} {item}, and more"), (2, f"{prose(20, 9)}\n{near.upper()}"), (3, far), (4, None), (5, ""), (6, prose(300, 10)), (7, item), (7, item)])
+    bench = spark.createDataFrame([(1, item), (2, None), (3, "!!!"), (4, prose(30, 500))], "item_id long, text string")
+    rows = decontam.matches(docs, bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in rows) == [(1, 1), (2, 1), (7, 1), (7, 1)]
+    assert {r.doc_id: r.distance for r in rows}[1] == 0 and 0 < {r.doc_id: r.distance for r in rows}[2] <= len(item) // 20
+    assert sorted(r.doc_id for r in decontam.without_matches(docs, bench).collect()) == [3, 4, 5, 6]
+    assert decontam.matches(make_docs([]), bench).collect() == [] == decontam.matches(docs, bench.limit(0)).collect()
+
+
+# 5
+
+
+def test_ogg_round_trip():
+    r = random.Random(5)
+    for n in (0, 1, 63, 64, 255, 4096, 61_440, 65_025, 300_001):
+        raw = r.randbytes(n)
+        payload = raw + b"\0" * (-n % 64 if n else 64)
+        media = ogg.encode(payload, n)
+        assert ogg.decode(media)[:2] == (payload, n)
+        assert ogg.decode(media)[2][-1] == len(payload) / ogg.RATE
+        bad = bytearray(media)
+        bad[len(bad) // 2] ^= 4
+        with pytest.raises(ValueError):
+            ogg.decode(bytes(bad))
+
+
+def test_ogg_packets_go_on_over_pages():
+    long, other = ogg.LogicalStream(7), ogg.LogicalStream(9)
+    packets = [(b"a" * 200_000, 1), (b"", 2), (b"b" * 510, 3), (b"c" * 65_025, 4)]
+    mine, theirs = long.pages(packets, first=True, last=True), other.pages([(b"x", 1), (b"y" * 70_000, 2)], first=True, last=True)
+    mixed = b"".join(x for pair in itertools.zip_longest(mine, theirs) for x in pair if x)
+    found = ogg.demultiplex(mixed)
+    assert [p for p, _ in found[7]] == [p for p, _ in packets] and [p for p, _ in found[9]] == [b"x", b"y" * 70_000]
+    with pytest.raises(ValueError):
+        ogg.demultiplex(b"".join(mine[:1] + mine[2:]))
+
+
+def test_ogg_checksum_is_the_standard_s():
+    crc = 0
+    data = bytes(range(200))
+    for byte in data:
+        crc ^= byte << 24
+        for _ in range(8):
+            crc = (crc << 1 ^ 0x04C11DB7 if crc & 0x80000000 else crc << 1) & 0xFFFFFFFF
+    assert ogg.checksum(data) == crc
+
+
+def test_ogg_features_of_odd_rows(spark, odd_docs):
+    rows = ogg.features_of(ogg.media_of(odd_docs)).collect()
+    assert len(rows) == odd_docs.count()
+    assert len({(r.media_sha256, r.feature, r.payload_sha256) for r in rows if r.doc_id in (1, 4, 9)}) == 1
+    assert {r.payload_bytes for r in rows if r.doc_id in (2, 3)} == {64}
+
+
+# 6
+
+
+def test_quality_orders_grades(spark, make_docs):
+    r = random.Random(6)
+    rows, labels = [], []
+    for i in range(600):
+        bad, poor = i % 6 == 0, i % 3 == 1
+        words = prose(30, i).split() + (["awful", "scum"] if bad else []) + (["$$$", "!!"] if poor else [])
+        r.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(not poor), int(bad)))
+    docs, rated = make_docs(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    out = {x.doc_id: x for x in quality.grade(docs, quality.fit(docs, rated.filter("doc_id < 400"))).collect()}
+    held = [(out[i], t, q) for i, q, t in labels if i >= 400]
+    assert all(x.keep != bool(t) for x, t, _ in held)
+    assert min(x.expected_grade for x, t, q in held if not t and q) > max(x.expected_grade for x, t, _ in held if t)
+    assert all(x.p_at_least_1 >= x.p_at_least_2 for x, _, _ in held)
+
+
+def test_quality_without_labels_and_with_odd_rows(spark, odd_docs):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    rows = quality.grade(odd_docs, quality.fit(odd_docs, none)).collect()
+    assert len(rows) == odd_docs.count() and {r.p_at_least_1 for r in rows} == {0.5}
+
+
+# 7
+
+
+def language_rows(n):
+    kinds = {"aa": "abaca gaba daca baga", "bb": "ximo zexo vizo moxe", "cc": "trulp krund sprolk"}
+    return [(i, " ".join(random.Random(i).choices(words.split(), k=20)), name) for i, (name, words) in zip(range(n), itertools.cycle(kinds.items()), strict=False)]
+
+
+def test_language_of_held_out_rows(spark, make_docs):
+    rows = language_rows(300)
+    docs = make_docs([*rows, (900, None, "aa"), (901, "123 ...", "aa"), (902, "", "bb"), (903, "abaca gaba", None)])
+    out = {r.doc_id: r for r in langid.identify(docs.select("doc_id", "text"), langid.fit(docs)).collect()}
+    assert all(out[i].lang_pred == name for i, _, name in rows)
+    assert {out[i].lang_pred for i in (900, 901, 902)} == {"und"} and out[900].rejected and out[900].score == 0
+    assert out[903].lang_pred == "aa" and 0 < out[903].score <= 1
+    assert langid.accepted(docs, langid.fit(docs)).count() == 301
+
+
+def test_language_without_training_rows(spark, make_docs, odd_docs):
+    docs = make_docs([(1, "some words", None), (2, None, "en")])
+    assert {(r.lang_pred, r.score) for r in langid.identify(docs, langid.fit(docs)).collect()} == {("und", 0.0)}
+    assert langid.identify(make_docs([]), langid.fit(make_docs([]))).collect() == []
+    assert langid.identify(odd_docs, langid.fit(odd_docs)).count() == odd_docs.count()
+
+
+def test_features_don_t_depend_on_neighbours():
+    texts = ["one two", "three", "", "one two"]
+    together = np.concatenate([c for _, c in langid.counts(texts)])
+    alone = np.concatenate([c for t in texts for _, c in langid.counts([t])])
+    assert (together == alone).all()
+
+
+# 9
+
+
+def brute_components(rows):
+    sets = {d: shingles(t) for d, t in rows}
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        both = len(sets[a] & sets[b])
+        if both and 100 * both >= 75 * len(sets[a] | sets[b]):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    return {d: (len(s), find(d)) for d, s in sets.items()}
+
+
+def test_near_duplicates_against_brute_force(spark, make_docs, monkeypatch):
+    r = random.Random(7)
+    rows = []
+    for family in range(6):
+        words = prose(120, family).split()
+        for _ in range(45):
+            own = list(words)
+            for _ in range(r.randrange(6)):
+                own[r.randrange(len(own))] = f"w{r.randrange(10**6)}"
+            rows.append((len(rows) * 3 + 1, " ".join(own)))
+    rows += [(2000 + i, rows[5][1].upper()) for i in range(30)] + [(3000, None), (3001, ""), (3002, "one two"), (3003, "ONE  two"), (3004, "two one"), (3005, prose(2000, 70))]
+    want = brute_components(rows)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in minhash.near_duplicates(make_docs(rows)).collect()}
+    assert got == want
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in minhash.near_duplicates(make_docs(rows)).collect()} == want
+
+
+def test_near_duplicates_of_odd_rows(spark, odd_docs, make_docs):
+    rows = minhash.near_duplicates(odd_docs).collect()
+    assert len(rows) == odd_docs.count()
+    by = {r.doc_id: r for r in rows}
+    assert by[4].component_id == by[9].component_id == 1 and not by[4].kept and by[1].kept
+    assert by[2].n_shingles == 0 and by[2].kept and by[3].component_id == 3 and by[None].component_id is None
+    assert minhash.near_duplicates(make_docs([])).collect() == []
+
+
+def test_components(spark):
+    edges = [(1, 2), (2, 3), (10, 11), (5, 3), (7, 7), (20, 19), (19, 18), (18, 17), (17, 16)]
+    out = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert out == {1: 1, 2: 1, 3: 1, 5: 1, 10: 10, 11: 10, 16: 16, 17: 16, 18: 16, 19: 16, 20: 16}
+    assert components.components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+# 10
+
+
+def test_language_model_counts_are_exact(spark, odd_docs, monkeypatch):
+    from collections import Counter
+
+    docs = odd_docs.filter("doc_id is not null").withColumn("held", odd_docs.doc_id > 8)
+    rows = [(r.doc_id, (r.text or "").encode().lower().split() + [b" end"], r.held) for r in docs.collect()]
+    c = Counter(w for _, own, held in rows if not held for w in own)
+    n, v = sum(c.values()), len(c)
+    want = sorted((d, len(own), sum(c[w] > 0 for w in own), round(sum(np.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in own), 4)) for d, own, _ in rows)
+    for head in (1 << 20, 4):  # with few words broadcast, the others come by the join
+        monkeypatch.setattr(bloomlm, "HEAD", head)
+        model, tail = bloomlm.fit(docs.filter("not held"))
+        assert (model.total, model.distinct) == (n, v) and len(model.keys) <= head
+        out = bloomlm.score(docs, model, tail).collect()
+        assert sorted((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 4)) for r in out) == want
+        assert all(r.train_tokens == n and r.score <= 0 for r in out)
+
+
+def test_filter_has_no_false_negatives_and_few_false_positives():
+    r = np.random.default_rng(8)
+    keys = r.integers(0, 1 << 64, 5000, dtype=np.uint64)
+    level = r.integers(1, 5, 5000)
+    per = 128_000 >> 4
+    bits = np.zeros((16, per), np.uint8)
+    for j in range(1, 5):
+        own = keys[level >= j]
+        for place in bloomlm.Filter.places(own, 1, j, per):
+            bits[(own >> np.uint64(60)).astype(int), place.astype(int)] = 1
+    f = bloomlm.Filter(np.packbits(bits.ravel(), bitorder="little"), 4, per)
+    assert (f.levels(keys, 1) >= level).all()
+    assert (f.levels(r.integers(0, 1 << 64, 5000, dtype=np.uint64), 1) > 0).mean() < 0.05
+
+
+def test_language_model_of_no_rows(spark, make_docs):
+    docs = make_docs([(1, "some words")]).drop("held").selectExpr("*", "true AS held")
+    model, tail = bloomlm.fit(docs.filter("not held"))
+    row = bloomlm.score(docs, model, tail).first()
+    assert (row.n_tokens, row.n_known, row.train_tokens) == (3, 0, 0)
+
+
+# bytes
+
+
+def test_words_and_hashes():
+    texts = [b"One two\tTHREE\x0bfour", b"", b"  ", "é É".encode(), b"x" * 1_000_000 + b" y"]
+    _, starts, ends, hashes, before = bytesvec.words(texts)
+    assert np.diff(before).tolist() == [4, 0, 0, 2, 2]
+    alone = np.concatenate([bytesvec.words([t])[3] for t in texts])
+    assert (alone == hashes).all() and len(set(hashes.tolist())) == 8
+    assert (bytesvec.words([b"three"])[3] == hashes[2]).all()
+    assert pa.array([1]).type == pa.int64()
