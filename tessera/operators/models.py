@@ -94,8 +94,10 @@ def permanova(spark: SparkSession, distance: np.ndarray, groups: np.ndarray, per
     return {"pseudo_f": seen, "r2": seen * (k - 1) / (seen * (k - 1) + n - k), "p": (over + 1) / (permutations + 1), "n": n, "groups": int(k)}
 
 
-def bootstrap_delta(spark: SparkSession, a: np.ndarray, b: np.ndarray, repeats: int = 2000, seed: int = 0) -> tuple[float, float, float]:
-    """Cliff's delta with its 95 % percentile interval; repeats run in tasks."""
+def bootstrap_delta(spark: SparkSession, a: np.ndarray, b: np.ndarray, repeats: int = 2000, seed: int = 0) -> tuple[float | None, float | None, float | None]:
+    """Cliff's delta with its 95 % percentile interval, None if a group is empty; repeats run in tasks."""
+    if not len(a) or not len(b):
+        return None, None, None
     shared = spark.sparkContext.broadcast((np.sort(a), np.sort(b)))
 
     def delta(x: np.ndarray, y: np.ndarray) -> float:
