@@ -110,11 +110,7 @@ def group_means(p: DataFrame, groups: DataFrame, key: str, group: str) -> DataFr
 
 def silhouette(p: DataFrame, groups: DataFrame, key: str, group: str) -> DataFrame:
     """(i, own, nearest, s): (b - a) / max(a, b); 0 for one alone in its group."""
-    m = group_means(p, groups, key, group)
-    a = F.max(F.when(F.col("g") == F.col("own"), F.col("mean")))
-    b = F.min(F.when(F.col("g") != F.col("own"), F.struct("mean", "g")))
-    x = m.groupBy("i", "own").agg(a.alias("a"), b.alias("b"))
-    return x.select("i", "own", F.col("b.g").alias("nearest"), F.coalesce(F.try_divide(F.col("b.mean") - F.col("a"), F.greatest("a", F.col("b.mean"))), F.lit(0.0)).alias("s"))
+    return silhouette_of(group_means(p, groups, key, group))
 
 
 def block_means(p: DataFrame, groups: DataFrame, key: str, group: str) -> DataFrame:
@@ -122,3 +118,34 @@ def block_means(p: DataFrame, groups: DataFrame, key: str, group: str) -> DataFr
     a = groups.select(F.col(key).alias("i"), F.col(group).alias("gi"))
     b = groups.select(F.col(key).alias("j"), F.col(group).alias("gj"))
     return p.join(a, "i").join(b, "j").groupBy(F.least("gi", "gj").alias("g"), F.greatest("gi", "gj").alias("h")).agg(F.avg("value").alias("mean"), F.count("*").alias("n"))
+
+
+def cosine_group_means(df: DataFrame, key: str, vector: str, group: str) -> DataFrame:
+    """As group_means of the cosine distances, without the pairs: the mean of 1 - u v over a group's v is 1 - u S / n, S the
+    group's sum of unit vectors, itself left out. Work and rows grow with rows times groups, not with the square of rows."""
+    rows = unit_rows(df.select(F.col(key).alias("i"), F.col(group).alias("own"), vector), vector)
+    sums = rows.select("own", F.posexplode(vector).alias("pos", "x")).groupBy("own", "pos").agg(F.sum("x").alias("x"))
+    sums = sums.groupBy(F.col("own").alias("g")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda e: e["x"]).alias("s"))
+    sums = sums.join(rows.groupBy(F.col("own").alias("g")).agg(F.count("*").alias("size")), "g")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+    mine = F.col("own") == F.col("g")
+    n = F.col("size") - F.when(mine, 1).otherwise(0)
+    total = dot(vector, "s") - F.when(mine, dot(vector, vector)).otherwise(0.0)
+    small = sums.count() <= 10_000  # groups; with more, Spark chooses
+    out = rows.crossJoin(F.broadcast(sums) if small else sums).filter(n > 0)
+    return out.select("i", "g", (1 - total / n).alias("mean"), n.cast("long").alias("n"), "own")
+
+
+def silhouette_of(means: DataFrame) -> DataFrame:
+    """(i, own, nearest, s) of group means; 0 for one alone in its group."""
+    a = F.max(F.when(F.col("g") == F.col("own"), F.col("mean")))
+    b = F.min(F.when(F.col("g") != F.col("own"), F.struct("mean", "g")))
+    x = means.groupBy("i", "own").agg(a.alias("a"), b.alias("b"))
+    return x.select("i", "own", F.col("b.g").alias("nearest"), F.coalesce(F.try_divide(F.col("b.mean") - F.col("a"), F.greatest("a", F.col("b.mean"))), F.lit(0.0)).alias("s"))
+
+
+def cosine_block_means(df: DataFrame, key: str, vector: str, group: str) -> DataFrame:
+    """As block_means of the cosine distances, from the groups' means: (g, h, mean, n), g <= h."""
+    m = cosine_group_means(df, key, vector, group)
+    total = m.groupBy(F.least("own", "g").alias("g"), F.greatest("own", "g").alias("h")).agg(F.sum(F.col("mean") * F.col("n")).alias("t"), F.sum("n").alias("n"))
+    return total.select("g", "h", (F.col("t") / F.col("n")).alias("mean"), (F.col("n") / 2).cast("long").alias("n"))

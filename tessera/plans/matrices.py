@@ -91,7 +91,7 @@ def mat10(spark, d):
 
 @query("mat11_block_means", f"WITH {_P} SELECT least(li, lj) AS g, greatest(li, lj) AS h, round(avg(value), 6) AS mean, count(*) AS n FROM p GROUP BY 1, 2")
 def mat11(spark, d):
-    return _r(M.block_means(_cosine(spark, d), _vectors(spark, d), "vec_id", "label"), 6, "mean")
+    return _r(M.cosine_block_means(_vectors(spark, d), "vec_id", "embedding", "label"), 6, "mean")
 
 
 _NN = "a AS (SELECT i, j FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY value, j) AS r FROM w) WHERE r <= 10), q AS (SELECT x.vec_id AS i, y.vec_id AS j, list_distance(x.v, y.v) AS value FROM e x JOIN e y ON x.vec_id <> y.vec_id), b AS (SELECT i, j FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY value, j) AS r FROM q) WHERE r <= 10), n AS (SELECT a.i, count(*) AS c FROM a JOIN b ON a.i = b.i AND a.j = b.j GROUP BY 1)"
@@ -119,7 +119,7 @@ _S = f"{_B}, g AS (SELECT i, li, lj, avg(value) AS m FROM w GROUP BY 1, 2, 3)"
 
 @query("mat15_margins", f"WITH {_S}, x AS (SELECT i, li, max(CASE WHEN li = lj THEN m END) AS a, min(CASE WHEN li <> lj THEN m END) AS b FROM g GROUP BY 1, 2) SELECT li AS label, round(median(b - a), 6) AS margin, round(avg(CASE WHEN b - a > 0 THEN 1.0 ELSE 0 END), 6) AS positive FROM x GROUP BY 1")
 def mat15(spark, d):
-    m = M.group_means(_cosine(spark, d), _vectors(spark, d), "vec_id", "label")
+    m = M.cosine_group_means(_vectors(spark, d), "vec_id", "embedding", "label")
     own = F.max(F.when(F.col("g") == F.col("own"), F.col("mean")))
     other = F.min(F.when(F.col("g") != F.col("own"), F.col("mean")))
     x = m.groupBy("i", "own").agg((other - own).alias("gap"))
@@ -128,7 +128,7 @@ def mat15(spark, d):
 
 @query("mat17_silhouette", f"WITH {_S}, x AS (SELECT i, li, max(CASE WHEN li = lj THEN m END) AS a, min(CASE WHEN li <> lj THEN m END) AS b, arg_min(lj, CASE WHEN li <> lj THEN m END) AS near FROM g GROUP BY 1, 2) SELECT i, li AS own, near AS nearest, round((b - a) / greatest(a, b), 6) AS s FROM x")
 def mat17(spark, d):
-    return _r(M.silhouette(_cosine(spark, d), _vectors(spark, d), "vec_id", "label"), 6, "s")
+    return _r(M.silhouette_of(M.cosine_group_means(_vectors(spark, d), "vec_id", "embedding", "label")), 6, "s")
 
 
 @query("mat24_robust_scaling", "WITH q AS (SELECT p_type, median(p_retailprice) AS m, quantile_cont(p_retailprice, 0.75) - quantile_cont(p_retailprice, 0.25) AS r FROM part GROUP BY 1) SELECT p_partkey, round((p_retailprice - m) / r, 6) AS scaled FROM part JOIN q USING (p_type)")
@@ -147,5 +147,5 @@ def mat20(spark, d):
 
 @query("mat28_medoids", f"WITH {_B}, m AS (SELECT i, li, avg(value) AS m FROM w WHERE li = lj GROUP BY 1, 2) SELECT li AS label, arg_min(i, struct_pack(a := round(m, 9), b := i)) AS medoid FROM m GROUP BY 1")
 def mat28(spark, d):
-    m = M.group_means(_cosine(spark, d), _vectors(spark, d), "vec_id", "label").filter("g = own")
+    m = M.cosine_group_means(_vectors(spark, d), "vec_id", "embedding", "label").filter("g = own")
     return m.groupBy(F.col("own").alias("label")).agg(F.min_by("i", F.struct(F.round("mean", 9), "i")).alias("medoid"))

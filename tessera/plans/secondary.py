@@ -182,7 +182,7 @@ def rul20(spark, d):
 
 @query("sec8_core_geometry", f"WITH {BOTH}, g AS (SELECT i, li, lj, avg(value) AS m FROM w GROUP BY 1, 2, 3), x AS (SELECT i, li, max(CASE WHEN li = lj THEN m END) AS a, min(CASE WHEN li <> lj THEN m END) AS b FROM g GROUP BY 1, 2) SELECT li AS label, round(median((b - a) / greatest(a, b)), 6) AS silhouette FROM x GROUP BY 1")
 def sec8(spark, d):
-    s = M.silhouette(_cosine(spark, d), _vectors(spark, d), "vec_id", "label")
+    s = M.silhouette_of(M.cosine_group_means(_vectors(spark, d), "vec_id", "embedding", "label"))
     return s.groupBy(F.col("own").alias("label")).agg(F.round(F.median("s"), 6).alias("silhouette"))
 
 
