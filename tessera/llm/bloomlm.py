@@ -35,7 +35,7 @@ BITS = 1 << 28
 BITS_PER_ENTRY = 10
 PROBES = 6
 LEAST_PAIR = 2
-_FLUSH = 4_000_000
+_FLUSH = 1_000_000
 _END = np.uint64(0x656E64)
 _LOW = np.uint64((1 << 48) - 1)
 WORD, PAIR = 0, 1
