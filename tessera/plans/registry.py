@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.session import on_workers
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -14,7 +16,7 @@ def query(name: str, sql: str | None = None):
     """Register the function as a query of this name, with the DuckDB SQL for its rows."""
 
     def keep(f):
-        QUERIES[name] = f
+        QUERIES[name] = lambda spark, sf_dir: f(on_workers(spark), sf_dir)
         if sql:
             SQL[name] = sql
         return f
