@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import on_workers
+
 #: Rows and bytes of an Arrow batch that goes to a Python worker: whole texts, so few rows.
 ROWS_PER_BATCH = 1000
 BYTES_PER_BATCH = 1 << 24
@@ -18,6 +20,7 @@ _made: list[str] = []
 
 
 def tuned(spark: SparkSession) -> SparkSession:
+    on_workers(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_PER_BATCH))
     return spark
