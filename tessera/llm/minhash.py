@@ -130,15 +130,14 @@ def _same(a: bytes, b: bytes) -> bool:
     return 100 * common >= PERCENT * (len(x) + len(y) - common)
 
 
-def _linked(members: DataFrame, total: int, exact: bool) -> DataFrame:
-    """Links u, v that join all that is close within each key; members: key, node, score, signature (and shingles)."""
+def _linked(members: DataFrame, nodes: DataFrame, total: int, exact: bool) -> DataFrame:
+    """Links u, v that join all that is close within each key; members: key, node, score; nodes: node, signature (and shingles), each node once."""
     extra = ["shingles"] if exact else []
-    members = members.select("key", "node", "score", "signature", *extra)
-    narrow = members.select("key", "node", "score")
-    hubs = narrow.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("score", (-F.col("node")).alias("least"), "node"))["node"].alias("hub")).filter("n > 1")
+    hubs = members.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("score", (-F.col("node")).alias("least"), "node"))["node"].alias("hub")).filter("n > 1")
     hubs = saved(hubs, "hubs")
-    own = members.select(F.col("node").alias("hub"), *[F.col(c).alias(f"hub_{c}") for c in ("signature", *extra)])
-    own = own.dropDuplicates(["hub"]).join(hubs.select("hub").distinct(), "hub", "left_semi")
+    # written, so that a hub with very many members meets a plain scan: the join's large partitions can then be split
+    own = nodes.select(F.col("node").alias("hub"), *[F.col(c).alias(f"hub_{c}") for c in ("signature", *extra)])
+    own = saved(own.join(hubs.select("hub").distinct(), "hub", "left_semi"), "own")
 
     def test(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
@@ -152,16 +151,16 @@ def _linked(members: DataFrame, total: int, exact: bool) -> DataFrame:
                     close[i] = _same(columns["shingles"][i].as_py(), columns["hub_shingles"][i].as_py())
             yield pa.RecordBatch.from_arrays([columns["node"], columns["hub"], pa.array(close)], names=["node", "hub", "close"])
 
-    spokes = join_by_count(narrow.select("key", "node"), hubs, "key", "n", total).filter("node <> hub")
+    spokes = join_by_count(members.select("key", "node"), hubs, "key", "n", total).filter("node <> hub")
     pairs = spokes.select("node", "hub").distinct() if not exact else spokes.select("node", "hub")
-    pairs = pairs.join(members.select("node", "signature", *extra).dropDuplicates(["node"]), "node").join(own, "hub")
+    pairs = pairs.join(nodes, "node").join(own, "hub")
     tested = saved(pairs.mapInArrow(test, "node long, hub long, close boolean"), "spokes")
     star = tested.filter("close").select(F.col("node").alias("u"), F.col("hub").alias("v"))
 
     far = spokes.join(tested.filter("not close").select("node", "hub"), ["node", "hub"], "left_semi").select("key", "node")
     far = saved(far, "far")
     sizes = saved(far.groupBy("key").agg(F.count("*").alias("n_far")).join(hubs, "key").filter("n > 2").select("key", "hub", "n", "n_far"), "open")
-    rows = join_by_count(members.drop("score"), sizes, "key", "n", total)
+    rows = join_by_count(members.select("key", "node"), sizes, "key", "n", total).join(nodes, "node")
     rows = rows.join(far.withColumn("far", F.lit(True)), ["key", "node"], "left").filter("node <> hub")
     blocks, far_blocks = f"int(ceil(n / {BLOCK}))", f"int(ceil(n_far / {BLOCK}))"
     place = F.xxhash64("node", F.lit(7))
@@ -211,10 +210,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = classes.select("node", F.explode("bands").alias("key"))
     buckets = saved(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
     members = saved(join_by_count(rows, buckets, "key", "n", total), "members")
-    scores = members.groupBy("node").agg(F.sum("n").alias("score"))
+    scores = saved(members.groupBy("node").agg(F.sum("n").alias("score")), "scores")
     candidates = saved(scores.join(classes.select("node", "signature", "doc"), "node"), "candidates")
-    bucketed = members.select("key", "node").join(candidates.select("node", "score", "signature"), "node")
-    families = components(_linked(bucketed, total, False))
+    bucketed = saved(members.select("key", "node").join(scores, "node"), "bucketed")
+    families = components(_linked(bucketed, candidates.select("node", "signature"), total, False))
     families = saved(families.withColumnRenamed("component", "key").join(candidates, "node"), "families")
 
     def shingles(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,8 +229,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if n_families <= 1_000_000:  # 8 bytes each; with more, the join is a shuffle
         wanted = F.broadcast(wanted)
     texts = docs.withColumn("doc", F.col("doc_id").cast("long")).select("doc", "text").join(wanted, "doc", "left_semi").select("text")
-    full = saved(texts.mapInArrow(shingles, "class binary, shingles binary").select(number, "shingles"), "sets").dropDuplicates(["node"])
-    found = saved(components(_linked(families.drop("doc").join(full, "node"), n_families, True)).join(candidates.select("node", "doc"), "node"), "found")
+    full = texts.mapInArrow(shingles, "class binary, shingles binary").select(number, "shingles").dropDuplicates(["node"])
+    full = saved(full.join(families.select("node", "signature"), "node").select("node", "signature", "shingles"), "sets")
+    found = saved(components(_linked(families.select("key", "node", "score"), full, n_families, True)).join(candidates.select("node", "doc"), "node"), "found")
     least = found.groupBy("component").agg(F.min("doc").alias("least"), F.count("*").alias("n"))
     found = join_by_count(found.select("node", "component"), least, "component", "n", n_families).select("node", "least")
     parts = classes.select("class", "copies", "doc", "node").join(found, "node", "left").withColumn("component", F.coalesce("least", "doc"))
