@@ -193,12 +193,15 @@ def fit(docs: DataFrame, counts: DataFrame | None = None) -> tuple[Model, DataFr
     counts = counts if counts is not None else count(docs)
 
     def classes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, mass = np.zeros(128, np.int64), np.zeros(128, np.int64)
         for batch in parts:
             for kind, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 c = np.frombuffer(raw, np.int64)
-                level = _levels(c, 1) - 1
-                n, mass = np.bincount(level, minlength=64), np.bincount(level, c, minlength=64)
-                yield pa.RecordBatch.from_pydict({"kind": pa.array([kind] * 64, pa.int32()), "class": pa.array(range(64), pa.int32()), "n": pa.array(n, pa.int64()), "mass": pa.array(mass.astype(np.int64))})
+                place = 64 * kind + _levels(c, 1) - 1
+                n += np.bincount(place, minlength=128)
+                mass += np.bincount(place, c, minlength=128).astype(np.int64)
+        own = np.flatnonzero(n)
+        yield pa.RecordBatch.from_pydict({"kind": pa.array(own // 64, pa.int32()), "class": pa.array(own % 64, pa.int32()), "n": pa.array(n[own]), "mass": pa.array(mass[own])})
 
     sums = counts.select("kind", "counts").mapInArrow(classes, "kind int, class int, n long, mass long").groupBy("kind", "class").agg(F.sum("n").alias("n"), F.sum("mass").alias("mass"))
     n, mass = np.zeros((2, 64), np.int64), np.zeros((2, 64), np.int64)
