@@ -2,7 +2,8 @@
 
 Counting: each task counts the words and the pairs of neighbours of its training texts (64-bit hashes; of a
 pair, 48 bits beside those of its bucket), combines them, and sends sorted arrays by bucket; a bucket, a share
-of the hashes, adds up what it gets. The number of buckets follows the session's shuffle partitions.
+of the hashes, adds up what it gets. There are two to four buckets for each of the
+session's shuffle partitions, so a task sends about as many rows as any shuffle has blocks.
 
 Exact part: words with a count of at least 2**b, b the least with HEAD words or fewer, are broadcast with their
 counts; the counts of the others come by a join. So N, V, n_known and base_score are exact at every size.
@@ -58,8 +59,8 @@ def pairs(tokens: np.ndarray, offsets: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _bits(docs: DataFrame) -> int:
-    n = 16 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(16, max(4, (n - 1).bit_length()))
+    n = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(20, max(4, (n - 1).bit_length()))
 
 
 def count(docs: DataFrame) -> DataFrame:
