@@ -6,14 +6,16 @@ of the hashes, adds up what it gets. There are two to four buckets for each of t
 session's shuffle partitions, so a task sends about as many rows as any shuffle has blocks.
 
 Exact part: words with a count of at least 2**b, b the least with HEAD words or fewer, are broadcast with their
-counts; the counts of the others come by a join. So N, V, n_known and base_score are exact at every size.
+counts; the counts of the others lie in blocks. So N, V, n_known, base_score and P0 are exact at every size.
 
-Model: P(w | u) = L * c(u w) / c(u) + (1 - L) * P0(w), P0 the smoothed unigram, L the share of all training pairs
-that the filter holds. Counts of pairs, and of words that aren't broadcast, come from the filter: a count in
-[least * 2**(j-1), least * 2**j) is stored as level j, that is as j entries, and a lookup probes level after level until
-one is missing. A level stands for 1.4 times its lower end. The filter has at most BITS bits (the bound of what
-is broadcast); pairs seen once are left out, and as the corpus grows, so are the classes of counts (by powers
-of two) that would bring it under BITS_PER_ENTRY bits an entry: their words are then scored by the unigram.
+Model: P(w | u) = L * c(u w) / c(u) + (1 - L) * P0(w), P0 the smoothed unigram, 1 - L the share of training pairs
+that were seen once (Good and Turing's mass of the unseen). Counts of pairs come from the filter, which holds all of
+them: a count in [2**(j-1), 2**j) is stored as level j, that is as j entries, and a lookup probes level after level until
+one is missing. Level 1 is a count of 1, another level stands for 1.4 times its lower end.
+
+The filter has BITS_PER_ENTRY bits an entry, so it grows with the corpus. It is cut by ranges of keys into blocks of at
+most PIECE keys each, in files of the shared folder. A task of the scoring gathers PROBE tokens, sorts their distinct
+keys and goes through the blocks, of which it holds a few at a time; no size makes the model leave anything out.
 
 Words are `[^\\x20\\x09-\\x0D]+` with A-Z in lower case, and an end. Null or empty text is one end. Rows that repeat
 are counted and scored each. With no training rows, N = 0 and V = 0. Null doc_id counts as the text "".
@@ -29,13 +31,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bytesvec import batches, mix, words
-from tessera.llm.common import documents, saved, texts_of, unit
+from tessera.llm.common import documents, files_at, saved, texts_of, unit
 
 HEAD = 1 << 20
-BITS = 1 << 28
 BITS_PER_ENTRY = 10
 PROBES = 6
-LEAST_PAIR = 2
+PIECE = 1 << 18
+PROBE = 1 << 22
 _FLUSH = 1_000_000
 _END = np.uint64(0x656E64)
 _LOW = np.uint64((1 << 48) - 1)
@@ -64,7 +66,7 @@ def _bits(docs: DataFrame) -> int:
 
 
 def count(docs: DataFrame) -> DataFrame:
-    """Counts by kind and bucket: kind int, bucket int, keys binary (sorted uint64), counts binary (int64)."""
+    """Counts by kind and range of keys, PIECE of them at most: kind int, bucket int, keys binary (sorted uint64), counts binary (see _small)."""
     bits = _bits(docs)
     cut = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
 
@@ -122,14 +124,22 @@ def count(docs: DataFrame) -> DataFrame:
         k, c = k[order], c[order]
         first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
         k, c = k[first], np.add.reduceat(c, first)
-        if kind == PAIR:
-            k, c = k[c >= LEAST_PAIR], c[c >= LEAST_PAIR]
-        return pa.table({"kind": pa.array([kind], pa.int32()), "bucket": pa.array([bucket], pa.int32()), "keys": [k.tobytes()], "counts": [c.tobytes()]})
+        cuts = range(0, len(k), PIECE)
+        return pa.table({"kind": pa.array([kind] * len(cuts), pa.int32()), "bucket": pa.array([bucket] * len(cuts), pa.int32()), "keys": [k[i : i + PIECE].tobytes() for i in cuts], "counts": [_small(c[i : i + PIECE]) for i in cuts]})
 
     rows = docs.select("text").mapInArrow(gather, "kind int, bucket int, keys binary, counts binary, large binary")
     return saved(rows.groupBy("kind", "bucket").applyInArrow(add, "kind int, bucket int, keys binary, counts binary"), "counts")
 
 
+def _small(counts: np.ndarray) -> bytes:
+    """Counts in the least type that holds them; `_counts` reads it."""
+    return counts.astype(np.min_scalar_type(int(counts.max(initial=0)))).tobytes()
+
+
+def _counts(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, np.dtype(f"u{len(raw) // n}")).astype(np.int64)
+
+
 def _levels(counts: np.ndarray, least: int) -> np.ndarray:
     return 1 + np.floor(np.log2(np.maximum(counts, 1) / least) + 1e-9).astype(np.int64)
 
@@ -172,11 +182,11 @@ class Filter:
 
 
 class Model:
-    """What is broadcast: the words with the highest counts, and the filter."""
+    """What is broadcast: the words with the highest counts, and the sums."""
 
-    def __init__(self, keys, counts, filter_, bits, total, distinct, share, least):
-        self.keys, self.counts, self.filter, self.bits = keys, counts, filter_, bits
-        self.total, self.distinct, self.share, self.least = total, distinct, share, least
+    def __init__(self, keys, counts, bits, total, distinct, share):
+        self.keys, self.counts, self.bits = keys, counts, bits
+        self.total, self.distinct, self.share = total, distinct, share
 
     def look_up(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Count and whether it is known here, for each token."""
@@ -188,7 +198,8 @@ class Model:
 
 
 def fit(docs: DataFrame, counts: DataFrame | None = None) -> tuple[Model, DataFrame]:
-    """The model of all rows of docs, and the words that aren't broadcast (token long, c long)."""
+    """The model of all rows of docs, and its blocks: kind int; of words that aren't broadcast, keys binary (sorted uint64) and data
+    binary (counts); of pairs, keys binary (the first and the last) and data binary (the filter of those between them)."""
     spark = docs.sparkSession
     bits = _bits(docs)
     counts = counts if counts is not None else count(docs)
@@ -196,132 +207,142 @@ def fit(docs: DataFrame, counts: DataFrame | None = None) -> tuple[Model, DataFr
     def classes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, mass = np.zeros(128, np.int64), np.zeros(128, np.int64)
         for batch in parts:
-            for kind, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                c = np.frombuffer(raw, np.int64)
+            for kind, keys, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                c = _counts(raw, len(keys) // 8)
                 place = 64 * kind + _levels(c, 1) - 1
                 n += np.bincount(place, minlength=128)
                 mass += np.bincount(place, c, minlength=128).astype(np.int64)
         own = np.flatnonzero(n)
         yield pa.RecordBatch.from_pydict({"kind": pa.array(own // 64, pa.int32()), "class": pa.array(own % 64, pa.int32()), "n": pa.array(n[own]), "mass": pa.array(mass[own])})
 
-    sums = counts.select("kind", "counts").mapInArrow(classes, "kind int, class int, n long, mass long").groupBy("kind", "class").agg(F.sum("n").alias("n"), F.sum("mass").alias("mass"))
+    sums = counts.select("kind", "keys", "counts").mapInArrow(classes, "kind int, class int, n long, mass long").groupBy("kind", "class").agg(F.sum("n").alias("n"), F.sum("mass").alias("mass"))
     n, mass = np.zeros((2, 64), np.int64), np.zeros((2, 64), np.int64)
     for r in sums.collect():  # 128 rows
         n[r.kind, r["class"]], mass[r.kind, r["class"]] = r.n, r.mass
     total, distinct = int(mass[WORD].sum()), int(n[WORD].sum())
     above = np.cumsum(n[WORD][::-1])[::-1]
     head = int(np.argmax(above <= HEAD))  # words of this class and higher ones are broadcast
-    # entries of the filter, if pairs of class p and higher, and words of class w and higher but not the head, are in it
-    entries = lambda k, x, y=64: int(sum(n[k, i] * (i - x + 1) for i in range(x, y)))
-    first_word, first_pair = 0, 1
-    while entries(WORD, first_word, head) + entries(PAIR, first_pair) > BITS // BITS_PER_ENTRY:
-        if entries(PAIR, first_pair) >= entries(WORD, first_word, head):
-            first_pair += 1
-        else:
-            first_word += 1
-    size = entries(WORD, first_word, head) + entries(PAIR, first_pair)
-    segment_bits = min(bits, 14)
-    per = max(1024, min(BITS, BITS_PER_ENTRY * size) >> segment_bits)
-    per = -(-per // 8) * 8
 
     def fill(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            for kind, bucket, raw, c in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                keys, c = np.frombuffer(raw, np.uint64), np.frombuffer(c, np.int64)
-                least, most = (first_word, head) if kind == WORD else (first_pair, 64)
-                own = (c >= 1 << least) & ((c < 1 << most) if most < 63 else True)
-                keys, level = keys[own], _levels(c[own], 1 << least)
-                segment = np.zeros(per, np.uint8)
-                for j in range(1, int(level.max(initial=0)) + 1):
-                    for place in Filter.places(keys[level >= j], kind, j, per):
-                        segment[place.astype(np.int64)] = 1
-                yield pa.RecordBatch.from_pydict({"segment": pa.array([bucket >> (bits - segment_bits)], pa.int32()), "data": [np.packbits(segment, bitorder="little").tobytes()]})
-
-    def merge(table: pa.Table) -> pa.Table:
-        data = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in table.column("data").to_pylist()])
-        return pa.table({"segment": table.column("segment").slice(0, 1), "data": [data.tobytes()]})
-
-    segments = counts.mapInArrow(fill, "segment int, data binary").groupBy("segment").applyInArrow(merge, "segment int, data binary")
-    data = np.zeros(per // 8 << segment_bits, np.uint8)
-    for r in segments.toLocalIterator():  # BITS bits together at most
-        data[r.segment * (per // 8) : (r.segment + 1) * (per // 8)] = np.frombuffer(r.data, np.uint8)
+            for kind, raw, c in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                keys, c = np.frombuffer(raw, np.uint64), _counts(c, len(raw) // 8)
+                if kind == WORD:
+                    own = c < (1 << head)
+                    keys, data = keys[own], _small(c[own])
+                else:
+                    level = _levels(c, 1)
+                    per = max(64, -(-BITS_PER_ENTRY * int(level.sum()) // 8) * 8)
+                    bits_ = np.zeros(per, np.uint8)
+                    for j in range(1, int(level.max()) + 1):
+                        for place in Filter.places(keys[level >= j], kind, j, per):
+                            bits_[place.astype(np.int64)] = 1
+                    keys, data = keys[[0, -1]], np.packbits(bits_, bitorder="little").tobytes()
+                if len(keys):
+                    yield pa.RecordBatch.from_pydict({"kind": pa.array([kind], pa.int32()), "keys": [keys.tobytes()], "data": [data]})
+
+    blocks = saved(counts.select("kind", "keys", "counts").mapInArrow(fill, "kind int, keys binary, data binary"), "blocks")
 
     def unpack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             for raw, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(raw, np.int64)), pa.array(np.frombuffer(c, np.int64))], names=["token", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(raw, np.int64)), pa.array(_counts(c, len(raw) // 8))], names=["token", "c"])
 
     vocabulary = counts.filter(f"kind = {WORD}").select("keys", "counts").mapInArrow(unpack, "token long, c long")
     known = vocabulary.filter(F.col("c") >= (1 << head)).toArrow()  # HEAD rows at most
     keys, values = known.column("token").to_numpy().view(np.uint64), known.column("c").to_numpy()
     order = np.argsort(keys)
-    kept = int(mass[PAIR, first_pair:].sum())
-    model = Model(keys[order], values[order], Filter(data, segment_bits, per), bits, total, distinct, kept / max(total, 1), (1 << first_word, 1 << first_pair))
-    return model, vocabulary.filter(F.col("c") < (1 << head))
+    once = max(int(mass[PAIR, 0]), 1)
+    return Model(keys[order], values[order], bits, total, distinct, 1 - once / max(total, 1)), blocks
+
+
+def _blocks(files: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Kind, keys and data (bytes of a filter, or counts) of each block."""
+    import pyarrow.parquet as pq
+
+    for uri in files:
+        system, path = files_at(uri)
+        with system.open_input_file(path) as source:
+            for batch in pq.ParquetFile(source).iter_batches(batch_size=4, columns=["kind", "keys", "data"]):
+                for kind, keys, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    keys = np.frombuffer(keys, np.uint64)
+                    yield kind, keys, np.frombuffer(data, np.uint8) if kind == PAIR else _counts(data, len(keys))
+
 
+def _between(sought: np.ndarray, keys: np.ndarray) -> slice:
+    """The part of the sorted `sought` in the range of a block's keys."""
+    return slice(int(np.searchsorted(sought, keys[0])), int(np.searchsorted(sought, keys[-1], "right")))
 
-def score(docs: DataFrame, model: Model, tail: DataFrame) -> DataFrame:
+
+def score(docs: DataFrame, model: Model, blocks: DataFrame) -> DataFrame:
     """doc_id, held (the column of that name), n_tokens, n_known, train_tokens, base_score, score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    norm = float(np.log10(max(model.total + 0.5 * (model.distinct + 1), 0.5)))
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    files = sorted(blocks.inputFiles())  # of the committed tasks
 
+    def scored(held: list[tuple]) -> pa.RecordBatch:
         m: Model = shared.value
-        row = TaskContext.get().partitionId() << 33
-        unit_ = m.total + 0.5 * (m.distinct + 1)
+        unit_ = max(m.total + 0.5 * (m.distinct + 1), 0.5)
+        tokens = np.concatenate([x[2] for x in held])
+        counts = np.concatenate([np.diff(x[3]) for x in held])
+        offsets = np.concatenate([[0], np.cumsum(counts)])
+        starts = offsets[:-1]
+        distinct, back = np.unique(tokens, return_inverse=True)
+        c, _ = m.look_up(distinct)
+        keys, place = np.unique(pairs(tokens, offsets, m.bits), return_inverse=True)
+        level = np.zeros(len(keys), np.int64)
+        for kind, own, data in _blocks(files):
+            part = _between(distinct if kind == WORD else keys, own)
+            if part.stop <= part.start:
+                continue
+            if kind == WORD:
+                at = np.searchsorted(own, distinct[part])
+                hit = own[at] == distinct[part]
+                c[part][hit] = data[at[hit]]
+            else:
+                level[part] = Filter(data, 0, 8 * len(data)).levels(keys[part], PAIR)
+        end = c[np.searchsorted(distinct, _END)]
+        both = np.where(level > 1, 1.4 * 2.0 ** (level - 1), level)[place]
+        c = c[back]
+        before = np.empty_like(c)
+        before[1:] = c[:-1]
+        before[starts] = end
+        ratio = np.minimum(1.0, both / np.maximum(before, 1))
+        plain = (c + 0.5) / unit_
+        chance = np.log10(np.where(before > 0, m.share * ratio + (1 - m.share) * plain, plain))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.concat_arrays([x[0] for x in held]),
+                pa.concat_arrays([x[1] for x in held]),
+                pa.array(counts),
+                pa.array(np.add.reduceat((c > 0).astype(np.int64), starts)),
+                pa.array(np.add.reduceat(np.log10(c + 0.5), starts) - counts * np.log10(unit_)),
+                pa.array(np.add.reduceat(chance, starts)),
+            ],
+            names=["doc_id", "held", "n_tokens", "n_known", "base_score", "score"],
+        )
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
         for batch in parts:
             texts = texts_of(batch.column(2))
             for first, last in batches(texts):
                 tokens, offsets = sequences(texts[first:last])
-                distinct, back = np.unique(tokens, return_inverse=True)
-                c, known = m.look_up(distinct)
-                c, known = c[back], known[back]
-                log = np.where(known, np.log10(c + 0.5), 0.0)
-                near = c.astype(float)
-                loose = np.flatnonzero(~known)
-                level = m.filter.levels(tokens[loose], WORD)
-                near[loose] = np.where(level > 0, 1.4 * m.least[0] * 2.0 ** (level - 1), 0)
-                plain = (near + 0.5) / unit_
-                before = np.empty_like(near)
-                before[1:] = near[:-1]
-                starts = offsets[:-1]
-                end = m.look_up(np.array([_END]))[0][0]
-                before[starts] = end
-                level = m.filter.levels(pairs(tokens, offsets, m.bits), PAIR)
-                both = np.where(level > 0, 1.4 * m.least[1] * 2.0 ** (level - 1), 0)
-                ratio = np.minimum(1.0, both / np.maximum(before, 1))
-                chance = np.log10(np.where(before > 0, m.share * ratio + (1 - m.share) * plain, plain))
-                counts = np.diff(offsets)
-                loose_before = np.searchsorted(loose, offsets)
-                hard = tokens[loose].view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(row + np.arange(len(counts))),
-                        batch.column(0).slice(first, last - first),
-                        batch.column(1).slice(first, last - first),
-                        pa.array(counts),
-                        pa.array(np.add.reduceat(known.astype(np.int64), starts)),
-                        pa.array(np.add.reduceat(log, starts)),
-                        pa.array(np.add.reduceat(chance, starts)),
-                        pa.ListArray.from_arrays(pa.array(loose_before, pa.int32()), pa.array(hard)),
-                    ],
-                    names=["row", "doc_id", "held", "n_tokens", "n_known", "logs", "score", "hard"],
-                )
-                row += len(counts)
+                own = np.arange(first, last)  # copies, so that the texts are let go
+                held.append((batch.column(0).take(pa.array(own)), batch.column(1).take(pa.array(own)), tokens, offsets))
+                size += len(tokens)
+                if size >= PROBE:
+                    yield scored(held)
+                    held, size = [], 0
+        if held:
+            yield scored(held)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held", "text")
-    rows = saved(rows.mapInArrow(run, "row long, doc_id long, held boolean, n_tokens long, n_known long, logs double, score double, hard array<long>"), "scores")
-    hard = rows.select("row", F.explode("hard").alias("token")).groupBy("row", "token").agg(F.count("*").alias("k"))
-    hard = hard.join(tail, "token", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    more = hard.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("more_known"), F.sum(F.col("k") * F.log10(F.col("c") + 0.5)).alias("more_logs"))
-    whole = rows.drop("hard").join(more, "row", "left")
-    base = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(norm)
-    return whole.select("doc_id", "held", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    rows = rows.mapInArrow(run, "doc_id long, held boolean, n_tokens long, n_known long, base_score double, score double")
+    return rows.select("doc_id", "held", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text").withColumn("held", unit() % 5 == 1)
-    model, tail = fit(docs.filter("not held"))
-    return score(docs, model, tail).withColumnRenamed("held", "held_out")
+    model, blocks = fit(docs.filter("not held"))
+    return score(docs, model, blocks).withColumnRenamed("held", "held_out")

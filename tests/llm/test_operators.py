@@ -411,6 +411,34 @@ def test_language_model_counts_are_exact(spark, odd_docs, monkeypatch):
         assert all(r.train_tokens == n and r.score <= 0 for r in out)
 
 
+def test_language_model_holds_all_pairs_at_any_size(spark, make_docs, monkeypatch):
+    from collections import Counter
+
+    docs = make_docs([(i, prose(80, i)) for i in range(40)] + [(100, "one two one two"), (101, "rare pair here"), (102, "here rare")]).drop("held").selectExpr("*", "doc_id % 5 = 1 AS held")
+    rows = [(r.doc_id, (r.text or "").split() + ["\0"], r.held) for r in docs.collect()]
+    c, both = Counter(), Counter()
+    for _, own, held in rows:
+        if not held:
+            c.update(own)
+            both.update(zip(["\0", *own], own, strict=False))
+    n, v = sum(c.values()), len(c)
+    share = 1 - sum(k == 1 for k in both.values()) / n
+    stands = lambda k: 1.4 * 2 ** (k.bit_length() - 1) if k > 1 else k
+
+    def want(own):
+        plain = [(c[w] + 0.5) / (n + 0.5 * (v + 1)) for w in own]
+        parts = [share * min(1, stands(both[u, w]) / c[u]) + (1 - share) * p if c[u] else p for u, w, p in zip(["\0", *own], own, plain, strict=False)]
+        return sum(np.log10(parts))
+
+    monkeypatch.setattr(bloomlm, "BITS_PER_ENTRY", 60)  # hardly a false positive
+    monkeypatch.setattr(bloomlm, "BITS", 1 << 12, raising=False)  # no bound acts on what is scored
+    for head, piece, probe in ((1 << 20, 1 << 20, 1 << 22), (4, 7, 50)):
+        for name, value in (("HEAD", head), ("PIECE", piece), ("PROBE", probe)):
+            monkeypatch.setattr(bloomlm, name, value, raising=False)
+        out = {r.doc_id: r.score for r in bloomlm.score(docs, *bloomlm.fit(docs.filter("not held"))).collect()}
+        assert all(abs(out[d] - want(own)) < 1e-6 for d, own, _ in rows)
+
+
 def test_filter_has_no_false_negatives_and_few_false_positives():
     r = np.random.default_rng(8)
     keys = r.integers(0, 1 << 64, 5000, dtype=np.uint64)
