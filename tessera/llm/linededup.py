@@ -7,10 +7,12 @@
    documents share is still a copy. Links are pairs (first, later), so they grow with the lines, not with the square
    of a group; none is left out.
 4. Each pair is aligned by patience diff over whole lines: the lines that are unique in both are put in their longest
-   common order, runs of equal lines grow from them in both directions, and the gaps are aligned likewise.
-5. A common block is deleted from the later document if it has an anchor. Blank lines at its ends stay.
+   common order, runs of equal lines grow from them in both directions, and the gaps are aligned likewise; in a gap
+   without such a line, the k-th of equal lines is taken for the k-th in the other text.
+5. A common block is deleted from the later document if it has an anchor. So are the anchors that alignment leaves,
+   since they stand in another order or more often than in the first document. Blank lines at its ends stay.
 
-So every deleted line stands, aligned, in a document that comes before, and the first holder keeps it.
+So every deleted line stands in a document that comes before, and the first holder keeps it.
 A document's lines that aren't in a deleted block stay as they are, and so do documents without a block.
 
 Null text stays null and is linked with nothing; so is an empty one. Rows that repeat doc_id and text are one
@@ -21,6 +23,7 @@ comes last. An empty table gives no rows; other columns stay as they are.
 from __future__ import annotations
 
 import bisect
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,6 +71,21 @@ def _longest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _by_occurrence(a: list, a0: int, a1: int, b: list, b0: int, b1: int) -> list[tuple[int, int]]:
+    """Places of the k-th of equal items in a[a0:a1] and in b[b0:b1]."""
+    where: dict = {}
+    for i in range(a0, a1):
+        where.setdefault(a[i], []).append(i)
+    seen: Counter = Counter()
+    out = []
+    for j in range(b0, b1):
+        own, k = where.get(b[j], ()), seen[b[j]]
+        if k < len(own):
+            out.append((own[k], j))
+            seen[b[j]] += 1
+    return out
+
+
 def patience(a: list, b: list) -> list[tuple[int, int, int]]:
     """Common blocks (start in a, start in b, length) of two sequences, by patience diff."""
     found: list[tuple[int, int]] = []
@@ -89,6 +107,8 @@ def patience(a: list, b: list) -> list[tuple[int, int, int]]:
         for j in range(b0, b1):
             other[b[j]] = -1 if b[j] in other else j
         unique = [(i, other[x]) for x, i in where.items() if i >= 0 and other.get(x, -1) >= 0]
+        if not unique:
+            unique = _by_occurrence(a, a0, a1, b, b0, b1)
         chain = _longest(sorted(unique))
         if not chain:
             continue
@@ -105,7 +125,7 @@ def patience(a: list, b: list) -> list[tuple[int, int, int]]:
 
 
 def deletions(first: bytes, later: bytes, anchors: bytes) -> list[tuple[int, int]]:
-    """Ranges of lines of the later document, [from, to), that are common blocks with an anchor."""
+    """Ranges of lines of the later document, [from, to), that are common blocks with an anchor, aligned or not."""
     a, b = ([x[i : i + 16] for i in range(0, len(x), 16)] for x in (first, later))
     out = []
     for _, start, n in patience(a, b):
@@ -116,7 +136,8 @@ def deletions(first: bytes, later: bytes, anchors: bytes) -> list[tuple[int, int
             stop -= 1
         if any(anchors[start:stop]):
             out.append((start, stop))
-    return out
+    held, gone = set(a), {j for x, y in out for j in range(x, y)}
+    return out + [(j, j + 1) for j, x in enumerate(b) if anchors[j] and j not in gone and x in held]
 
 
 def line_table(docs: DataFrame) -> DataFrame:

@@ -200,6 +200,14 @@ def test_a_line_that_all_share_is_cut_from_all_but_the_first(spark, make_docs):
     assert shared in out[0] and all(shared not in out[i] and out[i].count("\n") == 1 for i in range(1, 60))
 
 
+def test_repeated_and_moved_lines_are_cut(spark, make_docs):
+    line = [prose(14, 50 + k) for k in range(6)]
+    rows = [(1, "\n".join([line[0], "x", line[1], "y", line[0], line[2], line[3]])), (2, "\n".join([line[3], "own", line[0], line[2], line[0], "more", line[1], line[0], line[1]])), (3, "\n".join(["p", line[0], "q", line[0], "r", line[0], "s"]))]
+    out = {r.doc_id: r.text for r in linededup.deduplicated(make_docs(rows)).collect()}
+    assert out == {1: rows[0][1], 2: "own\nmore", 3: "p\nq\nr\ns"}
+    assert linededup.patience(list("xaayaaz"), list("paaqaar")) == [(1, 1, 2), (4, 4, 2)]
+
+
 # 4
 
 
