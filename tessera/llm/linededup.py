@@ -1,18 +1,20 @@
 """Operator 3: deduplication of lines by pairwise alignment.
 
-1. Every document: 128-bit hashes of its lines (split at "\\n", white space at the ends ignored) and their word counts.
+1. Every document: 128-bit hashes of its lines (split at "\\n", white space at the ends ignored) and their weights in
+   words. In scripts without spaces between words, two characters count as a word.
 2. Equal texts are one document here; all but the first of them (in the order of doc_id) lose all lines.
-3. Overlaps: a line of ANCHOR_WORDS words or more that several documents hold links each of them to the first that
-   holds it. A line is an anchor by its length, since a long line is rare in itself: one that a third of all
-   documents share is still a copy. Links are pairs (first, later), so they grow with the lines, not with the square
-   of a group; none is left out.
-4. Each pair is aligned by patience diff over whole lines: the lines that are unique in both are put in their longest
-   common order, runs of equal lines grow from them in both directions, and the gaps are aligned likewise; in a gap
-   without such a line, the k-th of equal lines is taken for the k-th in the other text.
-5. A common block is deleted from the later document if it has an anchor. So are the anchors that alignment leaves,
-   since they stand in another order or more often than in the first document. Blank lines at its ends stay.
-
-So every deleted line stands in a document that comes before, and the first holder keeps it.
+3. Overlaps: a passage is a shortest run of lines of BLOCK_WORDS words together, blank lines left out: one long line,
+   or several short ones. A passage that several documents hold links each of them to the first that holds it. Any
+   common block of BLOCK_WORDS words has such a passage at its start and one at its end, so no block is without a
+   link, and links grow with the lines, not with the square of a group; none is left out.
+4. Each pair is aligned by patience diff over whole lines that aren't blank: the lines that are unique in both are put
+   in their longest common order, runs of equal lines grow from them in both directions, and the gaps are aligned
+   likewise; in a gap without such a line, the k-th of equal lines is taken for the k-th in the other text.
+5. A common block is deleted from the later document if it has BLOCK_WORDS words. So are the passages that alignment
+   leaves, since they stand in another order or more often than in the first document: no common block of BLOCK_WORDS
+   words is left. Blank lines at the ends of what is deleted stay.
+
+So every deleted line stands, in the same block, in a document that comes before.
 A document's lines that aren't in a deleted block stay as they are, and so do documents without a block.
 
 Null text stays null and is linked with nothing; so is an empty one. Rows that repeat doc_id and text are one
@@ -23,6 +25,7 @@ comes last. An empty table gives no rows; other columns stay as they are.
 from __future__ import annotations
 
 import bisect
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,21 +36,57 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import documents, join_by_count, saved, texts_of
 
-ANCHOR_WORDS = 10
+BLOCK_WORDS = 10
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 _BLANK = b"\0" * 16
 _ORDER = (1 << 63) - 1
 
 
+def _weight(line: bytes) -> int:
+    """The words of a line that isn't blank, BLOCK_WORDS at most; two characters of a script without spaces are one."""
+    words = len(line.split(None, BLOCK_WORDS))
+    if words < BLOCK_WORDS and not line.isascii():
+        words = max(words, -(-len(_UNSPACED.findall(line.decode("utf-8", "ignore"))) // 2))
+    return min(words, BLOCK_WORDS)
+
+
 def line_hashes(text: bytes) -> tuple[bytes, bytes]:
-    """16 bytes of hash for each line, 0 for blank ones; and a byte each, 1 for anchors."""
+    """16 bytes of hash for each line, 0 for blank ones; and a byte each, its weight."""
     import xxhash
 
-    hashes, anchors = [], bytearray()
+    hashes, weights = [], bytearray()
     for line in text.split(b"\n"):
         own = line.strip()
         hashes.append(xxhash.xxh3_128_digest(own) if own else _BLANK)
-        anchors.append(len(own) >= 2 * ANCHOR_WORDS - 1 and len(own.split()) >= ANCHOR_WORDS)
-    return b"".join(hashes), bytes(anchors)
+        weights.append(_weight(own) if own else 0)
+    return b"".join(hashes), bytes(weights)
+
+
+def passages(weights: list[int]) -> set[tuple[int, int]]:
+    """The shortest runs, [from, to), with BLOCK_WORDS words from each line on and up to each line; no weight is 0."""
+    out: set[tuple[int, int]] = set()
+    for forward in (True, False):
+        own = weights if forward else weights[::-1]
+        stop = total = 0
+        for start in range(len(own)):
+            while stop < len(own) and total < BLOCK_WORDS:
+                total += own[stop]
+                stop += 1
+            if total < BLOCK_WORDS:
+                break
+            out.add((start, stop) if forward else (len(own) - stop, len(own) - start))
+            total -= own[start]
+    return out
+
+
+def _lines(hashes: bytes) -> list[bytes]:
+    return [hashes[i : i + 16] for i in range(0, len(hashes), 16)]
+
+
+def _told(hashes: bytes, weights: bytes) -> tuple[list[int], bytes, list[int]]:
+    """Places, hashes and weights of the lines that aren't blank."""
+    at = [i for i, w in enumerate(weights) if w]
+    return at, b"".join(hashes[16 * i : 16 * i + 16] for i in at), [weights[i] for i in at]
 
 
 def _longest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -124,24 +163,33 @@ def patience(a: list, b: list) -> list[tuple[int, int, int]]:
     return [tuple(x) for x in blocks]
 
 
-def deletions(first: bytes, later: bytes, anchors: bytes) -> list[tuple[int, int]]:
-    """Ranges of lines of the later document, [from, to), that are common blocks with an anchor, aligned or not."""
-    a, b = ([x[i : i + 16] for i in range(0, len(x), 16)] for x in (first, later))
-    out = []
-    for _, start, n in patience(a, b):
-        stop = start + n
-        while start < stop and b[start] == _BLANK:
-            start += 1
-        while start < stop and b[stop - 1] == _BLANK:
-            stop -= 1
-        if any(anchors[start:stop]):
-            out.append((start, stop))
-    held, gone = set(a), {j for x, y in out for j in range(x, y)}
-    return out + [(j, j + 1) for j, x in enumerate(b) if anchors[j] and j not in gone and x in held]
+def deletions(first: bytes, first_weights: bytes, later: bytes, weights: bytes) -> list[tuple[int, int]]:
+    """Ranges of lines of the later document, [from, to), that are common blocks of BLOCK_WORDS words."""
+    _, a, own = _told(first, first_weights)
+    at, b, words = _told(later, weights)
+    held = {a[16 * i : 16 * j] for i, j in passages(own)}
+    common = [(i, i + n) for _, i, n in patience(_lines(a), _lines(b)) if sum(words[i : i + n]) >= BLOCK_WORDS]
+    common += [(i, j) for i, j in passages(words) if b[16 * i : 16 * j] in held]
+    gone, joined = bytearray(len(at)), bytearray(len(at))  # joined: the line after it is deleted together with it
+    for i, j in common:
+        gone[i:j] = b"\1" * (j - i)
+        joined[i : j - 1] = b"\1" * (j - 1 - i)
+    out: list[tuple[int, int]] = []
+    k = 0
+    while k < len(at):
+        if not gone[k]:
+            k += 1
+            continue
+        start = k
+        while joined[k]:
+            k += 1
+        out.append((at[start], at[k] + 1))
+        k += 1
+    return out
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """doc long (a null doc_id is the highest), class binary (of the text), lines binary, anchors binary; no row for null or empty text."""
+    """doc long (a null doc_id is the highest), class binary (of the text), lines binary, weights binary; no row for null or empty text."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -150,31 +198,33 @@ def line_table(docs: DataFrame) -> DataFrame:
             texts = texts_of(batch.column(1))
             pairs = [line_hashes(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(x, pa.binary()) for x in ([xxhash.xxh3_128_digest(t) for t in texts], [p[0] for p in pairs], [p[1] for p in pairs]))], names=["doc", "class", "lines", "anchors"]
+                [batch.column(0), *(pa.array(x, pa.binary()) for x in ([xxhash.xxh3_128_digest(t) for t in texts], [p[0] for p in pairs], [p[1] for p in pairs]))], names=["doc", "class", "lines", "weights"]
             )
 
     rows = docs.filter("text is not null and text <> ''").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_ORDER)).alias("doc"), "text")
-    return rows.mapInArrow(run, "doc long, class binary, lines binary, anchors binary")
+    return rows.mapInArrow(run, "doc long, class binary, lines binary, weights binary")
 
 
 def cuts(docs: DataFrame) -> DataFrame:
     """class binary, first long (the first document of this text), copies long, ranges array<struct<a int, b int>> (null: nothing to cut there)."""
     table = saved(line_table(docs), "lines")
-    same = table.groupBy("class").agg(F.min("doc").alias("first"), F.count("*").alias("copies"), F.first("lines").alias("lines"), F.first("anchors").alias("anchors"))
+    same = table.groupBy("class").agg(F.min("doc").alias("first"), F.count("*").alias("copies"), F.first("lines").alias("lines"), F.first("weights").alias("weights"))
     same = saved(same.withColumn("node", F.xxhash64("class")), "texts")
 
-    def anchors(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shareable(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for batch in parts:
-            lines, nodes = [], []
+            keys, nodes = [], []
             order, node = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, (own, flags) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                at = np.flatnonzero(np.frombuffer(flags, np.uint8)).tolist()
-                distinct = {own[16 * k : 16 * k + 16] for k in at}
-                lines += distinct
+            for i, (lines, weights) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                _, own, words = _told(lines, weights)
+                distinct = {own[16 * x : 16 * y] if y == x + 1 else xxhash.xxh3_128_digest(own[16 * x : 16 * y]) for x, y in passages(words)}
+                keys += distinct
                 nodes += [i] * len(distinct)
-            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.binary()), pa.array([order[i] for i in nodes], pa.int64()), pa.array([node[i] for i in nodes], pa.int64())], names=["line", "first", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([order[i] for i in nodes], pa.int64()), pa.array([node[i] for i in nodes], pa.int64())], names=["line", "first", "node"])
 
-    held = same.select("first", "node", "lines", "anchors").mapInArrow(anchors, "line binary, first long, node long")
+    held = same.select("first", "node", "lines", "weights").mapInArrow(shareable, "line binary, first long, node long")
     owners = held.groupBy("line").agg(F.count("*").alias("n"), F.min(F.struct("first", "node"))["node"].alias("owner"))
     owners = saved(owners.filter("n > 1"), "owners")
     total = int(owners.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n)
@@ -182,20 +232,20 @@ def cuts(docs: DataFrame) -> DataFrame:
     pairs = shared.filter("node <> owner").select("owner", "node").distinct()
     degree = saved(pairs, "pairs")
     most = degree.groupBy("owner").agg(F.count("*").alias("n"))
-    own = same.select(F.col("node").alias("owner"), F.col("lines").alias("owner_lines")).join(most, "owner")
-    joined = join_by_count(degree, own, "owner", "n", degree.count()).join(same.select("node", "lines", "anchors"), "node")
+    own = same.select(F.col("node").alias("owner"), F.col("lines").alias("owner_lines"), F.col("weights").alias("owner_weights")).join(most, "owner")
+    joined = join_by_count(degree, own, "owner", "n", degree.count()).join(same.select("node", "lines", "weights"), "node")
 
     def align(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             nodes, a, b = [], [], []
-            for node, first, later, flags in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for x, y in deletions(first, later, flags):
+            for node, *texts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for x, y in deletions(*texts):
                     nodes.append(node)
                     a.append(x)
                     b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["node", "a", "b"])
 
-    cut = joined.select("node", "owner_lines", "lines", "anchors").mapInArrow(align, "node long, a int, b int")
+    cut = joined.select("node", "owner_lines", "owner_weights", "lines", "weights").mapInArrow(align, "node long, a int, b int")
     ranges = cut.groupBy("node").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("ranges"))  # no more than lines times partners of one text
     out = same.select("class", "first", "copies", "node").join(ranges, "node", "left")
     return saved(out.filter("copies > 1 or ranges is not null").select("class", "first", "copies", "ranges"), "cuts")

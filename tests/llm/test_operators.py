@@ -208,6 +208,32 @@ def test_repeated_and_moved_lines_are_cut(spark, make_docs):
     assert linededup.patience(list("xaayaaz"), list("paaqaar")) == [(1, 1, 2), (4, 4, 2)]
 
 
+def test_passages_of_short_lines_are_cut(spark, make_docs):
+    verse = [f"w{k} of verse" for k in range(6)]
+    han = "这是一个没有空格的句子用来检查重复的行是否会被删除"
+    thai = "นี่คือประโยคที่ไม่มีช่องว่างระหว่างคำ"
+    rows = [(1, "\n".join(["one", *verse[:4]])), (2, "\n".join(["two", *verse])), (3, "\n".join(["three", verse[0], "", *verse[1:], "3", verse[5], verse[2], "end"])), (4, f"四\n{han}\n{thai}"), (5, f"{thai}\n五五\n{han}")]
+    out = {r.doc_id: r.text for r in linededup.deduplicated(make_docs(rows)).collect()}
+    assert out == {1: rows[0][1], 2: "\n".join(["two", *verse[4:]]), 3: "\n".join(["three", "3", verse[5], verse[2], "end"]), 4: rows[3][1], 5: "五五"}
+
+
+def test_deletions_against_brute_force():
+    r = random.Random(4)
+    kinds = ["", "a b c d", "e f g h i", "j k", "l m n o p q r s t u", "v", "w x y"]
+    for _ in range(300):
+        first, later = (r.choices(kinds, k=r.randrange(14)) for _ in "ab")
+        a, at = [x for x in first if x], [j for j, x in enumerate(later) if x]
+        b, want = [later[j] for j in at], set()
+        for i, j in itertools.product(range(len(a)), range(len(b))):
+            n = 0
+            while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                n += 1
+            if len(" ".join(b[j : j + n]).split()) >= 10:
+                want |= set(at[j : j + n])
+        cut = linededup.deletions(*linededup.line_hashes("\n".join(first).encode()), *linededup.line_hashes("\n".join(later).encode()))
+        assert {k for x, y in cut for k in range(x, y) if later[k]} == want
+
+
 # 4
 
 
