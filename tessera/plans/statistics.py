@@ -85,22 +85,30 @@ def sta7p(spark, d):
 _TWO = "t AS (SELECT p_brand, CAST(count(CASE WHEN l_returnflag = 'R' AND l_quantity > 40 THEN 1 END) AS DOUBLE) AS a, CAST(count(CASE WHEN l_returnflag = 'R' AND l_quantity <= 40 THEN 1 END) AS DOUBLE) AS b, CAST(count(CASE WHEN l_returnflag <> 'R' AND l_quantity > 40 THEN 1 END) AS DOUBLE) AS c, CAST(count(CASE WHEN l_returnflag <> 'R' AND l_quantity <= 40 THEN 1 END) AS DOUBLE) AS d FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_suppkey % 50 = 1 AND p_size < 12 GROUP BY 1)"
 
 
-def _two_by_two(spark, d):
-    part = table(spark, d, "part").filter("p_size < 12").select("p_partkey", "p_brand")
-    rows = table(spark, d, "lineitem").filter("l_suppkey % 50 = 1").join(part, F.col("l_partkey") == F.col("p_partkey"))
+_TWO_ALL = _TWO.replace(" WHERE l_suppkey % 50 = 1 AND p_size < 12", "")
+
+
+def _two_by_two(spark, d, lines="true", parts="true"):
+    part = table(spark, d, "part").filter(parts).select("p_partkey", "p_brand")
+    rows = table(spark, d, "lineitem").filter(lines).join(part, F.col("l_partkey") == F.col("p_partkey"))
     r, q = F.col("l_returnflag") == "R", F.col("l_quantity") > 40
     return rows.groupBy("p_brand").agg(*[F.count_if(x).cast("double").alias(n) for n, x in (("a", r & q), ("b", r & ~q), ("c", ~r & q), ("d", ~r & ~q))])
 
 
-def _odds(spark, d, correction):
+def _few(spark, d):
+    """The cells of few rows, some of them 0, so that the corrections act."""
+    return _two_by_two(spark, d, "l_suppkey % 50 = 1", "p_size < 12")
+
+
+def _odds(cells, correction):
     ratio, low, high = S.odds_ratio(*[F.col(c) for c in "abcd"], correction)
-    return _two_by_two(spark, d).select("p_brand", F.round(ratio, 6).alias("odds"), F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
+    return cells.select("p_brand", F.round(ratio, 6).alias("odds"), F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
 
 
-def _odds_sql(half, when="true"):
+def _odds_sql(half, when="true", two=_TWO):
     cells = f"SELECT p_brand, a AS a0, c AS c0, a + {half} AS a, b + {half} AS b, c + {half} AS c, d + {half} AS d FROM t"
     pick = lambda x: f"CASE WHEN {when} THEN round({x}, 6) END"
-    return f"WITH {_TWO}, x AS ({cells}) SELECT p_brand, {pick('a * d / (b * c)')} AS odds, {pick('exp(ln(a * d / (b * c)) - 1.96 * sqrt(1 / a + 1 / b + 1 / c + 1 / d))')} AS low, {pick('exp(ln(a * d / (b * c)) + 1.96 * sqrt(1 / a + 1 / b + 1 / c + 1 / d))')} AS high FROM x"
+    return f"WITH {two}, x AS ({cells}) SELECT p_brand, {pick('a * d / (b * c)')} AS odds, {pick('exp(ln(a * d / (b * c)) - 1.96 * sqrt(1 / a + 1 / b + 1 / c + 1 / d))')} AS low, {pick('exp(ln(a * d / (b * c)) + 1.96 * sqrt(1 / a + 1 / b + 1 / c + 1 / d))')} AS high FROM x"
 
 
 _ZERO = "(CASE WHEN t.a = 0 OR t.b = 0 OR t.c = 0 OR t.d = 0 THEN 0.5 ELSE 0 END)"
@@ -108,17 +116,32 @@ _ZERO = "(CASE WHEN t.a = 0 OR t.b = 0 OR t.c = 0 OR t.d = 0 THEN 0.5 ELSE 0 END
 
 @query("sta10_odds_ratio", _odds_sql(_ZERO, "a0 + c0 > 0"))
 def sta10(spark, d):
-    return _odds(spark, d, "if_zero_and_events")
+    return _odds(_few(spark, d), "if_zero_and_events")
 
 
 @query("sta11_odds_ratio_always", _odds_sql("0.5"))
 def sta11(spark, d):
-    return _odds(spark, d, "always")
+    return _odds(_few(spark, d), "always")
 
 
 @query("sta12_odds_ratio_if_zero", _odds_sql(_ZERO))
 def sta12(spark, d):
-    return _odds(spark, d, "if_zero")
+    return _odds(_few(spark, d), "if_zero")
+
+
+@query("sta10_odds_ratio_all", _odds_sql(_ZERO, "a0 + c0 > 0", _TWO_ALL))
+def sta10_all(spark, d):
+    return _odds(_two_by_two(spark, d), "if_zero_and_events")
+
+
+@query("sta11_odds_ratio_always_all", _odds_sql("0.5", two=_TWO_ALL))
+def sta11_all(spark, d):
+    return _odds(_two_by_two(spark, d), "always")
+
+
+@query("sta12_odds_ratio_if_zero_all", _odds_sql(_ZERO, two=_TWO_ALL))
+def sta12_all(spark, d):
+    return _odds(_two_by_two(spark, d), "if_zero")
 
 
 @query("sta13_fisher_enrichment")

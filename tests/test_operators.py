@@ -1,6 +1,7 @@
 """Operators on small literal tables."""
 
 import math
+import os
 
 import numpy as np
 import pytest
@@ -89,3 +90,11 @@ def test_silhouette_of_one_alone_is_zero(spark):
     g = spark.createDataFrame([(0, "a"), (1, "a"), (2, "b")], "k long, g string")
     s = {r.i: r.s for r in matrices.silhouette(p, g, "k", "g").collect()}
     assert s[2] == 0.0 and math.isclose(s[0], (0.9 - 0.1) / 0.9)
+
+
+def test_two_by_two_tables_take_all_rows(spark):
+    from tessera import catalog
+
+    data = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    rows = catalog.queries()["sta13_fisher_enrichment"](spark, data).collect()
+    assert sum(r.a + r.b + r.c + r.d for r in rows) == spark.read.parquet(f"{data}/lineitem.parquet").filter("l_returnflag is not null and l_quantity is not null").count()
