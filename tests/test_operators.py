@@ -98,3 +98,29 @@ def test_two_by_two_tables_take_all_rows(spark):
     data = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
     rows = catalog.queries()["sta13_fisher_enrichment"](spark, data).collect()
     assert sum(r.a + r.b + r.c + r.d for r in rows) == spark.read.parquet(f"{data}/lineitem.parquet").filter("l_returnflag is not null and l_quantity is not null").count()
+
+
+def test_models_of_customers_take_all_rows(spark):
+    from tessera import catalog
+
+    data = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    rows = spark.read.parquet(f"{data}/customer.parquet").select("c_custkey", "c_mktsegment", "c_acctbal").toPandas()
+    own = rows["c_mktsegment"] == "BUILDING"
+    gap = np.subtract.outer(rows.loc[own, "c_acctbal"].to_numpy(), rows.loc[~own, "c_acctbal"].to_numpy())
+    assert catalog.queries()["sta5_bootstrap_delta"](spark, data).first().delta == pytest.approx(np.sign(gap).mean())
+
+    orders = spark.read.parquet(f"{data}/orders.parquet").groupBy("o_custkey").agg(F.date_diff(F.max("o_orderdate"), F.min("o_orderdate")).alias("days"), F.max((F.col("o_orderstatus") == "P").cast("int")).alias("event")).toPandas()
+    both = orders.merge(rows, left_on="o_custkey", right_on="c_custkey")
+    x = np.stack([both["c_acctbal"] / 1000, both["c_mktsegment"] == "BUILDING"], axis=1).astype(float)
+    beta = {r.term: r.beta for r in catalog.queries()["sta36_cox"](spark, data).collect()}
+    got, days, event, n = np.array([beta["balance"], beta["building"]]), both["days"].to_numpy(), both["event"].to_numpy(bool), len(both)
+
+    def likelihood(b):
+        w, out = np.exp(x @ b), -0.005 * n * b @ b
+        for t in np.unique(days[event]):
+            dead = (days == t) & event
+            m = dead.sum()
+            out += (x[dead] @ b).sum() - sum(np.log(w[days >= t].sum() - i / m * w[dead].sum()) for i in range(m))
+        return out
+
+    assert all(likelihood(got) > likelihood(got + step) for step in ([1e-3, 0], [-1e-3, 0], [0, 1e-3], [0, -1e-3]))
