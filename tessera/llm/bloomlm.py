@@ -1,29 +1,37 @@
 """Operator 10: language-model scores from a log-frequency Bloom filter (Talbot and Osborne, 2007).
 
-Counting: each task counts the words and the pairs of neighbours of its training texts (64-bit hashes; of a
-pair, 48 bits beside those of its bucket), combines them, and sends sorted arrays by bucket; a bucket, a share
-of the hashes, adds up what it gets. There are two to four buckets for each of the
-session's shuffle partitions, so a task sends about as many rows as any shuffle has blocks.
+Words: each task counts the words of its training texts (64-bit hashes), combines them, and sends sorted arrays by
+range of hashes; so N, V and all counts c are exact. The words with a count of at least 2**b, b the least with HEAD words
+or fewer, are broadcast; the counts of the others lie in blocks.
 
-Exact part: words with a count of at least 2**b, b the least with HEAD words or fewer, are broadcast with their
-counts; the counts of the others lie in blocks. So N, V, n_known, base_score and P0 are exact at every size.
+Pairs: a pair (u, w) of neighbours has a 64-bit key whose upper half is that of u, so that all pairs of a context u lie in
+one bucket, a range of keys. Contexts with more than 1/256 of all tokens (255 at most) are spread over all buckets. A
+task adds up a bucket as its rows come in, and holds its distinct pairs alone. For each context it gives S(u), the sum of the
+quantised counts q(u w), and n(u), the number of its pairs.
 
-Model: P(w | u) = L * c(u w) / c(u) + (1 - L) * P0(w), P0 the smoothed unigram, 1 - L the share of training pairs
-that were seen once (Good and Turing's mass of the unseen). Counts of pairs come from the filter, which holds all of
-them: a count in [2**(j-1), 2**j) is stored as level j, that is as j entries, and a lookup probes level after level until
-one is missing. Level 1 is a count of 1, another level stands for 1.4 times its lower end.
+Filter: a count in [2**(j-1), 2**j) is level j, kept as j entries; a lookup probes level after level until one is missing. q is
+1 at level 1, else 1.4 times the level's lower end. Level 1 has as many probes, log2(V / (EXTRA c(u))), that the chance
+hits among all V words add up to EXTRA of the context's mass at most; the other levels have LEAST_PROBES. Half of
+a filter's bits are set. A pair is looked up only if both words are known, and no higher than the rarer one allows.
 
-The filter has BITS_PER_ENTRY bits an entry, so it grows with the corpus. It is cut by ranges of keys into blocks of at
-most PIECE keys each, in files of the shared folder. A task of the scoring gathers PROBE tokens, sorts their distinct
-keys and goes through the blocks, of which it holds a few at a time; no size makes the model leave anything out.
+Model: P(w | u) = max(q(u w) - D, 0) / S(u) + D n(u) / S(u) * P0(w), an absolute discount with back-off to the smoothed
+unigram P0; D = n1 / (n1 + 2 n2) of the pairs seen once and twice, P0 where u was never seen. Since S holds what the
+lookup gives, P(. | u) over all words and the unknown one sums to 1, but for chance hits: by EXTRA more on average
+(up to 1.4 EXTRA, as S(u) >= 0.7 c(u)), by (1 - D) / S(u) for a single one, and by 2**-LEAST_PROBES of the seen mass.
+
+The filter grows with the corpus. It lies in blocks of PIECE keys at most, in files of the shared folder. A task of the scoring
+gathers PROBE tokens, sorts their distinct keys and goes through the blocks, of which it holds a few at a time; no size
+makes the model leave anything out, and no setting of the session changes a score.
 
 Words are `[^\\x20\\x09-\\x0D]+` with A-Z in lower case, and an end. Null or empty text is one end. Rows that repeat
-are counted and scored each. With no training rows, N = 0 and V = 0. Null doc_id counts as the text "".
+are counted and scored each. With no training rows, N = 0 and V = 0, and every token has log10 probability 0. An empty
+table gives no rows. Null doc_id counts as the text "" for the split and stays null. Very long texts are taken whole, in
+runs of some MB. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +42,19 @@ from tessera.llm.bytesvec import batches, mix, words
 from tessera.llm.common import documents, files_at, saved, texts_of, unit
 
 HEAD = 1 << 20
-BITS_PER_ENTRY = 10
-PROBES = 6
+EXTRA = 1 / 64
+LEAST_PROBES, MOST_PROBES = 8, 48
 PIECE = 1 << 18
 PROBE = 1 << 22
-_FLUSH = 1_000_000
-_END = np.uint64(0x656E64)
-_LOW = np.uint64((1 << 48) - 1)
-WORD, PAIR = 0, 1
+FLUSH = 1 << 20
+TOKENS_PER_BUCKET = 1 << 20
+_HELD = 1 << 22
+_END = np.uint64(0x8B72E1CC0F656E64)
+_LOW = np.uint64((1 << 32) - 1)
+_STEP = np.uint64(6364136223846793005)
+_SUM = "bucket int, keys binary, counts binary, large binary, contexts binary, runs binary"
+_BLOCK = "kind int, keys binary, data binary, once long, twice long"
+WORD, PAIR, CONTEXT = 0, 1, 2
 
 
 def sequences(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -50,85 +63,127 @@ def sequences(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(hashes, before[1:], _END), before + np.arange(len(before))
 
 
-def pairs(tokens: np.ndarray, offsets: np.ndarray, bits: int) -> np.ndarray:
-    """For each token the key of (token before, token); the first token of a text gets the end before it. Keys
-    keep the `bits` upper bits of a hash, which are the bucket's, and the 48 lower ones."""
+def contexts(tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The token before each token; the first token of a text has the end before it."""
     last = np.empty_like(tokens)
     last[1:] = tokens[:-1]
     last[offsets[:-1]] = _END
-    x = mix(last * np.uint64(0x9FB21C651E98DF25) + (tokens << np.uint64(32) | tokens >> np.uint64(32)))
-    return x >> np.uint64(64 - bits) << np.uint64(64 - bits) | x & _LOW
-
-
-def _bits(docs: DataFrame) -> int:
-    n = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(20, max(4, (n - 1).bit_length()))
-
-
-def count(docs: DataFrame) -> DataFrame:
-    """Counts by kind and range of keys, PIECE of them at most: kind int, bucket int, keys binary (sorted uint64), counts binary (see _small)."""
-    bits = _bits(docs)
-    cut = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
-
-    def packed(kind: int, keys: np.ndarray) -> pa.RecordBatch:
-        keys, counts = np.unique(keys, return_counts=True)
-        edges = np.concatenate([[0], np.searchsorted(keys, cut), [len(keys)]]).tolist()
-        own = [(b, x, y) for b, (x, y) in enumerate(zip(edges, edges[1:], strict=False)) if y > x]
-        low = keys if kind == WORD else (keys & _LOW)
-        raw = (lambda x, y: low[x:y].tobytes()) if kind == WORD else (lambda x, y: low[x:y].view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
-        small = np.minimum(counts, 255).astype(np.uint8)
+    return last
+
+
+def pair_keys(u: np.ndarray, w: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """The keys of the pairs; hot: the sorted contexts that are spread over all keys."""
+    x = mix(u * np.uint64(0x9FB21C651E98DF25) + (w << np.uint64(32) | w >> np.uint64(32)))
+    own = u & ~_LOW | x & _LOW
+    return np.where(np.isin(u, hot), x, own) if len(hot) else own
+
+
+def levels_of(counts: np.ndarray) -> np.ndarray:
+    return np.frexp(counts.astype(np.float64))[1].astype(np.int64)
+
+
+def quantised(level: np.ndarray) -> np.ndarray:
+    """q of a level in fifths: 0, 5, 14, 28, 56, ..."""
+    return np.where(level > 1, 7 << np.maximum(level, 1), 5 * level).astype(np.int64) >> (level > 1)
+
+
+def probes(count: np.ndarray, distinct: int) -> np.ndarray:
+    """Probes at level 1 for contexts of these counts."""
+    most = np.ceil(np.log2(max(distinct, 1) / (EXTRA * np.maximum(count, 1))))
+    return np.clip(most, LEAST_PROBES, MOST_PROBES).astype(np.int64)
+
+
+def _packed(bits: int, keys: np.ndarray, counts: np.ndarray, u: np.ndarray | None) -> pa.RecordBatch:
+    """A row for each bucket, the upper `bits` bits of the keys: keys, counts (a byte each, 255 and more apart), contexts by runs."""
+    bucket = (keys >> np.uint64(64 - bits)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable") if u is None else np.lexsort((u, bucket))
+    bucket, keys, counts = bucket[order], keys[order], counts[order]
+    small = np.minimum(counts, 255).astype(np.uint8)
+    edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])).tolist()
+    out: dict[str, list] = {n: [] for n in ("bucket", "keys", "counts", "large", "contexts", "runs")}
+    for x, y in zip(edges, edges[1:], strict=False):
+        at = np.flatnonzero(small[x:y] == 255)
+        out["bucket"].append(int(bucket[x]))
+        out["keys"].append(keys[x:y].tobytes())
+        out["counts"].append(small[x:y].tobytes())
+        out["large"].append(np.stack([at, counts[x:y][at]], axis=1).astype(np.int64).tobytes())
+        if u is None:
+            own = runs = np.zeros(0, np.int32)
+        else:
+            part = u[order[x:y]]
+            first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            own, runs = part[first], np.diff(np.append(first, len(part))).astype(np.int32)
+        out["contexts"].append(own.tobytes())
+        out["runs"].append(runs.tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), *(pa.array(out[n], pa.binary()) for n in list(out)[1:])], names=list(out))
+
+
+def _summed(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Bucket, sorted distinct keys, counts and contexts, of rows that come in the order of their buckets; holds the distinct keys of one."""
+    held: list[tuple] = []
+    bucket, size = -1, 0
+
+    def merged() -> tuple:
+        k, c, u = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(k, kind="stable")
+        k, c = k[order], c[order]
+        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        return k[first], np.add.reduceat(c, first), u[order[first]] if len(u) else u
+
+    for batch in parts:
+        for own, raw, small, large, ctx, runs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if own != bucket and held:
+                yield bucket, *merged()
+                held, size = [], 0
+            bucket = own
+            c = np.frombuffer(small, np.uint8).astype(np.int64)
+            more = np.frombuffer(large, np.int64).reshape(-1, 2)
+            c[more[:, 0]] = more[:, 1]
+            held.append((np.frombuffer(raw, np.uint64), c, np.repeat(np.frombuffer(ctx, np.uint64), np.frombuffer(runs, np.int32))))
+            size += len(c)
+            if size >= _HELD:
+                held, size = [merged()], 0
+    if held:
+        yield bucket, *merged()
 
-        def rest(x: int, y: int) -> bytes:
-            at = np.flatnonzero(counts[x:y] >= 255)
-            return np.stack([at, counts[x:y][at]], axis=1).astype(np.int64).tobytes()
 
-        return pa.RecordBatch.from_pydict(
-            {"kind": pa.array([kind] * len(own), pa.int32()), "bucket": pa.array([b for b, _, _ in own], pa.int32()), "keys": pa.array([raw(x, y) for _, x, y in own], pa.binary()),
-             "counts": pa.array([small[x:y].tobytes() for _, x, y in own], pa.binary()), "large": pa.array([rest(x, y) for _, x, y in own], pa.binary())})
+def _gathered(docs: DataFrame, bits: int, keyed: Callable | None, label: str, finish: Callable) -> DataFrame:
+    """Counts of words, or of the pairs whose keys `keyed` gives, added up by bucket; finish(keys, counts, contexts) gives batches of blocks."""
 
     def gather(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = [[], []]
+        held: list[tuple] = []
         size = 0
+
+        def send() -> pa.RecordBatch:
+            w, u = (np.concatenate(x) for x in zip(*held, strict=True))
+            if keyed is None:
+                return _packed(bits, *np.unique(w, return_counts=True), None)
+            keys, at, counts = np.unique(keyed(u, w), return_index=True, return_counts=True)
+            return _packed(bits, keys, counts, u[at])
+
         for batch in parts:
             texts = texts_of(batch.column(0))
             for first, last in batches(texts):
                 tokens, offsets = sequences(texts[first:last])
-                held[WORD].append(tokens)
-                held[PAIR].append(pairs(tokens, offsets, bits))
+                held.append((tokens, contexts(tokens, offsets) if keyed else tokens[:0]))
                 size += len(tokens)
-                if size >= _FLUSH:
-                    for kind in (WORD, PAIR):
-                        yield packed(kind, np.concatenate(held[kind]))
-                        held[kind] = []
-                    size = 0
+                if size >= FLUSH:
+                    yield send()
+                    held, size = [], 0
         if size:
-            for kind in (WORD, PAIR):
-                yield packed(kind, np.concatenate(held[kind]))
-
-    def add(table: pa.Table) -> pa.Table:
-        kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
-        keys, counts = [], []
-        for raw, small, large in zip(*(table.column(c).to_pylist() for c in ("keys", "counts", "large")), strict=True):
-            if kind == WORD:
-                keys.append(np.frombuffer(raw, np.uint64))
-            else:
-                low = np.zeros((len(small), 8), np.uint8)
-                low[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-                keys.append(low.view(np.uint64)[:, 0] | np.uint64(bucket) << np.uint64(64 - bits))
-            own = np.frombuffer(small, np.uint8).astype(np.int64)
-            more = np.frombuffer(large, np.int64).reshape(-1, 2)
-            own[more[:, 0]] = more[:, 1]
-            counts.append(own)
-        k, c = np.concatenate(keys), np.concatenate(counts)
-        order = np.argsort(k, kind="stable")
-        k, c = k[order], c[order]
-        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        k, c = k[first], np.add.reduceat(c, first)
-        cuts = range(0, len(k), PIECE)
-        return pa.table({"kind": pa.array([kind] * len(cuts), pa.int32()), "bucket": pa.array([bucket] * len(cuts), pa.int32()), "keys": [k[i : i + PIECE].tobytes() for i in cuts], "counts": [_small(c[i : i + PIECE]) for i in cuts]})
+            yield send()
+
+    def reduce(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, keys, counts, u in _summed(parts):
+            yield from finish(keys, counts, u)
+
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select("text").mapInArrow(gather, _SUM).repartitionById(n, "bucket").sortWithinPartitions("bucket")
+    return saved(rows.mapInArrow(reduce, _BLOCK), label)
 
-    rows = docs.select("text").mapInArrow(gather, "kind int, bucket int, keys binary, counts binary, large binary")
-    return saved(rows.groupBy("kind", "bucket").applyInArrow(add, "kind int, bucket int, keys binary, counts binary"), "counts")
+
+def _block(kind: int, keys: np.ndarray, data: bytes, once: int = 0, twice: int = 0) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([keys.tobytes()], pa.binary()), pa.array([data], pa.binary()), pa.array([once], pa.int64()), pa.array([twice], pa.int64())], names=["kind", "keys", "data", "once", "twice"])
 
 
 def _small(counts: np.ndarray) -> bytes:
@@ -140,124 +195,150 @@ def _counts(raw: bytes, n: int) -> np.ndarray:
     return np.frombuffer(raw, np.dtype(f"u{len(raw) // n}")).astype(np.int64)
 
 
-def _levels(counts: np.ndarray, least: int) -> np.ndarray:
-    return 1 + np.floor(np.log2(np.maximum(counts, 1) / least) + 1e-9).astype(np.int64)
-
-
 class Filter:
-    """A Bloom filter of (key, level) in equal segments, one for each of the upper values of a key's bits."""
+    """A Bloom filter of (key, level): level 1 has k probes, a number for each key, and each further level LEAST_PROBES."""
 
-    def __init__(self, data: np.ndarray, segment_bits: int, per_segment: int):
-        self.data, self.shift, self.per = data, np.uint64(64 - segment_bits), per_segment
+    def __init__(self, data: np.ndarray):
+        self.data, self.size = data, np.uint64(8 * len(data))
 
     @staticmethod
-    def places(keys: np.ndarray, kind: int, level: np.ndarray | int, per_segment: int) -> Iterator[np.ndarray]:
-        """The PROBES places of (key, level) in the key's segment."""
-        a = mix(keys + np.asarray(level, np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(kind))
+    def places(keys: np.ndarray, level: int, size: np.uint64) -> Iterator[np.ndarray]:
+        """The places of (key, level), one probe after the other."""
+        a = mix(keys + np.uint64(level * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF))
         b = mix(a) | np.uint64(1)
-        for _ in range(PROBES):
-            yield (a >> np.uint64(20)) % np.uint64(per_segment)
-            a = a + b
-
-    def levels(self, keys: np.ndarray, kind: int, most: int = 40) -> np.ndarray:
-        """The highest level such that it and all lower ones are in the filter; 0 if none is."""
+        while True:
+            yield ((a >> np.uint64(32)) * size >> np.uint64(32)).astype(np.int64)
+            a = a * _STEP + b
+
+    @classmethod
+    def of(cls, keys: np.ndarray, level: np.ndarray, k: np.ndarray) -> Filter:
+        entries = int(k.sum()) + LEAST_PROBES * int((level - 1).sum())
+        data = np.zeros(max(8, -(-int(entries / np.log(2)) // 8)), np.uint8)
+        bits = np.zeros(8 * len(data), bool)
+        for j in range(1, int(level.max(initial=0)) + 1):
+            own = level >= j
+            most = k[own] if j == 1 else np.full(int(own.sum()), LEAST_PROBES)
+            for p, place in zip(range(int(most.max())), cls.places(keys[own], j, np.uint64(len(bits))), strict=False):
+                bits[place[most > p]] = True
+        return cls(np.packbits(bits, bitorder="little"))
+
+    def levels(self, keys: np.ndarray, k: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """The highest level, `most` at most, such that it and all lower ones are in the filter; 0 if none is."""
         out = np.zeros(len(keys), np.int64)
-        live = np.arange(len(keys))
-        for level in range(1, most + 1):
-            base = (keys[live] >> self.shift).astype(np.int64) * self.per
+        level, live = 1, np.flatnonzero(most >= 1)
+        while len(live):
+            left = k[live] if level == 1 else np.full(len(live), LEAST_PROBES)
+            at = np.arange(len(live))  # those of live that have hit so far and have probes left
             on = np.ones(len(live), bool)
-            at = np.arange(len(live))
-            for place in self.places(keys[live], kind, level, self.per):
-                where = base[at] + place[at].astype(np.int64)
-                hit = (self.data[where >> 3] >> (where & 7).astype(np.uint8)) & 1
-                on[at[hit == 0]] = False
-                at = at[hit == 1]
-                if not len(at):
-                    break
+            a = mix(keys[live] + np.uint64(level * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF))
+            b = mix(a) | np.uint64(1)
+            p = 0
+            while len(at):
+                place = ((a >> np.uint64(32)) * self.size >> np.uint64(32)).astype(np.int64)
+                hit = (self.data[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+                on[at[~hit]] = False
+                p += 1
+                go = hit & (left > p)
+                at, left, b = at[go], left[go], b[go]
+                a = a[go] * _STEP + b
             live = live[on]
-            if not len(live):
-                break
             out[live] = level
+            level += 1
+            live = live[most[live] >= level]
         return out
 
 
 class Model:
-    """What is broadcast: the words with the highest counts, and the sums."""
+    """What is broadcast: the words with the highest counts, the contexts that are spread, the sums and the discount."""
 
-    def __init__(self, keys, counts, bits, total, distinct, share):
-        self.keys, self.counts, self.bits = keys, counts, bits
-        self.total, self.distinct, self.share = total, distinct, share
+    def __init__(self, keys, counts, total, distinct):
+        self.keys, self.counts, self.total, self.distinct = keys, counts, total, distinct
+        self.hot = keys[counts > total // 256]
+        self.discount = 0.5
 
-    def look_up(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Count and whether it is known here, for each token."""
+    def look_up(self, tokens: np.ndarray) -> np.ndarray:
+        """The counts of the tokens; 0 for those that aren't here."""
         if not len(self.keys):
-            return np.zeros(len(tokens), np.int64), np.zeros(len(tokens), bool)
+            return np.zeros(len(tokens), np.int64)
         at = np.minimum(np.searchsorted(self.keys, tokens), len(self.keys) - 1)
-        known = self.keys[at] == tokens
-        return np.where(known, self.counts[at], 0), known
+        return np.where(self.keys[at] == tokens, self.counts[at], 0)
+
 
+def _vocabulary(docs: DataFrame) -> tuple[DataFrame, Model]:
+    """Blocks of all words with their counts, and the model's head."""
+    bits = max(4, (int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
 
-def fit(docs: DataFrame, counts: DataFrame | None = None) -> tuple[Model, DataFrame]:
-    """The model of all rows of docs, and its blocks: kind int; of words that aren't broadcast, keys binary (sorted uint64) and data
-    binary (counts); of pairs, keys binary (the first and the last) and data binary (the filter of those between them)."""
-    spark = docs.sparkSession
-    bits = _bits(docs)
-    counts = counts if counts is not None else count(docs)
+    def finish(keys: np.ndarray, counts: np.ndarray, _: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(keys), PIECE):
+            yield _block(WORD, keys[i : i + PIECE], _small(counts[i : i + PIECE]))
+
+    table = _gathered(docs, min(bits, 16), None, "words", finish)
 
     def classes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, mass = np.zeros(128, np.int64), np.zeros(128, np.int64)
+        n, mass = np.zeros(64, np.int64), np.zeros(64, np.int64)
         for batch in parts:
-            for kind, keys, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for keys, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 c = _counts(raw, len(keys) // 8)
-                place = 64 * kind + _levels(c, 1) - 1
-                n += np.bincount(place, minlength=128)
-                mass += np.bincount(place, c, minlength=128).astype(np.int64)
+                n += np.bincount(levels_of(c) - 1, minlength=64)
+                mass += np.bincount(levels_of(c) - 1, c, minlength=64).astype(np.int64)
         own = np.flatnonzero(n)
-        yield pa.RecordBatch.from_pydict({"kind": pa.array(own // 64, pa.int32()), "class": pa.array(own % 64, pa.int32()), "n": pa.array(n[own]), "mass": pa.array(mass[own])})
-
-    sums = counts.select("kind", "keys", "counts").mapInArrow(classes, "kind int, class int, n long, mass long").groupBy("kind", "class").agg(F.sum("n").alias("n"), F.sum("mass").alias("mass"))
-    n, mass = np.zeros((2, 64), np.int64), np.zeros((2, 64), np.int64)
-    for r in sums.collect():  # 128 rows
-        n[r.kind, r["class"]], mass[r.kind, r["class"]] = r.n, r.mass
-    total, distinct = int(mass[WORD].sum()), int(n[WORD].sum())
-    above = np.cumsum(n[WORD][::-1])[::-1]
-    head = int(np.argmax(above <= HEAD))  # words of this class and higher ones are broadcast
+        yield pa.RecordBatch.from_pydict({"class": pa.array(own, pa.int32()), "n": pa.array(n[own]), "mass": pa.array(mass[own])})
+
+    n, mass = np.zeros(64, np.int64), np.zeros(64, np.int64)
+    for r in table.select("keys", "data").mapInArrow(classes, "class int, n long, mass long").groupBy("class").agg(F.sum("n").alias("n"), F.sum("mass").alias("mass")).collect():  # 64 rows
+        n[r["class"]], mass[r["class"]] = r.n, r.mass
+    head = int(np.argmax(np.cumsum(n[::-1])[::-1] <= HEAD))  # words of this class and higher ones are broadcast
+
+    def part(above: bool) -> DataFrame:
+        def select(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in parts:
+                for keys, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    keys, c = np.frombuffer(keys, np.uint64), _counts(raw, len(keys) // 8)
+                    own = (c >= 1 << head) == above
+                    if own.any():
+                        yield _block(WORD, keys[own], _small(c[own]))
+
+        return table.select("keys", "data").mapInArrow(select, _BLOCK).select("kind", "keys", "data")
+
+    keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for r in part(True).toArrow().to_pylist():  # HEAD words at most
+        keys.append(np.frombuffer(r["keys"], np.uint64))
+        counts.append(_counts(r["data"], len(keys[-1])))
+    keys, counts = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(keys)
+    tail = table.limit(0).select("kind", "keys", "data") if not head else saved(part(False), "tail")
+    return tail, Model(keys[order], counts[order], int(mass.sum()), int(n.sum()))
 
-    def fill(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
-            for kind, raw, c in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                keys, c = np.frombuffer(raw, np.uint64), _counts(c, len(raw) // 8)
-                if kind == WORD:
-                    own = c < (1 << head)
-                    keys, data = keys[own], _small(c[own])
-                else:
-                    level = _levels(c, 1)
-                    per = max(64, -(-BITS_PER_ENTRY * int(level.sum()) // 8) * 8)
-                    bits_ = np.zeros(per, np.uint8)
-                    for j in range(1, int(level.max()) + 1):
-                        for place in Filter.places(keys[level >= j], kind, j, per):
-                            bits_[place.astype(np.int64)] = 1
-                    keys, data = keys[[0, -1]], np.packbits(bits_, bitorder="little").tobytes()
-                if len(keys):
-                    yield pa.RecordBatch.from_pydict({"kind": pa.array([kind], pa.int32()), "keys": [keys.tobytes()], "data": [data]})
-
-    blocks = saved(counts.select("kind", "keys", "counts").mapInArrow(fill, "kind int, keys binary, data binary"), "blocks")
-
-    def unpack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
-            for raw, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(raw, np.int64)), pa.array(_counts(c, len(raw) // 8))], names=["token", "c"])
 
-    vocabulary = counts.filter(f"kind = {WORD}").select("keys", "counts").mapInArrow(unpack, "token long, c long")
-    known = vocabulary.filter(F.col("c") >= (1 << head)).toArrow()  # HEAD rows at most
-    keys, values = known.column("token").to_numpy().view(np.uint64), known.column("c").to_numpy()
-    order = np.argsort(keys)
-    once = max(int(mass[PAIR, 0]), 1)
-    return Model(keys[order], values[order], bits, total, distinct, 1 - once / max(total, 1)), blocks
+def fit(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
+    """The model of all rows of docs; blocks of the words that aren't broadcast (keys: sorted uint64, data: counts); and blocks of
+    contexts (keys, data: S in fifths and n, int64) and pairs (keys: the first and the last, data: the filter of those between them)."""
+    tail, model = _vocabulary(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    bits = min(16, max(4, (model.total // TOKENS_PER_BUCKET).bit_length()))
 
+    def keyed(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return pair_keys(u, w, shared.value.hot)
 
-def _blocks(files: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Kind, keys and data (bytes of a filter, or counts) of each block."""
+    def finish(keys: np.ndarray, counts: np.ndarray, u: np.ndarray) -> Iterator[pa.RecordBatch]:
+        m: Model = shared.value
+        for i in range(0, len(keys), PIECE):
+            k, c, ctx = keys[i : i + PIECE], counts[i : i + PIECE], u[i : i + PIECE]
+            level = levels_of(c)
+            yield _block(PAIR, k[[0, -1]], Filter.of(k, level, probes(m.look_up(ctx), m.distinct)).data.tobytes(), int((c == 1).sum()), int((c == 2).sum()))
+            own, back, n = np.unique(ctx, return_inverse=True, return_counts=True)
+            sums = np.zeros(len(own), np.int64)
+            np.add.at(sums, back, quantised(level))
+            yield _block(CONTEXT, own, np.stack([sums, n]).astype(np.int64).tobytes())
+
+    blocks = _gathered(docs, bits, keyed, "blocks", finish)
+    seen = blocks.agg(F.sum("once").alias("once"), F.sum("twice").alias("twice")).first()
+    if seen.once:
+        model.discount = min(0.9, max(0.1, seen.once / (seen.once + 2 * seen.twice)))
+    return model, tail, blocks
+
+
+def _blocks(files: list[str]) -> Iterator[tuple[int, np.ndarray, bytes]]:
     import pyarrow.parquet as pq
 
     for uri in files:
@@ -265,50 +346,62 @@ def _blocks(files: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         with system.open_input_file(path) as source:
             for batch in pq.ParquetFile(source).iter_batches(batch_size=4, columns=["kind", "keys", "data"]):
                 for kind, keys, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    keys = np.frombuffer(keys, np.uint64)
-                    yield kind, keys, np.frombuffer(data, np.uint8) if kind == PAIR else _counts(data, len(keys))
-
-
-def _between(sought: np.ndarray, keys: np.ndarray) -> slice:
-    """The part of the sorted `sought` in the range of a block's keys."""
-    return slice(int(np.searchsorted(sought, keys[0])), int(np.searchsorted(sought, keys[-1], "right")))
-
-
-def score(docs: DataFrame, model: Model, blocks: DataFrame) -> DataFrame:
+                    yield kind, np.frombuffer(keys, np.uint64), data
+
+
+def _found(sought: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the sorted `sought`, and in a block's keys, of what both have."""
+    first, last = np.searchsorted(sought, keys[0]), np.searchsorted(sought, keys[-1], "right")
+    at = np.searchsorted(keys, sought[first:last])
+    hit = np.flatnonzero(keys[at] == sought[first:last])
+    return first + hit, at[hit]
+
+
+def chances(model: Model, words_: list[str], blocks: list[str], tokens: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each token of texts: its count, and its log10 probability after the token before it; words_, blocks: the files."""
+    unit_ = max(model.total + 0.5 * (model.distinct + 1), 0.5)
+    distinct, back = np.unique(np.append(tokens, _END), return_inverse=True)
+    c = model.look_up(distinct)
+    for _, own, data in _blocks(words_):
+        here, there = _found(distinct, own)
+        c[here] = _counts(data, len(own))[there]
+    sums, n = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+    u, w = np.searchsorted(distinct, contexts(tokens, offsets)), back[:-1]
+    keys, one, place = np.unique(pair_keys(distinct[u], distinct[w], model.hot), return_index=True, return_inverse=True)
+    rarer = np.minimum(c[u[one]], c[w[one]])
+    most = np.where(rarer > 0, levels_of(rarer), 0)
+    k = probes(model.look_up(distinct)[u[one]], model.distinct)
+    level = np.zeros(len(keys), np.int64)
+    for kind, own, data in _blocks(blocks):
+        if kind == CONTEXT:
+            here, there = _found(distinct, own)
+            s, m = np.frombuffer(data, np.int64).reshape(2, -1)
+            sums[here] += s[there]
+            n[here] += m[there]
+        else:
+            part = slice(int(np.searchsorted(keys, own[0])), int(np.searchsorted(keys, own[-1], "right")))
+            if part.stop > part.start:
+                level[part] = Filter(np.frombuffer(data, np.uint8)).levels(keys[part], k[part], most[part])
+    count = c[w]
+    plain = (count + 0.5) / unit_
+    s, q = np.maximum(sums[u], 1) / 5, quantised(level)[place] / 5
+    seen = np.minimum(1.0, np.maximum(q - model.discount, 0) / s + model.discount * n[u] / s * plain)
+    return count, np.log10(np.where(sums[u] > 0, seen, plain))
+
+
+def score(docs: DataFrame, model: Model, tail: DataFrame, blocks: DataFrame) -> DataFrame:
     """doc_id, held (the column of that name), n_tokens, n_known, train_tokens, base_score, score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    files = sorted(blocks.inputFiles())  # of the committed tasks
+    files = sorted(tail.inputFiles()), sorted(blocks.inputFiles())  # of the committed tasks
 
     def scored(held: list[tuple]) -> pa.RecordBatch:
         m: Model = shared.value
-        unit_ = max(m.total + 0.5 * (m.distinct + 1), 0.5)
         tokens = np.concatenate([x[2] for x in held])
         counts = np.concatenate([np.diff(x[3]) for x in held])
         offsets = np.concatenate([[0], np.cumsum(counts)])
         starts = offsets[:-1]
-        distinct, back = np.unique(tokens, return_inverse=True)
-        c, _ = m.look_up(distinct)
-        keys, place = np.unique(pairs(tokens, offsets, m.bits), return_inverse=True)
-        level = np.zeros(len(keys), np.int64)
-        for kind, own, data in _blocks(files):
-            part = _between(distinct if kind == WORD else keys, own)
-            if part.stop <= part.start:
-                continue
-            if kind == WORD:
-                at = np.searchsorted(own, distinct[part])
-                hit = own[at] == distinct[part]
-                c[part][hit] = data[at[hit]]
-            else:
-                level[part] = Filter(data, 0, 8 * len(data)).levels(keys[part], PAIR)
-        end = c[np.searchsorted(distinct, _END)]
-        both = np.where(level > 1, 1.4 * 2.0 ** (level - 1), level)[place]
-        c = c[back]
-        before = np.empty_like(c)
-        before[1:] = c[:-1]
-        before[starts] = end
-        ratio = np.minimum(1.0, both / np.maximum(before, 1))
-        plain = (c + 0.5) / unit_
-        chance = np.log10(np.where(before > 0, m.share * ratio + (1 - m.share) * plain, plain))
+        c, chance = chances(m, *files, tokens, offsets)
+        unit_ = max(m.total + 0.5 * (m.distinct + 1), 0.5)
         return pa.RecordBatch.from_arrays(
             [
                 pa.concat_arrays([x[0] for x in held]),
@@ -344,5 +437,4 @@ def score(docs: DataFrame, model: Model, blocks: DataFrame) -> DataFrame:
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text").withColumn("held", unit() % 5 == 1)
-    model, blocks = fit(docs.filter("not held"))
-    return score(docs, model, blocks).withColumnRenamed("held", "held_out")
+    return score(docs, *fit(docs.filter("not held"))).withColumnRenamed("held", "held_out")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +19,7 @@ from tessera.session import on_workers
 ROWS_PER_BATCH = 1000
 BYTES_PER_BATCH = 1 << 24
 
-_made: list[str] = []
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 
 
 def tuned(spark: SparkSession) -> SparkSession:
@@ -31,14 +34,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def folder(spark: SparkSession, label: str) -> str:
-    """The URI of a new folder in the one that driver and executors share (spark.checkpoint.dir)."""
+    """The URI of a new folder in the one that driver and executors share (spark.checkpoint.dir).
+
+    Where none is set, a local session gets one of its own; on a cluster that would be a folder that the others
+    don't see, so it raises ValueError.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:  # a local session, as in tests: driver and executors are one machine
+    if not root:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(root)
     path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     path = path if "://" in path or path.startswith("file:") else f"file://{path}"
-    _made.append(path)
+    if (open_ := _scope.get()) is not None:
+        open_.append(path)
     return path
 
 
@@ -50,19 +60,33 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, but: Iterable[str] = ()) -> None:
-    """Delete the folders made so far, except those that hold one of the given files."""
-    keep = [f.split("://")[-1].removeprefix("file:") for f in but]
-    for path in list(_made):
-        bare = path.split("://")[-1].removeprefix("file:")
-        if any(bare in f for f in keep):
-            continue
-        _made.remove(path)
-        jvm = spark.sparkContext._jvm
+@contextmanager
+def scope() -> Iterator[list[str]]:
+    """The folders that are made inside, for `discard`; those of other threads and of others' calls aren't among them."""
+    made: list[str] = []
+    mark = _scope.set(made)
+    try:
+        yield made
+    finally:
+        _scope.reset(mark)
+
+
+def discard(spark: SparkSession, made: list[str]) -> None:
+    """Delete folders whose rows nobody reads any more."""
+    jvm = spark.sparkContext._jvm
+    for path in made:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def apart(name: str, *tables: DataFrame) -> str:
+    """The name, with underscores in front until no column of the tables has it (Spark doesn't tell cases apart)."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def files_at(uri: str):
     """The pyarrow file system and path of a URI; executors use it to write and read files of their own formats."""
     from pyarrow import fs
@@ -81,7 +105,6 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x if x is not None else b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-
 def join_by_count(rows: DataFrame, table: DataFrame, key: str, count: str, total: int, how: str = "inner", share: int = 256) -> DataFrame:
     """rows joined with a table that has one row for each key, and in `count` how many rows have it.
 
@@ -89,10 +112,10 @@ def join_by_count(rows: DataFrame, table: DataFrame, key: str, count: str, total
     are, however many they are. The other keys are joined by a shuffle, in which none is large.
     """
     limit = total // share
-    hot = table.filter(F.col(count) > limit).withColumn("_hot", F.lit(True))
-    cold = table.filter(F.col(count) <= limit)
+    mark = apart("hot", rows, table)
     names = [c for c in table.columns if c != key]
-    few = rows.join(F.broadcast(hot.select(key)), key, "left_semi").join(F.broadcast(hot), key)
-    many = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how)
+    hot = table.filter(F.col(count) > limit)
+    few = rows.join(F.broadcast(hot), key)
+    many = rows.join(F.broadcast(hot.select(key, F.lit(True).alias(mark))), key, "left_anti").join(table.filter(F.col(count) <= limit), key, how)
     columns = [*rows.columns, *names]
     return few.select(*columns).unionByName(many.select(*columns))

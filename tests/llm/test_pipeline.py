@@ -4,7 +4,7 @@ import itertools
 
 import corpus_pipeline
 from tessera.llm import common, decontam
-from tests.llm.test_operators import brute_components
+from tests.llm.test_llm_operators import brute_components
 
 DATA = "/root/testdata/sf0.001"
 
