@@ -3,8 +3,9 @@
 Writing: of pages with equal payloads of at least LEAST_REVISIT bytes the one with the smallest page_id is a
 `response`, the others are `revisit` records that refer to it and hold no payload; smaller payloads are all
 responses. Copies are found by digest with a partial aggregation; digests that hold more than 1/256 of all rows
-(so 255 at most) are broadcast, the rest are joined by a shuffle. Each record is a gzip member of its own, as is
-usual for WARC, and a task writes its records to archives of about ARCHIVE_BYTES.
+(so 255 at most) are broadcast, and the pages of the other digests that repeat are joined by a shuffle; the rest stay
+where they are. Each record is a gzip member of its own, as is usual for WARC, and a task writes its records to archives of
+about ARCHIVE_BYTES.
 
 Reading: `read_chunks` streams an archive and yields one row for each chunk of a payload: record_id, chunk
 (from 0), data, offset, and the digests up to there (sha256 and bytes so far); the last chunk has the record's
@@ -13,7 +14,8 @@ of its headers raises ValueError.
 
 Null html is an empty payload. Rows that repeat a page_id are records of their own; of equal rows with the
 smallest page_id each is a response. Null page_id comes after all others. An empty table gives no archive.
-Archives have names of their own for each attempt, and only those in the manifest are read.
+Very long payloads are written and read in pieces of CHUNK. Other columns are ignored, whatever their names. Archives
+have names of their own for each attempt, and only those in the manifest are read.
 """
 
 from __future__ import annotations
@@ -29,12 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import files_at, folder, saved, tuned
+from tessera.llm.common import files_at, folder, join_by_count, saved, tuned
 
 LEAST_REVISIT = 100
 CHUNK = 1 << 18
 ARCHIVE_BYTES = 1 << 30
-HOT_SHARE = 256
+#: Digests that repeat fall in so many slots, which are broadcast; pages in other slots need no join.
+SLOTS = 1 << 20
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\n\r\n"
 
@@ -71,13 +74,12 @@ def decided(pages: DataFrame) -> DataFrame:
     large = F.length("payload") >= LEAST_REVISIT
     groups = rows.filter(large).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
     groups = saved(groups.filter("n > 1"), "copies")
-    limit = pages.count() // HOT_SHARE
-    hot = groups.filter(F.col("n") > limit).select("digest", F.col("first").alias("hot_first"))  # fewer than HOT_SHARE rows
-    cold = groups.filter(F.col("n") <= limit).select("digest", "first")
-    marked = rows.join(F.broadcast(hot), "digest", "left")
-    few = marked.filter("hot_first is not null").withColumn("first", F.col("hot_first"))
-    many = marked.filter("hot_first is null").join(cold, "digest", "left")
-    both = few.select("page_id", "url", "payload", "digest", "first").unionByName(many.select("page_id", "url", "payload", "digest", "first"))
+    slot = F.pmod(F.xxhash64("digest"), F.lit(SLOTS))
+    slots = F.broadcast(saved(groups.select(slot.alias("slot")).distinct(), "slots"))  # SLOTS at most
+    rows = rows.withColumn("slot", slot)
+    some = join_by_count(rows.join(slots, "slot", "left_semi"), groups, "digest", "n", pages.count(), "left")
+    columns = ["page_id", "url", "payload", "digest", "first"]
+    both = some.select(*columns).unionByName(rows.join(slots, "slot", "left_anti").withColumn("first", F.lit(None).cast("long")).select(*columns))
     return both.withColumn("revisit", F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id")))
 
 
