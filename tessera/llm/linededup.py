@@ -4,9 +4,10 @@
    words. In scripts without spaces between words, two characters count as a word.
 2. Equal texts are one document here; all but the first of them (in the order of doc_id) lose all lines.
 3. Overlaps: a passage is a shortest run of lines of BLOCK_WORDS words together, blank lines left out: one long line,
-   or several short ones. A passage that several documents hold links each of them to the first that holds it. Any
-   common block of BLOCK_WORDS words has such a passage at its start and one at its end, so no block is without a
-   link, and links grow with the lines, not with the square of a group; none is left out.
+   or several short ones. So every key is rare as text; how many documents hold it is counted. A passage that several
+   documents hold links each of them to the first that holds it, whether two hold it or a third of all. Any
+   common block of BLOCK_WORDS words has such a passage at its start and one at its end, and each of its lines is in one;
+   so all pairs of holders would cut no other line (a test compares with all pairs), and links grow with the lines.
 4. Each pair is aligned by patience diff over whole lines that aren't blank: the lines that are unique in both are put
    in their longest common order, runs of equal lines grow from them in both directions, and the gaps are aligned
    likewise; in a gap without such a line, the k-th of equal lines is taken for the k-th in the other text.
@@ -19,7 +20,8 @@ A document's lines that aren't in a deleted block stay as they are, and so do do
 
 Null text stays null and is linked with nothing; so is an empty one. Rows that repeat doc_id and text are one
 document and get the same result; rows that repeat a doc_id with other texts are told apart by text. Null doc_id
-comes last. An empty table gives no rows; other columns stay as they are.
+comes last. An empty table gives no rows; other columns stay as they are, whatever their names, but for n_lines and
+n_deleted, which are replaced. Very long texts are aligned whole; a pair's lines are held as 17 bytes each.
 """
 
 from __future__ import annotations
@@ -34,12 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, join_by_count, saved, texts_of
+from tessera.llm.common import apart, documents, join_by_count, saved, texts_of
 
 BLOCK_WORDS = 10
 _UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 _BLANK = b"\0" * 16
 _ORDER = (1 << 63) - 1
+_CLASS = "unhex(md5(text))"
+#: Cut texts fall in so many slots, which are broadcast; texts in other slots need no join.
+SLOTS = 1 << 20
 
 
 def _weight(line: bytes) -> int:
@@ -192,16 +197,11 @@ def line_table(docs: DataFrame) -> DataFrame:
     """doc long (a null doc_id is the highest), class binary (of the text), lines binary, weights binary; no row for null or empty text."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for batch in parts:
-            texts = texts_of(batch.column(1))
-            pairs = [line_hashes(t) for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(x, pa.binary()) for x in ([xxhash.xxh3_128_digest(t) for t in texts], [p[0] for p in pairs], [p[1] for p in pairs]))], names=["doc", "class", "lines", "weights"]
-            )
+            pairs = [line_hashes(t) for t in texts_of(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([p[i] for p in pairs], pa.binary()) for i in range(2))], names=["doc", "class", "lines", "weights"])
 
-    rows = docs.filter("text is not null and text <> ''").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_ORDER)).alias("doc"), "text")
+    rows = docs.filter("text is not null and text <> ''").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_ORDER)).alias("doc"), F.expr(_CLASS).alias("class"), "text")
     return rows.mapInArrow(run, "doc long, class binary, lines binary, weights binary")
 
 
@@ -230,10 +230,15 @@ def cuts(docs: DataFrame) -> DataFrame:
     total = int(owners.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n)
     shared = join_by_count(held.select("line", "node"), owners, "line", "n", max(total, 1))
     pairs = shared.filter("node <> owner").select("owner", "node").distinct()
-    degree = saved(pairs, "pairs")
-    most = degree.groupBy("owner").agg(F.count("*").alias("n"))
-    own = same.select(F.col("node").alias("owner"), F.col("lines").alias("owner_lines"), F.col("weights").alias("owner_weights")).join(most, "owner")
-    joined = join_by_count(degree, own, "owner", "n", degree.count()).join(same.select("node", "lines", "weights"), "node")
+    pairs = saved(pairs, "pairs")
+    # what is sent with a pair is the later document; a first holder's lines are sent once for each share of its pairs
+    limit = max(1, pairs.count() // 256)
+    degree = saved(pairs.groupBy("owner").agg(F.count("*").alias("n")), "degree")
+    shares = F.expr(f"int(ceil(n / {limit}))")
+    own = same.select(F.col("node").alias("owner"), F.col("lines").alias("owner_lines"), F.col("weights").alias("owner_weights")).join(degree, "owner")
+    own = own.withColumn("share", F.explode(F.sequence(F.lit(0), shares - 1))).drop("n")
+    dealt = join_by_count(pairs, degree, "owner", "n", limit * 256).select("owner", "node", F.pmod(F.xxhash64("node"), shares).cast("int").alias("share"))
+    joined = dealt.join(same.select("node", "lines", "weights"), "node").join(own, ["owner", "share"])
 
     def align(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
@@ -253,30 +258,23 @@ def cuts(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows with text without the common blocks, and n_lines and n_deleted (long; 0 for null text)."""
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
-    table = cuts(docs)
-
-    names = [*kept, "_class"]
-    at = kept.index("text")
-
-    def mark(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for batch in parts:
-            digest = [xxhash.xxh3_128_digest(t) for t in texts_of(batch.column(at))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digest, pa.binary())], names=names)
-
-    schema = docs.select(*kept).schema.add("_class", "binary")
-    rows = docs.select(*kept).mapInArrow(mark, schema)
-    total = docs.count()
-    joined = join_by_count(rows, table.withColumnRenamed("class", "_class").withColumnRenamed("first", "_first").withColumnRenamed("copies", "_copies").withColumnRenamed("ranges", "_ranges"), "_class", "_copies", max(total, 1), "left")
-    copy = F.col("_first").isNotNull() & (F.coalesce(F.col("doc_id").cast("long"), F.lit(_ORDER)) != F.col("_first"))
+    kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_deleted")]
+    rows = docs.select(*kept)
+    key, first, copies, ranges, slot = (apart(n, rows) for n in ("class", "first", "copies", "ranges", "slot"))
+    table = cuts(rows.select("doc_id", "text")).toDF(key, first, copies, ranges)
+    place = F.pmod(F.xxhash64(key), F.lit(SLOTS))
+    slots = F.broadcast(saved(table.select(place.alias(slot)).distinct(), "slots"))  # SLOTS at most
+    rows = rows.withColumn(key, F.expr(_CLASS)).withColumn(slot, place)
+    some = join_by_count(rows.join(slots, slot, "left_semi"), table, key, copies, max(docs.count(), 1), "left")
+    none = rows.join(slots, slot, "left_anti").select(*kept)
+    copy = F.col(first).isNotNull() & (F.coalesce(F.col("doc_id").cast("long"), F.lit(_ORDER)) != F.col(first))
     lines = "split(text, '\\n', -1)"
     n = F.when(F.col("text").isNull(), 0).otherwise(F.expr(f"size({lines})")).cast("long")
-    left = F.expr(f"filter({lines}, (x, i) -> not exists(_ranges, r -> r.a <= i and i < r.b))")
-    text = F.when(copy, F.lit("")).when(F.col("_ranges").isNotNull(), F.array_join(left, "\n")).otherwise(F.col("text"))
-    gone = F.when(copy, n).when(F.col("_ranges").isNotNull(), n - F.size(left)).otherwise(0).cast("long")
-    return joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in kept], n.alias("n_lines"), gone.alias("n_deleted"))
+    left = F.expr(f"filter({lines}, (x, i) -> not exists({ranges}, r -> r.a <= i and i < r.b))")
+    text = F.when(copy, F.lit("")).when(F.col(ranges).isNotNull(), F.array_join(left, "\n")).otherwise(F.col("text"))
+    gone = F.when(copy, n).when(F.col(ranges).isNotNull(), n - F.size(left)).otherwise(0).cast("long")
+    cut = some.select(*[text.alias("text") if c == "text" else F.col(c) for c in kept], n.alias("n_lines"), gone.alias("n_deleted"))
+    return cut.unionByName(none.select(*kept, n.alias("n_lines"), F.lit(0).cast("long").alias("n_deleted")))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
