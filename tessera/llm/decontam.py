@@ -7,24 +7,29 @@ a part within the budget holds one of them unchanged. One Aho-Corasick automaton
 document; around each hit, Myers' bit-parallel distance over the item (one machine-independent integer per
 column) gives the least distance of a part that ends there. Hits of an item at close diagonals are verified once.
 
-The benchmark is the query set. It is taken in blocks of BLOCK_BYTES at most, and for each block there is one pass
-over the documents; only a block is ever sent to the workers. Items that repeat are matched each. An item whose
-normal form is empty (or null) matches nothing; a null or empty document matches nothing. Rows that repeat a
-doc_id give a row each.
+The benchmark is the query set. Its normal forms are written to the shared folder in shards of about SHARD_BYTES (an item is
+never split); the driver holds their names. One pass over the documents: a task gathers BUFFER_BYTES of texts and takes
+them through shard after shard, with one automaton in memory at a time (if there is one shard, the worker keeps it).
+Items that repeat are matched each. An item whose normal form is empty (or null) matches nothing; a null or empty document
+matches nothing. Rows that repeat a doc_id give a row each. Empty tables give no rows. Very long texts are searched whole.
+Other columns are ignored, or kept as they are by `without_matches`, whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents
+from tessera.llm.common import documents, files_at, folder, saved
 
 CHARS_PER_EDIT = 20
-BLOCK_BYTES = 1 << 22
+SHARD_BYTES = 1 << 22
+BUFFER_BYTES = 1 << 26
 _KEEP = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
@@ -112,71 +117,106 @@ class Matcher:
         return out
 
 
-def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """Runs of (item_id, normal form) of BLOCK_BYTES at most."""
-    own, size = [], 0
-    for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").toLocalIterator():
-        if x := normal(r.text):
-            if own and size + len(x) > BLOCK_BYTES:
-                yield own
-                own, size = [], 0
-            own.append((r.item_id, x))
-            size += len(x)
-    if own:
-        yield own
+def shards(benchmark: DataFrame) -> list[str]:
+    """Files with the items and their normal forms; the driver sees their names alone."""
+    where = folder(benchmark.sparkSession, "benchmark")
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    size = rows.agg(F.sum(F.length("text")).alias("n")).first().n or 0
 
+    def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, path = files_at(where)
+        held: list[tuple[int, bytes]] = []
 
-_matchers: dict[tuple, Matcher] = {}
+        def put() -> pa.RecordBatch:
+            name = f"shard-{uuid.uuid4().hex}.arrow"
+            own = pa.record_batch([pa.array([i for i, _ in held], pa.int64()), pa.array([x for _, x in held], pa.binary())], names=["item_id", "normal"])
+            with system.open_output_stream(f"{path}/{name}") as sink, pa.ipc.new_file(sink, own.schema) as file:
+                file.write_batch(own)
+            return pa.RecordBatch.from_pydict({"path": [f"{where}/{name}"]})
 
+        size = 0
+        for batch in parts:
+            for item_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if x := normal(text):
+                    held.append((item_id, x.encode("latin-1")))
+                    size += len(x)
+                if size >= SHARD_BYTES:
+                    yield put()
+                    held, size = [], 0
+        if held:
+            yield put()
 
-def _matcher(items: list[tuple[int, str]]) -> Matcher:
-    """The automaton of a block, built once in each Python worker."""
-    key = hash(tuple(items))
-    if key not in _matchers:
+    files_at(where)[0].create_dir(files_at(where)[1], recursive=True)
+    manifest = saved(rows.repartition(-(-size // SHARD_BYTES) or 1).mapInArrow(write, "path string"), "shards")
+    return sorted(r.path for r in manifest.collect())  # a name for each SHARD_BYTES
+
+
+_matchers: dict[str, Matcher] = {}
+
+
+def _matcher(uri: str) -> Matcher:
+    """The automaton of a shard; each Python worker holds one."""
+    if uri not in _matchers:
         _matchers.clear()
-        _matchers[key] = Matcher(items)
-    return _matchers[key]
+        system, path = files_at(uri)
+        with system.open_input_file(path) as source:
+            table = pa.ipc.open_file(source).read_all()
+        _matchers[uri] = Matcher([(i, x.decode("latin-1")) for i, x in zip(table["item_id"].to_pylist(), table["normal"].to_pylist(), strict=True)])
+    return _matchers[uri]
+
+
+def _buffered(parts: Iterator[pa.RecordBatch], at: int, files: list[str]) -> Iterator[tuple[list[pa.RecordBatch], list[str]]]:
+    """Runs of batches with BUFFER_BYTES of texts, and the normal forms of these; a batch each if there is one shard."""
+    held, texts, size = [], [], 0
+    for batch in parts:
+        own = [normal(x) for x in batch.column(at).to_pylist()]
+        held.append(batch)
+        texts += own
+        size += sum(map(len, own))
+        if size >= BUFFER_BYTES or len(files) < 2:
+            yield held, texts
+            held, texts, size = [], [], 0
+    if held:
+        yield held, texts
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and item that match: doc_id, item_id, distance, start_byte, end_byte (in the normal form)."""
-    schema = "doc_id long, item_id long, distance int, start_byte long, end_byte long"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-
-    def one(items: list[tuple[int, str]]) -> DataFrame:
-        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = _matcher(items)
-            for batch in parts:
-                out = []
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    out += [(doc_id, items[i][0], d, a, b) for i, d, a, b in matcher.match(normal(text))]
+    files = shards(benchmark)
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+    names = ["doc_id", "item_id", "distance", "start_byte", "end_byte"]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, texts in _buffered(parts, 1, files):
+            doc_ids = [x for batch in held for x in batch.column(0).to_pylist()]
+            for uri in files:
+                matcher = _matcher(uri)
+                out = [(d, matcher.items[i][0], n, a, b) for d, text in zip(doc_ids, texts, strict=True) for i, n, a, b in matcher.match(text)]
                 if out:
-                    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "item_id", "distance", "start_byte", "end_byte"])
-
-        return rows.mapInArrow(run, schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    out = None
-    for items in blocks(benchmark):
-        out = one(items) if out is None else out.unionByName(one(items))
-    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(run, "doc_id long, item_id long, distance int, start_byte long, end_byte long")
 
 
 def without_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs whose text matches no item."""
+    files = shards(benchmark)
     at = docs.columns.index("text")
 
-    def one(df: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
-        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = _matcher(items)
-            for batch in parts:
-                yield batch.filter(pa.array([not matcher.match(normal(x)) for x in batch.column(at).to_pylist()], pa.bool_()))
-
-        return df.mapInArrow(run, docs.schema)
-
-    for items in blocks(benchmark):
-        docs = one(docs, items)
-    return docs
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, texts in _buffered(parts, at, files):
+            clean = np.ones(len(texts), bool)
+            for uri in files:
+                matcher = _matcher(uri)
+                for i in np.flatnonzero(clean).tolist():
+                    clean[i] = not matcher.match(texts[i])
+            first = 0
+            for batch in held:
+                yield batch.filter(pa.array(clean[first : first + batch.num_rows]))
+                first += batch.num_rows
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
