@@ -8,8 +8,10 @@ documented bound of the sample), by Adam on the likelihood with an L1 penalty, o
 LEAST_DOCUMENTS of them have. Each document gets its expected grade and the tail probabilities; `keep` is
 P(grade >= 1) >= KEEP, so that likely toxic texts go and others stay.
 
-Null text is an empty one. Labels that are null aren't used; of several labels of a document all count. With no
-labels, all weights are 0 and both tails 1/2. Rows that repeat are scored each; other columns are ignored.
+Null text is an empty one. Labels that are null aren't used; of several labels of a document all count; of several texts of
+a rated doc_id the one with the smallest hash is learned from. With no labels, all weights are 0 and both tails 1/2.
+Rows that repeat are scored each; an empty table gives no rows. Very long texts are taken whole, in runs of some MB. Null
+doc_id stays null and has no label. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -71,10 +73,13 @@ class Model:
         return _sigmoid(z - self.thresholds[0]), _sigmoid(z - self.thresholds[1])
 
 
-def fit_rows(row: np.ndarray, bucket: np.ndarray, weight: np.ndarray, grade: np.ndarray, rounds: int = 200, rate: float = 0.1, penalty: float = 5e-4) -> Model:
-    """Full-batch Adam on the mean negative log-likelihood; t2 = t1 + exp(gap), so the thresholds stay in order."""
-    n = len(grade)
-    if not n:
+def fit_rows(row: np.ndarray, bucket: np.ndarray, weight: np.ndarray, ratings: np.ndarray, rounds: int = 200, rate: float = 0.1, penalty: float = 5e-4) -> Model:
+    """Full-batch Adam on the mean negative log-likelihood; t2 = t1 + exp(gap), so the thresholds stay in order.
+
+    row, bucket, weight: the entries of the texts' features; ratings: how often each text has each grade.
+    """
+    n, total = len(ratings), ratings.sum()
+    if not total:
         return Model(np.zeros(BUCKETS), (0.0, 0.0))
     common = np.bincount(bucket, minlength=BUCKETS)[bucket] >= LEAST_DOCUMENTS
     row, bucket, weight = row[common], bucket[common], weight[common]
@@ -82,15 +87,16 @@ def fit_rows(row: np.ndarray, bucket: np.ndarray, weight: np.ndarray, grade: np.
     w = np.zeros(len(used) + 2)
     w[-2:] = (-2.0, 0.5)
     m, v = np.zeros_like(w), np.zeros_like(w)
+    low, mid, high = ratings.T
     for t in range(1, rounds + 1):
         z = np.bincount(row, w[place] * weight, n)
         gap = np.exp(w[-1])
         p1, p2 = _sigmoid(z - w[-2]), _sigmoid(z - w[-2] - gap)
         # derivatives of -log P(grade) by p1's and p2's arguments
         middle = np.maximum(p1 - p2, 1e-12)
-        d1 = np.where(grade == 0, p1, np.where(grade == 1, -p1 * (1 - p1) / middle, 0))
-        d2 = np.where(grade == 2, -(1 - p2), np.where(grade == 1, p2 * (1 - p2) / middle, 0))
-        g = np.append(np.bincount(place, (d1 + d2)[row] * weight, len(used)) / n, [-(d1 + d2).mean(), -(d2.mean() * gap)])
+        d1 = low * p1 - mid * p1 * (1 - p1) / middle
+        d2 = mid * p2 * (1 - p2) / middle - high * (1 - p2)
+        g = np.append(np.bincount(place, (d1 + d2)[row] * weight, len(used)), [-(d1 + d2).sum(), -d2.sum() * gap]) / total
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         scale = rate / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w -= scale * m / (1 - 0.9**t)
@@ -101,33 +107,29 @@ def fit_rows(row: np.ndarray, bucket: np.ndarray, weight: np.ndarray, grade: np.
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_RATED) -> Model:
+    """Learn from `most` rated documents, those with the smallest hashes of doc_id."""
     grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 1, 2).otherwise(1)
     rated = labels.filter("toxic is not null and quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), grade.alias("grade"))
-    n = rated.count()
-    if n > most:  # the rows with the smallest hashes: a share of all, and no more than `most`
-        rated = rated.filter(F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53) < most / n)
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(rated), "doc_id")
+    rated = rated.groupBy("doc_id").agg(*[F.count_if(F.col("grade") == g).alias(f"n{g}") for g in range(3)])
+    rated = F.broadcast(rated.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
+    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(rated, "doc_id")
+    joined = joined.groupBy("doc_id", "n0", "n1", "n2").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            grades = batch.column(1)
-            for first, last, row, bucket, weight in features(texts_of(batch.column(0))):
+            for first, last, row, bucket, weight in features(texts_of(batch.column(1))):
                 cut = np.searchsorted(row, np.arange(last - first + 1)).tolist()
                 ids, values = bucket.astype("<i4"), weight.astype("<f4")
-                yield pa.RecordBatch.from_arrays(
-                    [grades.slice(first, last - first), pa.array([ids[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary()), pa.array([values[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())],
-                    names=["grade", "ids", "weights"],
-                )
-
-    rows = []
-    for r in joined.select("text", "grade").mapInArrow(run, "grade int, ids binary, weights binary").toLocalIterator():
-        if len(rows) < int(1.1 * most) + 100:  # the share is a draw; this holds the bound
-            rows.append((r.grade, np.frombuffer(r.ids, "<i4"), np.frombuffer(r.weights, "<f4")))
-    size = [len(x[1]) for x in rows]
-    empty = np.zeros(0)
-    return fit_rows(
-        np.repeat(np.arange(len(rows)), size), np.concatenate([empty.astype(np.int64), *(x[1] for x in rows)]).astype(np.int64), np.concatenate([empty, *(x[2] for x in rows)]), np.array([x[0] for x in rows], np.int64)
-    )
+                entries = [pa.array([x[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary()) for x in (ids, values)]
+                own = batch.slice(first, last - first)
+                yield pa.RecordBatch.from_arrays([own.column(0), *entries, *own.columns[2:]], names=["doc_id", "ids", "weights", "n0", "n1", "n2"])
+
+    schema = "doc_id long, ids binary, weights binary, n0 long, n1 long, n2 long"
+    found = joined.select("doc_id", "text", "n0", "n1", "n2").mapInArrow(run, schema).toLocalIterator()  # `most` rows at most
+    rows = sorted(((r.doc_id, np.frombuffer(r.ids, "<i4"), np.frombuffer(r.weights, "<f4"), (r.n0, r.n1, r.n2)) for r in found), key=lambda x: x[0])
+    row = np.repeat(np.arange(len(rows)), [len(x[1]) for x in rows]).astype(np.int64)
+    bucket, weight = (np.concatenate([np.zeros(0, kind), *(x[i] for x in rows)]).astype(kind) for i, kind in ((1, np.int64), (2, np.float64)))
+    return fit_rows(row, bucket, weight, np.array([x[3] for x in rows], np.float64).reshape(-1, 3))
 
 
 def grade(docs: DataFrame, model: Model) -> DataFrame:
