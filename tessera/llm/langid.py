@@ -3,13 +3,16 @@
 Features: n-grams (1 to 3) of the UTF-8 bytes around every letter of the lower-case text (anything in ASCII
 that is no letter counts as a space), hashed to DIMENSIONS buckets; weights are (1 + ln count) * idf, of unit
 length. The idf comes from all training documents. The centroids of a language are a spherical k-means of at
-most PER_LANGUAGE of its training documents, chosen by a hash of doc_id. A text goes to the language of the
+most PER_LANGUAGE of its training documents, those with the smallest hashes of doc_id, fitted in a task for each language;
+the driver and the workers hold CENTROIDS centroids of 16 KB each for a language. A text goes to the language of the
 centroid with the highest cosine; it is rejected if its distance is over that language's limit, which is
-REACH times the largest distance of a sampled document from its language's centroids, and between
-LEAST_LIMIT and 1: texts of a word or two are far from all centroids and still in a language.
+REACH times the largest distance of a sampled document from its language's centroids, or, if more, LEAST_LIMIT for
+texts of SHORT letters, less by the root of the length for longer ones: short texts are far from all centroids.
 
 Null text, or text without a letter: `und`, score 0, rejected. No training rows: `und` for all. Equal texts get
-equal predictions; rows that repeat are predicted each. Null lang isn't learned from. Other columns are ignored.
+equal predictions; rows that repeat are predicted each. Null lang isn't learned from. Very long texts are taken whole, in
+slices. An empty table gives no rows. Other columns are kept as they are, whatever their names, but for lang_pred, score and
+rejected, which `identify` replaces.
 """
 
 from __future__ import annotations
@@ -22,14 +25,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bytesvec import batches
-from tessera.llm.common import documents, unit
+from tessera.llm.common import documents, join_by_count, saved, unit
 
 DIMENSIONS = 1 << 12
 CENTROIDS = 4
 #: Bound of the sample that the centroids of a language are fitted on (a documented parameter).
 PER_LANGUAGE = 1000
 REACH = 1.25
-LEAST_LIMIT = 0.9
+LEAST_LIMIT, SHORT = 0.9, 32
 UNKNOWN = "und"
 
 _CLEAN = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
@@ -77,22 +80,15 @@ def cluster(x: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, idf: np.ndarray, samples: dict[str, np.ndarray]):
-        self.idf = idf
-        self.names, centres, self.limit = [], [], []
-        for name, count in sorted(samples.items()):
-            x = unit_vectors(count, idf)
-            own = cluster(x, CENTROIDS)
-            self.names += [name] * len(own)
-            self.limit += [min(1.0, max(LEAST_LIMIT, REACH * float(1 - (x @ own.T).max(axis=1).min())))] * len(own)
-            centres.append(own)
-        self.centres = np.concatenate(centres).astype(np.float32) if centres else np.zeros((0, DIMENSIONS), np.float32)
-        self.limit = np.array(self.limit)
+    def __init__(self, idf: np.ndarray, names: list[str], centres: np.ndarray, limit: np.ndarray):
+        self.idf, self.names, self.centres, self.limit = idf, names, centres, limit
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
         names, scores, rejected = [], [], []
         for first, count in counts(texts):
             cosine = unit_vectors(count, self.idf) @ self.centres.T if len(self.centres) else None
+            letters = count.sum(axis=1) / 3
+            least = LEAST_LIMIT * np.minimum(1, np.sqrt(SHORT / np.maximum(letters, 1)))
             for i in range(len(count)):
                 text = texts[first + i]
                 if cosine is None or not text or not any(c.isalpha() for c in text):
@@ -100,7 +96,7 @@ class Model:
                     continue
                 best = int(np.argmax(cosine[i]))
                 score = min(1.0, max(0.0, float(cosine[i, best])))
-                names.append(self.names[best]), scores.append(score), rejected.append(1 - score > self.limit[best] + 1e-6)
+                names.append(self.names[best]), scores.append(score), rejected.append(1 - score > max(self.limit[best], least[i]) + 1e-6)
         return names, scores, rejected
 
 
@@ -126,24 +122,30 @@ def fit(docs: DataFrame) -> Model:
     n, df = df[-1], df[:-1]
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
 
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
-    if not sizes:
-        return Model(idf, {})
-    share = F.element_at(F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, PER_LANGUAGE / v)]), F.col("lang"))
+    sizes = saved(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
     draw = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)
 
     def sampled(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            texts, names = batch.column(0).to_pylist(), batch.column(1)
+            texts = batch.column(0).to_pylist()
             for first, count in counts(texts):
-                own = np.minimum(count, 65535).astype("<u2")
-                yield pa.RecordBatch.from_pydict({"lang": names.slice(first, len(own)), "v": pa.array([x.tobytes() for x in own], pa.binary())})
-
-    samples: dict[str, list] = {}
-    for r in rows.filter(draw < share).select("text", "lang").mapInArrow(sampled, "lang string, v binary").toLocalIterator():
-        if len(own := samples.setdefault(r.lang, [])) < PER_LANGUAGE:  # the draw may give a few more
-            own.append(np.frombuffer(r.v, "<u2"))
-    return Model(idf, {k: np.array(v, np.float32) for k, v in samples.items()})
+                own = batch.slice(first, len(count))
+                data = pa.array([x.tobytes() for x in np.minimum(count, 65535).astype("<u2")], pa.binary())
+                yield pa.RecordBatch.from_arrays([data, *own.columns[1:]], names=["v", "lang", "draw"])
+
+    def centres(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("draw", "ascending"), ("v", "ascending")]).slice(0, PER_LANGUAGE)  # the draw may give a few more
+        x = unit_vectors(np.frombuffer(b"".join(table["v"].to_pylist()), "<u2").reshape(-1, DIMENSIONS).astype(np.float32), idf)
+        own = cluster(x, CENTROIDS)
+        limit = min(1.0, REACH * float(1 - (x @ own.T).max(axis=1).min()))
+        return pa.table({"lang": [table["lang"][0].as_py()] * len(own), "centre": pa.array([c.astype("<f4").tobytes() for c in own], pa.binary()), "limit": pa.array([limit] * len(own))})
+
+    total = int(sizes.agg(F.sum("n").alias("n")).first().n or 0)
+    drawn = join_by_count(rows, sizes, "lang", "n", total).select("text", "lang", draw.alias("draw"), "n").filter(F.col("draw") < PER_LANGUAGE / F.col("n"))
+    vectors = drawn.select("text", "lang", "draw").mapInArrow(sampled, "v binary, lang string, draw double")
+    found = vectors.groupBy("lang").applyInArrow(centres, "lang string, centre binary, limit double").collect()  # 16 KB for each centroid
+    found.sort(key=lambda r: (r.lang, bytes(r.centre)))
+    return Model(idf, [r.lang for r in found], np.frombuffer(b"".join(r.centre for r in found), "<f4").reshape(-1, DIMENSIONS), np.array([r.limit for r in found]))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
