@@ -4,10 +4,12 @@
 them and writes for each range one Arrow IPC file: rows of `ids: fixed_size_list<uint16|uint32>[width]` and
 `mask: fixed_size_list<bool>[width]` (false where the last row is padded), and beside it an index file with
 doc_id, start and n_tokens of each document. The stream of ids runs over the rows. Every row has the same
-length, so row i of a mapped file is found without reading another one (`SequenceFile`).
+length, and every record batch but the last the same number of rows, so row i of a mapped file is found without
+reading another one (`SequenceFile`).
 
 Ties and repeats: rows of one doc_id stay together, ordered by text. Null text is an empty document of one
-end id; null doc_id sorts first. An empty table gives no file and no rows. Other columns are ignored.
+end id; null doc_id sorts first. An empty table gives no file and no rows. Very long texts run over as many rows as they
+need. Other columns are ignored, whatever their names.
 A task writes under a name of its own, and only the names of tasks that ended are in the manifest, which is
 kept in the shared folder: a lost executor or a second attempt leaves at most a file that nothing reads.
 """
@@ -29,11 +31,12 @@ from tessera.llm.tokens import encoder
 WIDTH = 1024
 ROWS_PER_RECORD_BATCH = 64
 END = 0
+_ROWS = b"rows_per_record_batch"
 _INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
 def _schema(width: int, kind: pa.DataType) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(kind, width)), ("mask", pa.list_(pa.bool_(), width))])
+    return pa.schema([("ids", pa.list_(kind, width)), ("mask", pa.list_(pa.bool_(), width))], {_ROWS: str(ROWS_PER_RECORD_BATCH)})
 
 
 class _Shard:
@@ -59,14 +62,16 @@ class _Shard:
             self._flush(False)
 
     def _flush(self, last: bool) -> None:
+        """Write what fills record batches; what is left waits for the next ids, or is the last batch."""
         flat = np.concatenate([np.zeros(0, self.kind), *self.held])
-        full = len(flat) // self.width * self.width
-        body, rest = flat[:full], flat[full:]
-        for at in range(0, full, self.width * ROWS_PER_RECORD_BATCH):
-            part = body[at : at + self.width * ROWS_PER_RECORD_BATCH]
-            self._write(part, np.ones(len(part), bool))
+        step = self.width * ROWS_PER_RECORD_BATCH
+        full = len(flat) // step * step
+        for at in range(0, full, step):
+            self._write(flat[at : at + step], np.ones(step, bool))
+        rest = flat[full:]
         if last and len(rest):
-            self._write(np.pad(rest, (0, self.width - len(rest))), np.arange(self.width) < len(rest))
+            size = -(-len(rest) // self.width) * self.width
+            self._write(np.pad(rest, (0, size - len(rest))), np.arange(size) < len(rest))
             rest = rest[:0]
         self.held, self.waiting = [rest], len(rest)
 
@@ -124,6 +129,7 @@ class SequenceFile:
         self.source = pa.memory_map(path) if system.type_name == "local" else system.open_input_file(path)
         self.reader = pa.ipc.open_file(self.source)
         self.width = self.reader.schema.field("ids").type.list_size
+        self.rows = int(self.reader.schema.metadata[_ROWS])
 
     def batch(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids (a view of the file where it is mapped) and masks of record batch i, one row for each sequence."""
@@ -133,12 +139,10 @@ class SequenceFile:
         return ids.reshape(-1, self.width), mask.reshape(-1, self.width)
 
     def sequence(self, row: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sequence `row`: all record batches but the last have ROWS_PER_RECORD_BATCH rows or fewer, so they are looked up."""
-        if not hasattr(self, "before"):
-            self.before = np.cumsum([0, *(self.reader.get_batch(i).num_rows for i in range(self.reader.num_record_batches))])
-        i = int(np.searchsorted(self.before, row, "right")) - 1
+        """Sequence `row`: all record batches but the last have the same number of rows, so its place is known."""
+        i, at = divmod(row, self.rows)
         ids, mask = self.batch(i)
-        return ids[row - self.before[i]], mask[row - self.before[i]]
+        return ids[at], mask[at]
 
     def ids(self) -> Iterator[np.ndarray]:
         """The stream of ids without padding, a record batch at a time."""
