@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star steps (Kiveris et al., 2014).
 
-Each step is an aggregation and a join, so no vertex's neighbours meet in one task's memory; after each round
-the edges are written to the shared folder. The rounds end when a round changes nothing.
+Each step is an aggregation and a join, so no vertex's neighbours meet in one task's memory: vertices with more than 1/256
+of the edges are joined by a broadcast, the others by a shuffle. After each step the edges are written to the shared
+folder. The rounds end when a round changes nothing. No edges: no rows; loops and repeated edges change nothing.
 """
 
 from __future__ import annotations
@@ -9,20 +10,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import saved
+from tessera.llm.common import join_by_count, saved
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, total: int) -> DataFrame:
+    """The edges with m, the smallest v of their u."""
+    least = saved(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+    return join_by_count(edges, least, "u", "n", total)
+
+
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    own = _with_least(both, 2 * total).withColumn("m", F.least("u", "m"))
+    return own.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    linked = down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return linked.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
+    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    own = _with_least(down, total)
+    linked = own.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return linked.unionByName(own.filter("v = m").select("u", "v")).filter("u <> v").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -34,6 +41,7 @@ def components(edges: DataFrame) -> DataFrame:
         if (seen.n, seen.h) == mark or not seen.n:
             break
         mark = (seen.n, seen.h)
-        now = saved(_small_star(_large_star(now)), "edges")
+        now = saved(_large_star(now, seen.n), "edges")
+        now = saved(_small_star(now, seen.n), "edges")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

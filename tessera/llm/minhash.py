@@ -4,19 +4,22 @@
    universal hashes (a * x + b over 2**64, upper 32 bits), a byte of each as signature, and a key per band.
 2. Documents with equal sets are one class, which has the smallest doc_id of its rows.
 3. Classes that share a band key are candidates. In each bucket all members are compared by signature with one
-   hub, the member that has most company over all its bands. Members whose signature isn't close to the hub's
-   are compared with all the bucket's members, in blocks of BLOCK, each block pair a group of its own. A
-   comparison keeps one link for each two parts that it joins, not all pairs; close means an estimate of at
-   least 4.5 standard errors under the threshold. The components of these links are families: no link of
-   the contract leaves one, but for what banding misses (1 - 0.75**5)**40 = 2e-5 at the threshold itself.
+   hub, the member that has most company over all its bands. In a bucket with more than HUBS members that aren't close
+   to the hub, HUBS of these are hubs as well, and all members are compared with each. Then only what isn't joined
+   yet is left: the members outside their bucket's largest component are compared with all members of other
+   components, in blocks of BLOCK, each block pair a group of its own. A comparison keeps one link for each two parts
+   that it joins, not all pairs; close means an estimate of at least 4.5 standard errors under the threshold. The
+   components of these links are families: no link of the contract leaves one, but for what banding misses
+   (1 - 0.75**5)**40 = 2e-5 at the threshold itself.
 4. In each family the same is done again, with full sets: inner product of sets against the threshold in
    integers. The components of these links are the result.
 
-Copies never form pairs, and nothing grows with the square of a group that has a hub; no group is cut.
+Copies never form pairs, nothing grows with the square of a group that its hubs hold together, and no group is cut.
 
 A text's words are `[^\\x20\\x09-\\x0D]+` with A-Z in lower case. Fewer than five words are one shingle; null text or
 no words: the empty set, linked with nothing, not even with another empty one. Rows that repeat a doc_id are
-each judged by its own text. Null doc_id: the row is kept; it is in no class, and its component is null.
+each judged by its own text. Null doc_id: the row is kept; it is in no class, and its component is null. An empty table
+gives no rows. Very long texts are taken whole, in slices. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,16 +29,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.bytesvec import batches, mix, words
-from tessera.llm.common import documents, join_by_count, saved, texts_of
+from tessera.llm.common import apart, documents, join_by_count, saved, texts_of
 from tessera.llm.components import components
 
 WORDS, BANDS, ROWS = 5, 40, 5
 PERCENT = 75
-BLOCK = 256
+BLOCK, HUBS = 64, 16
 _K = BANDS * ROWS
 #: Signatures agree at this many places at least if the sets may be as close as the threshold.
 _CLOSE = int(_K * (0.75 + 0.25 / 256 - 4.5 * (0.75 * 0.25 / _K) ** 0.5))
@@ -44,6 +47,7 @@ _A = _random.integers(1, 1 << 63, _K, dtype=np.uint64) | np.uint64(1)
 _B = _random.integers(0, 1 << 63, _K, dtype=np.uint64)
 _STEP = np.array([pow(0x9DDFEA08EB382D69, i, 1 << 64) for i in range(WORDS)], np.uint64)
 _SLICE = 1 << 14
+_TEXT_KEY = "xxhash64(text)"
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -87,7 +91,7 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, class (digest of the set), signature (a byte per minimum), bands (a key each)."""
+    """doc_id, text_key (tells texts of one doc_id apart), n_shingles, class (digest of the set), signature (a byte per minimum), bands (a key each)."""
     salt = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,12 +113,19 @@ def sketches(docs: DataFrame) -> DataFrame:
                     signatures[i] = short[row].tobytes()
                     bands[i] = keys[row].view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, last - first), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "class", "signature", "bands"],
+                    [
+                        batch.column(0).slice(first, last - first),
+                        batch.column(2).slice(first, last - first),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array(digests, pa.binary()),
+                        pa.array(signatures, pa.binary()),
+                        pa.array(bands, pa.list_(pa.int64())),
+                    ],
+                    names=["doc_id", "text_key", "n_shingles", "class", "signature", "bands"],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return saved(rows.mapInArrow(run, "doc_id long, n_shingles long, class binary, signature binary, bands array<long>"), "sketches")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.expr(_TEXT_KEY).alias("text_key"))
+    return saved(rows.mapInArrow(run, "doc_id long, text_key long, n_shingles long, class binary, signature binary, bands array<long>"), "sketches")
 
 
 def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -159,13 +170,43 @@ def _linked(members: DataFrame, nodes: DataFrame, total: int, exact: bool) -> Da
 
     far = spokes.join(tested.filter("not close").select("node", "hub"), ["node", "hub"], "left_semi").select("key", "node")
     far = saved(far, "far")
-    sizes = saved(far.groupBy("key").agg(F.count("*").alias("n_far")).join(hubs, "key").filter("n > 2").select("key", "hub", "n", "n_far"), "open")
+    sizes = far.groupBy("key").agg(F.count("*").alias("n_far")).join(hubs, "key").filter("n > 2")
+    sizes = saved(sizes.select("key", "n", "n_far"), "open")
+    wide = sizes.filter(F.col("n_far") > HUBS)
+    links, parts = star, None
+    if not wide.isEmpty():
+        rank = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(11)), "node"))
+        chosen = far.join(wide.select("key"), "key", "left_semi").withColumn("rank", rank).filter(F.col("rank") <= HUBS).drop("rank")
+        links = saved(star.unionByName(_met(members, wide, saved(chosen, "hubs"), nodes, total, exact)), "links")
+        parts = components(links)
+        inside = join_by_count(members.select("key", "node"), sizes, "key", "n", total).select("key", "node").join(parts, "node", "left")
+        inside = saved(inside.withColumn("component", F.coalesce("component", "node")), "inside")
+        by_part = inside.groupBy("key", "component").agg(F.count("*").alias("n"))
+        top = saved(by_part.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("top"), F.sum("n").alias("n")), "top")
+        far = join_by_count(inside, top, "key", "n", total).filter("component <> top").select("key", "node")
+        far = saved(far, "far")
+        sizes = saved(far.groupBy("key").agg(F.count("*").alias("n_far")).join(top.select("key", "n"), "key"), "open")
+    return links.unionByName(_met(members, sizes, far, nodes, total, exact, parts))
+
+
+def _met(members: DataFrame, sizes: DataFrame, queries: DataFrame, nodes: DataFrame, total: int, exact: bool, parts: DataFrame | None = None) -> DataFrame:
+    """Links u, v that join, in the keys of `sizes` (key, n members, n_far queries), the queries with all members that they are close to.
+
+    queries: key, node. parts: node, component of what is joined already and isn't compared. Each query meets each member once,
+    in the group of both blocks.
+    """
+    extra = ["shingles"] if exact else []
+    n_far = queries.groupBy("key").agg(F.count("*").alias("n_far"))
+    sizes = saved(sizes.select("key", "n").join(n_far, "key"), "sizes")
     rows = join_by_count(members.select("key", "node"), sizes, "key", "n", total).join(nodes, "node")
-    rows = rows.join(far.withColumn("far", F.lit(True)), ["key", "node"], "left").filter("node <> hub")
+    rows = rows.join(queries.withColumn("far", F.lit(True)), ["key", "node"], "left")
+    if parts is not None:
+        rows = rows.join(parts, "node", "left")
+    rows = rows.withColumn("part", F.coalesce("component", "node") if parts is not None else F.col("node"))
     blocks, far_blocks = f"int(ceil(n / {BLOCK}))", f"int(ceil(n_far / {BLOCK}))"
     place = F.xxhash64("node", F.lit(7))
-    columns = ["key", "i", "j", "node", "is_far", "signature", *extra]
-    # every far member meets all: as a row of its own block beside each block, and as one of all beside each far block
+    columns = ["key", "i", "j", "node", "part", "is_far", "signature", *extra]
+    # every query meets all: as a row of its own block beside each block, and as one of all beside each block of queries
     left = rows.filter("far").withColumn("i", F.pmod(place, F.expr(far_blocks))).withColumn("j", F.explode(F.expr(f"sequence(0, {blocks} - 1)"))).withColumn("is_far", F.lit(True))
     right = rows.withColumn("j", F.pmod(place, F.expr(blocks))).withColumn("i", F.explode(F.expr(f"sequence(0, {far_blocks} - 1)"))).withColumn("is_far", F.lit(False))
     long = lambda x: x.withColumn("i", F.col("i").cast("long")).withColumn("j", F.col("j").cast("long")).select(*columns)
@@ -175,7 +216,7 @@ def _linked(members: DataFrame, nodes: DataFrame, total: int, exact: bool) -> Da
         nodes = table.column("node").to_numpy()
         signatures = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(-1, _K)
         sets = table.column("shingles").to_pylist() if exact else None
-        ids, place = np.unique(nodes, return_inverse=True)
+        ids, place = np.unique(table.column("part").to_numpy(), return_inverse=True)
         parent = list(range(len(ids)))
 
         def root(x: int) -> int:
@@ -195,12 +236,11 @@ def _linked(members: DataFrame, nodes: DataFrame, total: int, exact: bool) -> Da
                     links.append((nodes[r], nodes[c]))
         return pa.table({"u": pa.array([int(x[0]) for x in links], pa.int64()), "v": pa.array([int(x[1]) for x in links], pa.int64())})
 
-    met = long(left).unionByName(long(right)).groupBy("key", "i", "j").applyInArrow(meet, "u long, v long")
-    return star.unionByName(met)
+    return long(left).unionByName(long(right)).groupBy("key", "i", "j").applyInArrow(meet, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept."""
+def marked(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, n_shingles, component_id, and group (long: what is linked; null where a row is in no class)."""
     known = sketches(docs)
     number = F.xxhash64("class").alias("node")
     first = [F.first(c).alias(c) for c in ("signature", "bands")]
@@ -233,12 +273,37 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     full = saved(full.join(families.select("node", "signature"), "node").select("node", "signature", "shingles"), "sets")
     found = saved(components(_linked(families.select("key", "node", "score"), full, n_families, True)).join(candidates.select("node", "doc"), "node"), "found")
     least = found.groupBy("component").agg(F.min("doc").alias("least"), F.count("*").alias("n"))
-    found = join_by_count(found.select("node", "component"), least, "component", "n", n_families).select("node", "least")
+    found = join_by_count(found.select("node", "component"), least, "component", "n", n_families).select("node", "least", F.col("component").alias("group"))
     parts = classes.select("class", "copies", "doc", "node").join(found, "node", "left").withColumn("component", F.coalesce("least", "doc"))
-    parts = saved(parts.filter("copies > 1 or component <> doc").select("class", "copies", "component"), "parts")
-    out = join_by_count(known.select("doc_id", "n_shingles", "class"), parts, "class", "copies", known.count(), "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    parts = parts.withColumn("group", F.coalesce("group", "node"))
+    parts = saved(parts.filter("copies > 1 or component <> doc").select("class", "copies", "component", "group"), "parts")
+    out = join_by_count(known.select("doc_id", "text_key", "n_shingles", "class"), parts, "class", "copies", known.count(), "left")
+    group = F.when(F.col("doc_id").isNotNull() & F.col("class").isNotNull(), F.coalesce("group", F.xxhash64("class"))).alias("group")
+    return out.select("doc_id", "text_key", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"), group)
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept."""
+    return marked(docs).select("doc_id", "n_shingles", "component_id", (F.col("component_id") == F.col("doc_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs without near-duplicates: of each group the row with the smallest doc_id, and among these the
+    smallest text_key; of rows that repeat that one, one stays. Rows of the empty set and of null doc_id stay."""
+    rows = saved(marked(docs).filter("group is not null").select("doc_id", "text_key", "group", "component_id"), "marked")
+    least = rows.filter("doc_id = component_id").groupBy("group", "doc_id", "text_key").agg(F.count("*").alias("n"))
+    first = F.row_number().over(Window.partitionBy("group").orderBy("text_key"))  # texts of one doc_id
+    least = saved(least.withColumn("rank", first), "least")
+    gone = rows.filter("doc_id <> component_id").select("doc_id", "text_key").distinct()
+    gone = gone.unionByName(least.filter("rank > 1").select("doc_id", "text_key"))
+    names = [apart(n, docs) for n in ("doc", "text_key")]
+    keyed = docs.withColumns({names[0]: F.col("doc_id").cast("long"), names[1]: F.expr(_TEXT_KEY)})
+    named = lambda x: saved(x.select(F.col("doc_id").alias(names[0]), F.col("text_key").alias(names[1])), "keys")
+    left = keyed.join(named(gone), names, "left_anti")
+    twice = named(least.filter("rank = 1 and n > 1"))
+    if not twice.isEmpty():
+        left = left.join(twice, names, "left_anti").unionByName(left.join(twice, names, "left_semi").dropDuplicates(names))
+    return left.select(*docs.columns)
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
