@@ -10,7 +10,7 @@ def prose(n, seed):
     return " ".join(r.choice(WORDS) for _ in range(n))
 
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, class string, node string, key string, score string, ids string, part string, first string, n_lines string, n_deleted string, rejected string, held string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, class string, node string, key string, score string, ids string, part string, first string, n_lines string, n_deleted string, rejected string, held string, hot string, copies string, ranges string, slot string, doc string, text_key string, gone string, _class string"
 
 
 @pytest.fixture(scope="session")
@@ -18,7 +18,7 @@ def make_docs(spark):
     """Documents from (doc_id, text[, lang]), with further columns whose names the operators use themselves."""
 
     def make(rows):
-        full = [(r[0], r[1], r[2] if len(r) > 2 else "en", "s", len(r[1] or ""), *["x"] * 11) for r in rows]
+        full = [(r[0], r[1], r[2] if len(r) > 2 else "en", "s", len(r[1] or ""), *["x"] * 19) for r in rows]
         return spark.createDataFrame(full, SCHEMA)
 
     return make

@@ -116,7 +116,11 @@ def test_token_files_round_trip(spark, odd_docs):
 
 def test_token_files_random_access(spark, make_docs):
     docs = make_docs([(i, prose(400, i)) for i in range(200)])
-    rows = arrowstore.write_tokens(docs.coalesce(1), BPE).orderBy("shard").collect()
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        rows = arrowstore.write_tokens(docs, BPE).orderBy("shard").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
     file = arrowstore.SequenceFile(rows[0].path)
     flat = np.concatenate(list(file.ids()))
     assert len(flat) == rows[0].n_tokens
@@ -125,6 +129,8 @@ def test_token_files_random_access(spark, make_docs):
         ids, mask = file.sequence(i)
         assert (ids[mask] == flat[i * file.width : (i + 1) * file.width]).all()
     assert not file.sequence(last)[1][-1] or len(flat) % file.width == 0
+    sizes = [file.reader.get_batch(i).num_rows for i in range(file.reader.num_record_batches)]
+    assert len(sizes) > 1 and set(sizes[:-1]) == {arrowstore.ROWS_PER_RECORD_BATCH} and sum(sizes) == last + 1
     assert arrowstore.read_tokens(spark, arrowstore.write_tokens(make_docs([]), BPE)).collect() == []
 
 
@@ -234,6 +240,30 @@ def test_deletions_against_brute_force():
         assert {k for x, y in cut for k in range(x, y) if later[k]} == want
 
 
+def test_line_dedup_against_all_pairs(spark, make_docs):
+    r = random.Random(9)
+    kinds = ["", "a b c d", "e f g h i", "j k", "l m n o p q r s t u", "v", "w x y", prose(12, 1), prose(15, 2), prose(11, 3)]
+    texts = [[*r.choices(kinds, k=r.randrange(1, 14)), f"own {i}"] for i in range(60)]
+    texts += [list(texts[r.randrange(60)]) for _ in range(6)]
+    rows = [(i, "\n".join(x)) for i, x in enumerate(texts)]
+    want = {}
+    for i, own in enumerate(texts):
+        at = [k for k, x in enumerate(own) if x]
+        b, gone = [own[k] for k in at], set()
+        for first in texts[:i]:
+            a = [x for x in first if x]
+            for x, y in itertools.product(range(len(a)), range(len(b))):
+                n = 0
+                while x + n < len(a) and y + n < len(b) and a[x + n] == b[y + n]:
+                    n += 1
+                if len(" ".join(b[y : y + n]).split()) >= 10:
+                    gone |= set(at[y : y + n])
+        want[i] = [] if own in texts[:i] else [x for k, x in enumerate(own) if k not in gone and x]
+    out = {x.doc_id: x.text for x in linededup.deduplicated(make_docs(rows)).collect()}
+    assert {i: [x for x in t.split("\n") if x] for i, t in out.items()} == want
+    assert sum(map(len, want.values())) < sum(map(len, texts)) / 2
+
+
 # 4
 
 
@@ -268,9 +298,65 @@ def test_decontamination(spark, make_docs):
     assert decontam.matches(make_docs([]), bench).collect() == [] == decontam.matches(docs, bench.limit(0)).collect()
 
 
+def test_decontamination_against_brute_force(spark, make_docs, monkeypatch):
+    r = random.Random(12)
+    words = ["ab", "ba", "abba", "a", "bab", "aab"]
+    text = lambda n: " ".join(r.choice(words) for _ in range(n))
+    items = [(i, text(r.randrange(6, 16))) for i in range(12)] + [(20, None), (21, " . "), (3, text(9))]
+    docs = [(i, text(r.randrange(40))) for i in range(30)]
+    for i in range(20):
+        x = list(items[i % 12][1])
+        for _ in range(r.randrange(4)):
+            x[r.randrange(len(x))] = r.choice(["", "a", "b", "ab"])
+        docs.append((100 + i, f"{text(5)} {''.join(x).upper()}, {text(4)}"))
+
+    def least(p, t):  # the least distance of p from a part of t
+        row = list(range(len(p) + 1))
+        best = row[-1]
+        for c in t:
+            last, row = row, [0]
+            for i, x in enumerate(p, 1):
+                row.append(min(last[i] + 1, row[-1] + 1, last[i - 1] + (x != c)))
+            best = min(best, row[-1])
+        return best
+
+    want = []
+    for d, t in docs:
+        for i, x in items:
+            p = decontam.normal(x)
+            n = least(p, decontam.normal(t)) if p and t else 99
+            if p and n <= len(p) // 20:
+                want.append((d, i, n))
+    assert len(want) > 12 and {n for _, _, n in want} >= {0, 1, 2}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for size in (1 << 22, 60):  # one shard, and many
+        monkeypatch.setattr(decontam, "SHARD_BYTES", size)
+        monkeypatch.setattr(decontam, "BUFFER_BYTES", 500)
+        assert sorted((x.doc_id, x.item_id, x.distance) for x in decontam.matches(make_docs(docs), bench).collect()) == sorted(want)
+        assert sorted(x.doc_id for x in decontam.without_matches(make_docs(docs), bench).collect()) == sorted({d for d, _ in docs} - {d for d, _, _ in want})
+    assert (len(decontam.shards(bench)) > 3) and decontam.shards(bench.limit(0)) == []
+
+
 # 5
 
 
+def test_ogg_values_against_plain_ones(spark, odd_docs):
+    want = []
+    for d, text in ((r.doc_id, r.text) for r in odd_docs.collect()):
+        raw = (text or "").encode()
+        payload = raw
+        while not payload or len(payload) % 64:
+            payload += b"\0"
+        media = ogg.encode(payload, len(raw))
+        x = [b - 128 for b in payload]
+        crossings = sum((a < 0) != (b < 0) for a, b in itertools.pairwise(x))
+        figures = f"duration_s={len(x) / 8000:.6f};packets={-(-len(x) // 4096)};mean={sum(x) / len(x):.6f};rms={(sum(v * v for v in x) / len(x)) ** 0.5:.6f};crossings={crossings};peak={max(map(abs, x))}"
+        want.append((d or 0, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), figures))
+    rows = ogg.features_of(ogg.media_of(odd_docs)).collect()
+    assert sorted((r.doc_id or 0, *list(r)[1:]) for r in rows) == sorted(want)
+    assert ogg.features_of(ogg.media_of(odd_docs.limit(0))).collect() == []
+
+
 def test_ogg_round_trip():
     r = random.Random(5)
     for n in (0, 1, 63, 64, 255, 4096, 61_440, 65_025, 300_001):
@@ -339,6 +425,55 @@ def test_quality_without_labels_and_with_odd_rows(spark, odd_docs):
     assert len(rows) == odd_docs.count() and {r.p_at_least_1 for r in rows} == {0.5}
 
 
+def test_quality_against_a_plain_model(spark, odd_docs, make_docs):
+    import re
+    from collections import Counter
+
+    rows = [(i, f"{prose(20, i)} {'scum!!' if i % 4 == 0 else 'fine'} {'$$ 12' if i % 3 else ''} {'LOUD' if i % 5 else ''}") for i in range(80)] + [(7, "a second text of seven")]
+    labels = spark.createDataFrame([(i, i % 3 and 1, int(i % 4 == 0)) for i in range(60)] + [(5, 1, 0), (5, 0, 1), (1000, 1, 1), (None, 1, 1), (8, None, 1)], "doc_id long, quality int, toxic int")
+    model = quality.fit(make_docs(rows), labels)
+    assert np.count_nonzero(model.weights) > 5
+
+    def tails(text):
+        count = Counter()
+        for x in re.findall(rb"[A-Za-z\x80-\xff]+|[0-9]+|[!-/:-@\[-`{-~]+", (text or "").encode()):
+            low = x.lower()
+            h = int(bytesvec.span_hashes(np.frombuffer(low, np.uint8), np.array([0]), np.array([len(low)]))[0]) >> 46
+            count[h] += 1
+            count[0] += len(x) > 1 and x.isalpha() and x.isascii() and x.isupper()
+        z = sum(float(model.weights[k]) * np.log1p(n) for k, n in count.items())
+        return [1 / (1 + np.exp(-np.clip(z - t, -40, 40))) for t in model.thresholds]
+
+    docs = odd_docs.unionByName(make_docs(rows))
+    want = sorted((r.doc_id or 0, *np.round(tails(r.text), 5)) for r in docs.collect())
+    assert sorted((r.doc_id or 0, round(r.p_at_least_1, 5), round(r.p_at_least_2, 5)) for r in quality.grade(docs, model).collect()) == [(d, pytest.approx(a, abs=2e-5), pytest.approx(b, abs=2e-5)) for d, a, b in want]
+    assert all(abs(r.expected_grade - r.p_at_least_1 - r.p_at_least_2) < 1e-9 and r.keep == (r.p_at_least_1 >= 0.5) for r in quality.grade(docs, model).collect())
+    assert quality.grade(docs.limit(0), quality.fit(docs.limit(0), labels)).collect() == []
+
+
+def test_quality_fit_is_a_minimum():
+    r = np.random.default_rng(3)
+    n, grade = 400, r.integers(0, 3, 400)
+    row, bucket = np.repeat(np.arange(n), 2), np.stack([grade + 10, r.integers(20, 24, n)], axis=1).ravel()
+    noise = r.random(n) < 0.3
+    bucket[::2][noise] = r.integers(10, 13, int(noise.sum()))
+    model = quality.fit_rows(row, bucket, np.ones(2 * n), np.eye(3)[grade], rounds=800, rate=0.05, penalty=0.0)
+
+    def loss(w, t1, t2):
+        z = np.bincount(row, w[bucket], n)
+        one, two = 1 / (1 + np.exp(t1 - z)), 1 / (1 + np.exp(t2 - z))
+        return -np.log(np.choose(grade, [1 - one, one - two, two])).mean()
+
+    w, (t1, t2) = model.weights.astype(float), model.thresholds
+    best = loss(w, t1, t2)
+    for k in (10, 11, 12, 20):
+        for step in (0.05, -0.05):
+            other = w.copy()
+            other[k] += step
+            assert loss(other, t1, t2) > best - 1e-5
+    assert all(loss(w, t1 + a, t2 + b) > best - 1e-5 for a, b in ((0.05, 0), (-0.05, 0), (0, 0.05), (0, -0.05)))
+
+
 # 7
 
 
@@ -364,6 +499,42 @@ def test_language_without_training_rows(spark, make_docs, odd_docs):
     assert langid.identify(odd_docs, langid.fit(odd_docs)).count() == odd_docs.count()
 
 
+def test_language_against_a_plain_classifier(spark, make_docs):
+    from collections import Counter
+
+    rows = [(i, t, n) for i, t, n in language_rows(200)]
+    docs = make_docs([*rows, (500, "Qwerty uiop zxcv bnm " * 20, None), (501, "abaca é", None)])
+    model = langid.fit(docs)
+    assert sorted(set(model.names)) == ["aa", "bb", "cc"] and len(model.names) <= 3 * langid.CENTROIDS
+
+    def vector(text):
+        data = b"  " + bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in text.lower().encode()) + b"  "
+        count = Counter()
+        for i in range(2, len(data)):
+            if data[i] != 32:
+                a, b, c = data[i - 1], data[i], data[i + 1]
+                for gram in (b | 1 << 30, a << 8 | b | 1 << 29, (a << 8 | b) << 8 | c):
+                    count[(gram * 0x9E3779B1 & 0xFFFFFFFF) >> 20] += 1
+        x = np.zeros(langid.DIMENSIONS)
+        for k, n in count.items():
+            x[k] = (1 + np.log(n)) * model.idf[k]
+        return x / np.linalg.norm(x), sum(count.values()) / 3
+
+    for r in langid.identify(docs.select("doc_id", "text"), model).collect():
+        x, letters = vector(r.text)
+        cosine = model.centres @ x
+        best = int(np.argmax(cosine))
+        limit = max(model.limit[best], 0.9 * min(1, (32 / letters) ** 0.5))
+        assert (r.lang_pred, r.rejected) == (model.names[best], 1 - cosine[best] > limit) and r.score == pytest.approx(max(0, cosine[best]), abs=1e-5)
+        assert r.rejected == (r.doc_id == 500)
+
+
+def test_centroids_come_from_a_bounded_sample(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(langid, "PER_LANGUAGE", 20)
+    model = langid.fit(make_docs(language_rows(300)))
+    assert sorted(set(model.names)) == ["aa", "bb", "cc"]
+
+
 def test_features_don_t_depend_on_neighbours():
     texts = ["one two", "three", "", "one two"]
     together = np.concatenate([c for _, c in langid.counts(texts)])
@@ -418,6 +589,24 @@ def test_near_duplicates_of_odd_rows(spark, odd_docs, make_docs):
     assert minhash.near_duplicates(make_docs([])).collect() == []
 
 
+def test_a_drifting_family_is_one(spark, make_docs):
+    words = prose(400, 3).split()
+    rows = []
+    for i in range(700):  # each is close to those near it and far from the ends
+        words[i * 7 % 400] = f"w{i}"
+        rows.append((i, " ".join(words)))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(make_docs(rows)).collect()}
+    assert set(got.values()) == {0}
+
+
+def test_one_of_each_judges_rows_not_ids(spark, make_docs):
+    a, u, v = prose(60, 1), prose(60, 2), prose(60, 3)
+    docs = make_docs([(1, a), (2, a), (2, u), (3, f"{u[:40]} {v}"), (4, a), (1, a), (5, None), (5, None), (None, a), (6, "x  y"), (6, "x y"), (6, "x y")])
+    out = sorted((r.doc_id or 0, r.text or "") for r in minhash.one_of_each(docs).collect())
+    assert out[:-1] == sorted([(0, a), (1, a), (2, u), (3, f"{u[:40]} {v}"), (5, ""), (5, "")]) and out[-1] in [(6, "x  y"), (6, "x y")]
+    assert minhash.one_of_each(docs).columns == docs.columns and minhash.one_of_each(docs.limit(0)).collect() == []
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (10, 11), (5, 3), (7, 7), (20, 19), (19, 18), (18, 17), (17, 16)]
     out = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}

@@ -2,9 +2,12 @@
 
 import itertools
 
+import pytest
+
 import corpus_pipeline
 from tessera.llm import common, decontam
 from tests.llm.test_llm_operators import brute_components
+from tests.llm.conftest import prose
 
 DATA = "/root/testdata/sf0.001"
 
@@ -47,3 +50,36 @@ def test_stages_with_clashing_columns(spark, odd_docs):
         docs = common.saved(stage(spark, docs, DATA), "test")
         assert docs.columns == odd_docs.columns
         assert {r.score for r in docs.collect()} == {"x"} == {r.n_deleted for r in docs.collect()}
+
+
+def test_a_run_deletes_its_own_folders_alone(spark):
+    from tessera.llm import ogg
+
+    before = ogg.op5_ogg(spark, DATA)
+    n = before.count()
+    corpus_pipeline.run(spark, DATA).count()
+    assert before.count() == n
+
+
+def test_near_keeps_unique_rows_of_a_repeated_id(spark, make_docs):
+    a, u = prose(300, 1), prose(300, 2)
+    docs = make_docs([(1, a), (2, a), (2, u), (3, f"{u} {prose(300, 3)}"), (4, a), (1, a)])
+    assert sorted((r.doc_id, r.text) for r in corpus_pipeline.near(spark, docs, DATA).collect()) == [(1, a), (2, u), (3, f"{u} {prose(300, 3)}")]
+
+
+def test_stages_of_no_rows(spark, make_docs):
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, make_docs([]), DATA).collect() == []
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "local-cluster[2,1,1024]"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+        conf = {}
+
+    with pytest.raises(ValueError):
+        common.folder(Session, "x")
