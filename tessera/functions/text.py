@@ -18,8 +18,13 @@ PHASE_PATTERNS = {
     ),
 }
 CONTRAST_PATTERNS = (r"\bPOST[- ]?CONTRAST\b", r"\bWITH CONTRAST\b", r"\bW CONTRAST\b", r"\bVENOUS\b")
-PHASE_PRIORITY = {"NEPH": 0, "MAIN_CE_HIGH": 1, "MAIN_CE_MEDIUM": 2, "CE_UNSPECIFIED": 3, "ART": 4, "DEL": 5, "NC": 6, "UNKNOWN": 6}
 POST_TREATMENT = r"(?i)(?:\b(?:STATUS\s+POST|S/P|POST[- ]?(?:OPERATIVE|OP))\b[^\n]{0,80}\b(?:NEPHRECTOMY|RENAL\s+ABLATION)\b|\bPOST[- ]?NEPHRECTOMY\b)"
+ANATOMY_REWRITES = (
+    ("CTCHESTABDPEL|CHESTABDPEL", " CHEST ABD PEL "), ("CTCHEST", " CT CHEST "), ("CTCAP", " CT CAP "), (r"C\s*[/\-]\s*A\s*[/\-]\s*P", " CAP "), ("[^A-Z0-9]+", " "),
+)
+CHEST = r"\b(?:CHEST|THORAX|LUNG)\b"
+ABDOMEN = r"\b(?:ABD|ABDOMEN|PELVIS|RENAL|KIDNEY|CAP)\b"
+MULTIPHASE = (r"\bNC\b", r"\b(?:WC|WITH|CONTRAST|DELAY|ARTERIAL|NEPHRO)\b")
 MISSING_TOKENS = ("", "UNKNOWN", "NA", "NX", "MX", "TX")
 
 
@@ -32,7 +37,7 @@ def safe_identifier(c: Column, default: str = "artifact") -> Column:
 def anatomy(c: Column) -> Column:
     """Upper-case words of a series description, with run-together body parts taken apart."""
     x = F.upper(F.coalesce(c, F.lit("")))
-    for pattern, text in (("CTCHESTABDPEL|CHESTABDPEL", " CHEST ABD PEL "), ("CTCHEST", " CT CHEST "), ("CTCAP", " CT CAP "), (r"C\s*[/\-]\s*A\s*[/\-]\s*P", " CAP "), ("[^A-Z0-9]+", " ")):
+    for pattern, text in ANATOMY_REWRITES:
         x = F.regexp_replace(x, pattern, text)
     return x
 
@@ -41,7 +46,7 @@ def chest_only(series: Column, fallback: Column) -> Column:
     """The series shows the chest and no part of the abdomen; without a series text the fallback is read."""
     own = anatomy(series)
     text = F.when(own == "", anatomy(fallback)).otherwise(own)
-    return text.rlike(r"\b(?:CHEST|THORAX|LUNG)\b") & ~text.rlike(r"\b(?:ABD|ABDOMEN|PELVIS|RENAL|KIDNEY|CAP)\b")
+    return text.rlike(CHEST) & ~text.rlike(ABDOMEN)
 
 
 def before_treatment(*fields: Column) -> Column:
@@ -55,23 +60,20 @@ def _phases(text: Column) -> Column:
 
 
 def contrast_phase(series: Column, protocol: Column, agent: Column) -> Column:
-    """struct(phase, source): one phase in the series text, else one in a protocol that isn't multiphase, else contrast, else UNKNOWN."""
-    s, p = F.upper(F.coalesce(series, F.lit(""))), F.upper(F.coalesce(protocol, F.lit("")))
-    own, other = _phases(s), _phases(p)
-    multiphase = p.rlike(r"\bNC\b") & p.rlike(r"\b(?:WC|WITH|CONTRAST|DELAY|ARTERIAL|NEPHRO)\b")
-    contrast = (F.trim(F.coalesce(agent, F.lit(""))) != "") | F.concat_ws(" ", s, p).rlike("|".join(CONTRAST_PATTERNS))
-    pair = lambda phase, source: F.struct(phase.alias("phase"), F.lit(source).alias("source"))
-    return (
-        F.when(F.size(own) == 1, pair(F.get(own, F.lit(0)), "series_description"))
-        .when((F.size(other) == 1) & ~multiphase, pair(F.get(other, F.lit(0)), "protocol_name"))
-        .when(~multiphase & contrast, pair(F.lit("CE_UNSPECIFIED"), "contrast_metadata"))
-        .otherwise(pair(F.lit("UNKNOWN"), "none"))
-    )
-
-
-def phase_priority(phase: Column) -> Column:
-    known = F.create_map(*[F.lit(x) for pair in PHASE_PRIORITY.items() for x in pair])
-    return F.coalesce(F.element_at(known, F.upper(F.trim(F.coalesce(phase, F.lit("UNKNOWN"))))), F.lit(6))
+    """struct(phase, source): the first rule that gives a phase. A text that names one phase alone gives it; a protocol of several
+    phases says nothing, neither of a phase nor of contrast."""
+    upper = {name: F.upper(F.coalesce(c, F.lit(""))) for name, c in (("series", series), ("protocol", protocol))}
+    phases = {name: _phases(text) for name, text in upper.items()}
+    told = {name: F.size(p) == 1 for name, p in phases.items()}
+    single = ~(upper["protocol"].rlike(MULTIPHASE[0]) & upper["protocol"].rlike(MULTIPHASE[1]))
+    contrast = F.concat_ws(" ", *upper.values()).rlike("|".join(CONTRAST_PATTERNS)) | (F.trim(F.coalesce(agent, F.lit(""))) != "")
+    rules = [
+        (told["series"], F.get(phases["series"], F.lit(0)), "series_description"),
+        (told["protocol"] & single, F.get(phases["protocol"], F.lit(0)), "protocol_name"),
+        (contrast & single, F.lit("CE_UNSPECIFIED"), "contrast_metadata"),
+        (F.lit(True), F.lit("UNKNOWN"), "none"),
+    ]
+    return F.coalesce(*[F.when(rule, F.struct(phase.alias("phase"), F.lit(source).alias("source"))) for rule, phase, source in rules])
 
 
 def order_key(c: Column) -> Column:

@@ -145,14 +145,6 @@ def cox(time: np.ndarray, event: np.ndarray, x: np.ndarray, penalty: float = 0.1
     return beta, np.sqrt(np.diag(np.linalg.inv(-h)))
 
 
-def least_squares(y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Coefficients and standard errors of y on x (with its own column of ones, if wanted)."""
-    beta, *_ = np.linalg.lstsq(x, y, rcond=None)
-    rest = y - x @ beta
-    s2 = rest @ rest / max(1, len(y) - x.shape[1])
-    return beta, np.sqrt(np.diag(s2 * np.linalg.pinv(x.T @ x)))
-
-
 def image_quality(frame: pd.DataFrame) -> dict[str, float]:
     """Moments and noise ratios of a slice's foreground and background values (column `fg` tells them apart); ratios fall back to the
     foreground's mean over its deviation where the background is unusable."""

@@ -83,14 +83,14 @@ def odds_ratio(a: Column, b: Column, c: Column, d: Column, correction: str = "if
 
 
 def chi_square(df: DataFrame, keys: list[str], row: str, col: str) -> DataFrame:
-    """keys, n, rows, cols, chi2, df, least expected, v (Cramer), v_corrected (bias-corrected), over the complete grid of rows and columns that have entries."""
+    """keys, n, rows, cols, chi2, df, least_expected, few_expected (share of expected counts under 5), v (Cramer), v_corrected (bias-corrected), over the complete grid of rows and columns that have entries."""
     n = df.groupBy(*keys, row, col).agg(F.count("*").alias("o"))
     r, c = n.groupBy(*keys, row).agg(F.sum("o").alias("r")), n.groupBy(*keys, col).agg(F.sum("o").alias("c"))
     t = n.groupBy(*keys).agg(F.sum("o").alias("n"))
     on = (lambda x, y: x.join(y, keys)) if keys else (lambda x, y: x.crossJoin(y))
     grid = on(on(r, c), t).join(n, [*keys, row, col], "left").withColumn("o", F.coalesce("o", F.lit(0)))
     e = F.col("r") * F.col("c") / F.col("n")
-    out = grid.groupBy(*keys).agg(F.max("n").alias("n"), F.count_distinct(row).alias("rows"), F.count_distinct(col).alias("cols"), F.sum((F.col("o") - e) * (F.col("o") - e) / e).alias("chi2"), F.min(e).alias("least_expected"))
+    out = grid.groupBy(*keys).agg(F.max("n").alias("n"), F.count_distinct(row).alias("rows"), F.count_distinct(col).alias("cols"), F.sum((F.col("o") - e) * (F.col("o") - e) / e).alias("chi2"), F.min(e).alias("least_expected"), F.avg((e < 5).cast("double")).alias("few_expected"))
     size, k, m = F.col("n").cast("double"), F.col("rows").cast("double"), F.col("cols").cast("double")
     v = F.sqrt(F.try_divide(F.col("chi2") / size, F.least(k, m) - 1))
     phi = F.greatest(F.lit(0.0), F.col("chi2") / size - (k - 1) * (m - 1) / (size - 1))
@@ -138,10 +138,32 @@ def hashed_order(rep: Column, key: Column) -> Column:
     return F.md5(F.concat(rep.cast("string"), F.lit("|"), key.cast("string")))
 
 
-def permuted_groups(members: DataFrame, repeats: int, key: str = "key", group: str = "group") -> DataFrame:
-    """rep, key, group: for each repeat the groups dealt anew by hash, sizes kept. Rows: repeats times members."""
+def permuted_groups(members: DataFrame, repeats: int, key: str = "key", group: str = "group", by: list[str] | None = None) -> DataFrame:
+    """The rows with rep and, for each repeat, the groups dealt anew by hash within `by`; sizes stay. Rows: repeats times members."""
+    by = by or []
     spark = members.sparkSession
-    place = members.select(key, group, F.row_number().over(Window.orderBy(key)).alias("_pos"))
+    place = members.withColumn("_pos", F.row_number().over(Window.partitionBy(*by).orderBy(key)))
     reps = spark.range(repeats).select(F.col("id").alias("rep"))
-    drawn = place.select(key).crossJoin(F.broadcast(reps)).withColumn("_pos", F.row_number().over(Window.partitionBy("rep").orderBy(hashed_order(F.col("rep"), F.col(key)), key)))
-    return drawn.join(place.select(group, "_pos"), "_pos").select("rep", key, group)
+    order = Window.partitionBy(*by, "rep").orderBy(hashed_order(F.col("rep"), F.col(key)), key)
+    drawn = place.drop(group, "_pos").crossJoin(F.broadcast(reps)).withColumn("_pos", F.row_number().over(order))
+    return drawn.join(place.select(*by, group, "_pos"), [*by, "_pos"]).select("rep", *members.columns)
+
+
+def permuted_chi_square(members: DataFrame, by: list[str], key: str, group: str, value: str, repeats: int) -> DataFrame:
+    """As chi_square of group and value within `by`, and p = (x + 1) / (repeats + 1) of the statistics of permuted groups."""
+    seen = chi_square(members, by, group, value)
+    drawn = chi_square(permuted_groups(members, repeats, key, group, by), [*by, "rep"], group, value)
+    over = drawn.select(*by, "rep", F.col("chi2").alias("other")).join(seen.select(*by, "chi2"), by)
+    over = over.groupBy(*by).agg(((F.count_if(F.col("other") >= F.col("chi2") - 1e-9) + 1) / (repeats + 1)).alias("p"))
+    return seen.join(over, by)
+
+
+def categorical_tests(members: DataFrame, by: list[str], key: str, group: str, value: str, sparse: Column, repeats: int) -> DataFrame:
+    """As chi_square, with method and p: the permutation test for tables that are sparse, Pearson's otherwise. Only the sparse tables' rows are permuted."""
+    from tessera.functions import special
+
+    own = chi_square(members, by, group, value).withColumn("sparse", sparse)
+    rare = members.join(own.filter("sparse").select(*by), by, "left_semi")
+    p = permuted_chi_square(rare, by, key, group, value, repeats).select(*by, F.col("p").alias("_p"))
+    out = own.withColumn("p", special.chi2_p("chi2", "df")).join(p, by, "left")
+    return out.withColumn("method", F.when(F.col("sparse"), "permutation").otherwise("pearson")).withColumn("p", F.when(F.col("sparse"), F.col("_p")).otherwise(F.col("p"))).drop("_p", "sparse")

@@ -55,14 +55,6 @@ def mat22(spark, d):
     return spark.createDataFrame(pd.DataFrame({"nation": rows, "x": x[:, 0], "y": x[:, 1]}))
 
 
-@query("sta28_permanova")
-def sta28(spark, d):
-    rows, dist = _nation_distances(spark, d)
-    region = {r.n_nationkey: r.n_regionkey for r in table(spark, d, "nation").collect()}
-    groups = np.unique([region[r] for r in rows], return_inverse=True)[1]
-    return spark.createDataFrame(pd.DataFrame([L.permanova(spark, dist, groups, 999)]))
-
-
 @query("sta5_bootstrap_delta")
 def sta5(spark, d):
     rows = table(spark, d, "customer").select("c_mktsegment", "c_acctbal").toPandas()
@@ -99,25 +91,6 @@ def sta39(spark, d):
     return r.crossJoin(F.broadcast(t)).withColumn("step", step).withColumn("es", es).agg(F.round(F.max("es"), 6).alias("highest"), F.round(F.min("es"), 6).alias("lowest"))
 
 
-@query(
-    "sta18_permuted_chi_square",
-    """WITH m AS (SELECT c_custkey AS key, c_mktsegment AS g, c_acctbal > 5000 AS y, row_number() OVER (ORDER BY c_custkey) AS pos FROM customer WHERE c_nationkey = 4),
-    d AS (SELECT rep, key, y, row_number() OVER (PARTITION BY rep ORDER BY md5(rep || '|' || key), key) AS pos FROM m CROSS JOIN (SELECT CAST(range AS BIGINT) AS rep FROM range(99))),
-    a AS (SELECT rep, m.g, d.y, count(*) AS o FROM d JOIN m ON d.pos = m.pos GROUP BY 1, 2, 3 UNION ALL SELECT -1, g, y, count(*) FROM m GROUP BY 2, 3),
-    e AS (SELECT x.rep, x.g, z.y, x.n * z.n * 1.0 / (SELECT count(*) FROM m) AS e FROM (SELECT rep, g, sum(o) AS n FROM a GROUP BY 1, 2) x JOIN (SELECT rep, y, sum(o) AS n FROM a GROUP BY 1, 2) z USING (rep)),
-    s AS (SELECT e.rep, sum((coalesce(o, 0) - e) * (coalesce(o, 0) - e) / e) AS x FROM e LEFT JOIN a USING (rep, g, y) GROUP BY 1)
-    SELECT round(max(CASE WHEN rep = -1 THEN x END), 6) AS chi2, round((count(CASE WHEN rep >= 0 AND x >= (SELECT x FROM s WHERE rep = -1) - 1e-9 THEN 1 END) + 1) / 100.0, 6) AS p FROM s""",
-)
-def sta18(spark, d):
-    rows = table(spark, d, "customer").filter("c_nationkey = 4").select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("group"), (F.col("c_acctbal") > 5000).alias("y"))
-    drawn = S.permuted_groups(rows.select("key", "group"), 99).join(rows.select("key", "y"), "key")
-    seen = rows.select(F.lit(-1).cast("long").alias("rep"), "key", "group", "y")
-    x = S.chi_square(drawn.select("rep", "key", "group", "y").unionByName(seen), ["rep"], "group", "y").select("rep", "chi2")
-    own = x.filter("rep = -1").select(F.col("chi2").alias("own"))
-    out = x.filter("rep >= 0").crossJoin(F.broadcast(own)).groupBy("own").agg(F.count_if(F.col("chi2") >= F.col("own") - 1e-9).alias("k"))
-    return out.select(F.round("own", 6).alias("chi2"), F.round((F.col("k") + 1) / 100.0, 6).alias("p"))
-
-
 @query("img5_mask_checks", "SELECT l_orderkey, bool_and(l_quantity > 0) AND count(DISTINCT l_linestatus) = 1 AS pass FROM lineitem GROUP BY 1")
 def img5(spark, d):
     return table(spark, d, "lineitem").groupBy("l_orderkey").agg((F.bool_and(F.col("l_quantity") > 0) & (F.count_distinct("l_linestatus") == 1)).alias("pass"))
