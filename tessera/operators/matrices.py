@@ -70,9 +70,41 @@ def both_ways(p: DataFrame) -> DataFrame:
     return p.select("i", "j", "value").unionByName(p.select(F.col("j").alias("i"), F.col("i").alias("j"), "value"))
 
 
+def neighbours_of(p: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """(keys, i, j, value, r): the k nearest of each i within the keys, ties by j."""
+    both = p.select(*keys, "i", "j", "value").unionByName(p.select(*keys, F.col("j").alias("i"), F.col("i").alias("j"), "value"))
+    return both.withColumn("r", F.row_number().over(Window.partitionBy(*keys, "i").orderBy("value", "j"))).filter(F.col("r") <= k)
+
+
 def neighbours(p: DataFrame, k: int) -> DataFrame:
     """(i, j, value, r): the k nearest of each i, ties by j."""
-    return both_ways(p).withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy("value", "j"))).filter(F.col("r") <= k)
+    return neighbours_of(p, [], k)
+
+
+def average_ranks(p: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The rows with rank: the average rank of the value within the keys, over its distinct values and their counts."""
+    n = p.groupBy(*keys, value).agg(F.count("*").alias("_t"))
+    upto = F.sum("_t").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    return p.join(n.select(*keys, value, (upto - F.col("_t") / 2 + 0.5).alias("rank")), [*keys, value])
+
+
+def diverse_medoids(rows: DataFrame, key: str, group: str, vector: str, top: int) -> DataFrame:
+    """group, place, key: of each group of unit vectors the one of the highest mean similarity to it, then those of the highest mean less the
+    highest similarity to the ones before; ties: the smallest key. From sums of vectors, without pairs."""
+    width = F.size(vector)
+    sums = rows.select(group, F.posexplode(vector).alias("_pos", "_x")).groupBy(group, "_pos").agg(F.sum("_x").alias("_x"), F.count("*").alias("_n"))
+    sums = sums.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", (F.col("_x") / F.col("_n")).alias("m")))), lambda e: e["m"]).alias("_mean"))  # width entries
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+    now = rows.filter(width > 0).join(F.broadcast(sums), group).withColumn("_m", dot(vector, "_mean")).withColumn("_near", F.lit(0.0))  # a row for each group
+    out = None
+    for place in range(1, top + 1):
+        score = F.struct(F.round(F.col("_m") - F.col("_near"), 9).alias("s"), (-F.col(key)).alias("k"))
+        best = now.groupBy(group).agg(F.max_by(F.struct(F.col(key).alias("key"), F.col(vector).alias("v")), score).alias("_b"))
+        chosen = best.select(group, F.lit(place).alias("place"), F.col("_b.key").alias(key))
+        out = chosen if out is None else out.unionByName(chosen)
+        met = dot(F.col(vector), F.col("_b.v"))
+        now = now.join(F.broadcast(best), group).filter(F.col(key) != F.col("_b.key")).withColumn("_near", met if place == 1 else F.greatest("_near", met)).drop("_b")
+    return out
 
 
 def affinity(p: DataFrame, k: int = 20, mu: float = 0.5) -> DataFrame:

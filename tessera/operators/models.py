@@ -28,6 +28,15 @@ def prune_correlated(names: list[str], x: np.ndarray, limit: float = 0.95) -> li
     return [names[order[k]] for k in np.flatnonzero(live)]
 
 
+def kernel(distance: np.ndarray, k: int = 20, mu: float = 0.5) -> np.ndarray:
+    """As matrices.affinity, of a matrix: the density of Normal(0, mu sigma) at each distance, sigma from the k nearest of both rows."""
+    k = min(k, len(distance) - 1)
+    near = np.sort(distance + np.diag(np.full(len(distance), -np.inf)), axis=1)[:, 1 : k + 1].mean(axis=1)
+    sigma = mu * (near[:, None] + near[None, :] + distance) / 3
+    sigma = np.maximum(sigma, np.finfo(float).eps)
+    return np.exp(-(distance**2) / (2 * sigma**2)) / (sigma * np.sqrt(2 * np.pi))
+
+
 def fuse(affinities: list[np.ndarray], k: int = 20, rounds: int = 20) -> np.ndarray:
     """Similarity network fusion (Wang et al., 2014): each view's full kernel is diffused through its nearest neighbours with the mean
     of the other views, t times; the mean of the views, symmetric, with diagonal 1. One view passes through."""

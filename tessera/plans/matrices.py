@@ -9,7 +9,7 @@ from tessera.operators import matrices as M
 from tessera.plans.registry import query, table
 
 _E = "e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), u AS (SELECT vec_id, label, v, sqrt(list_dot_product(v, v)) AS n FROM e)"
-_P = f"{_E}, p AS (SELECT a.vec_id AS i, b.vec_id AS j, a.label AS li, b.label AS lj, 1 - list_dot_product(a.v, b.v) / (a.n * b.n) AS value FROM u a JOIN u b ON a.vec_id < b.vec_id)"
+_P = f"{_E}, p AS MATERIALIZED (SELECT a.vec_id AS i, b.vec_id AS j, a.label AS li, b.label AS lj, 1 - list_dot_product(a.v, b.v) / (a.n * b.n) AS value FROM u a JOIN u b ON a.vec_id < b.vec_id)"
 _B = f"{_P}, w AS (SELECT i, j, li, lj, value FROM p UNION ALL SELECT j, i, lj, li, value FROM p)"
 
 

@@ -6,8 +6,6 @@ The runs are eight partitions of the embeddings: in run r a vector's label is th
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -102,22 +100,33 @@ def clu14(spark, d):
     return x.groupBy("core").agg(F.round(F.avg("labels"), 6).alias("mean_labels"), F.round(F.avg((F.col("labels") == 1).cast("double")), 6).alias("together"))
 
 
-_OVER = f"{_RUNS}, s AS (SELECT run * 8 + label AS set, node, run FROM m), n AS (SELECT set, count(*) AS n FROM s GROUP BY 1), o AS (SELECT a.set AS a, b.set AS b, count(*) AS shared FROM s a JOIN s b USING (node) WHERE a.run = 0 AND b.run = 1 GROUP BY 1, 2), x AS (SELECT o.*, na.n AS na, nb.n AS nb FROM o JOIN n na ON na.set = a JOIN n nb ON nb.set = b)"
+#: Overlaps of the sets of any two runs.
+_OVER = f"""{_RUNS}, s AS (SELECT run * 8 + label AS set, node, run FROM m), n AS (SELECT set, count(*) AS n FROM s GROUP BY 1),
+    o AS (SELECT a.run AS ra, b.run AS rb, a.set AS a, b.set AS b, count(*) AS shared FROM s a JOIN s b USING (node) WHERE a.run < b.run GROUP BY 1, 2, 3, 4),
+    x AS (SELECT o.*, na.n AS na, nb.n AS nb, shared * 1.0 / (na.n + nb.n - shared) AS jaccard, shared * 1.0 / least(na.n, nb.n) AS overlap FROM o JOIN n na ON na.set = a JOIN n nb ON nb.set = b)"""
 
 
 def _overlaps(spark, d):
     s = _sets(spark, d)
-    return P.set_overlaps(s.filter("set < 8"), s.filter("set >= 8 and set < 16"))
+    run = lambda c: F.floor(F.col(c) / 8).cast("int")
+    return P.set_overlaps(s, s).withColumns({"ra": run("a"), "rb": run("b")}).filter("ra < rb")
 
 
-@query("clu15_relations", f"WITH {_OVER}, y AS (SELECT a, b, count(*) OVER (PARTITION BY a) AS da, count(*) OVER (PARTITION BY b) AS db FROM x WHERE shared * 1.0 / least(na, nb) >= 0.15) SELECT a, b, CASE WHEN da = 1 AND db = 1 THEN 'one-to-one' WHEN da = 1 THEN 'many-to-one' WHEN db = 1 THEN 'one-to-many' ELSE 'many-to-many' END AS relation FROM y")
+@query(
+    "clu15_relations",
+    f"""WITH {_OVER}, y AS (SELECT a, b, count(*) OVER (PARTITION BY a, rb) AS da, count(*) OVER (PARTITION BY b, ra) AS db FROM x WHERE overlap >= 0.15)
+    SELECT a, b, CASE WHEN da = 1 AND db = 1 THEN 'one-to-one' WHEN da = 1 THEN 'many-to-one' WHEN db = 1 THEN 'one-to-many' ELSE 'many-to-many' END AS relation FROM y""",
+)
 def clu15(spark, d):
-    x = _overlaps(spark, d).filter("overlap >= 0.15")
-    da, db = (F.count("*").over(Window.partitionBy(c)) for c in ("a", "b"))
-    x = x.withColumn("da", da).withColumn("db", db)
+    return _relations(_overlaps(spark, d).filter("overlap >= 0.15")).select("a", "b", "relation")
+
+
+def _relations(x):
+    """The pairs with their relation: how many partners each set has in the other's run."""
+    x = x.withColumns({"da": F.count("*").over(Window.partitionBy("a", "rb")), "db": F.count("*").over(Window.partitionBy("b", "ra"))})
     one = lambda c: F.col(c) == 1
     kind = F.when(one("da") & one("db"), "one-to-one").when(one("da"), "many-to-one").when(one("db"), "one-to-many").otherwise("many-to-many")
-    return x.select("a", "b", kind.alias("relation"))
+    return x.withColumn("relation", kind)
 
 
 @query("clu20_select_linkage", "SELECT p_type AS k, round(avg(p_retailprice), 6) AS score FROM part GROUP BY 1 HAVING min(p_size) >= 1 ORDER BY round(avg(p_retailprice), 6) DESC, 1 LIMIT 1")
@@ -177,32 +186,7 @@ def clu30(spark, d):
     return r.groupBy("node").agg(at(1, "label").alias("nearest"), at(2, "label").alias("second"), F.round((at(1, "n") - F.coalesce(at(2, "n"), F.lit(0))) / 8, 6).alias("margin"), F.round(-F.sum(p * F.ln(p)), 6).alias("entropy"))
 
 
-def _small_consensus(spark, d):
-    """Consensus over the labels of run 0: a node for each of its labels, with the mean over their members."""
-    g = _runs(spark, d).filter("run = 0").select("node", "label")
-    return M.block_means(_consensus(spark, d), g, "node", "label")
-
-
-@query("clu9_recurrence_subtypes")
-def clu9(spark, d):
-    x = _small_consensus(spark, d).filter("g <> h").select(F.col("g").alias("i"), F.col("h").alias("j"), F.col("mean").alias("value"))
-    nodes = list(range(8))  # labels of a run
-    label = P.linkage_cut(1 - P.square(x, nodes, 0.0, 1.0), threshold=0.75)
-    return spark.createDataFrame(pd.DataFrame({"node": nodes, "subtype": label.astype(int)}))
-
-
-@query("clu3_resampled_consensus")
-def clu3(spark, d):
-    m = M.block_means(M.pairs(M.unit_rows(table(spark, d, "embeddings"), "embedding"), "vec_id", "embedding"), _runs(spark, d).filter("run < 2").groupBy("node").agg(F.sum(F.col("label") * F.when(F.col("run") == 0, 8).otherwise(1)).alias("cell")), "node", "cell")
-    rows = m.filter("g <> h").select(F.col("g").alias("i"), F.col("h").alias("j"), F.col("mean").alias("value")).toPandas()  # at most 64 cells
-    nodes = sorted(set(rows["i"]) | set(rows["j"]))
-    labels = P.resampled_labels(spark, P.square(rows, nodes, 1.0, 0.0), (2, 3, 4), 50)
-    runs = labels.withColumn("run", F.concat_ws("|", "rep", "algorithm"))
-    parts = [P.coassignment(runs.filter(F.col("k") == k), "run", "pos", "label").withColumn("k", F.lit(k)) for k in (2, 3, 4)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("k", "i", "j", "same", "seen", F.round("value", 9).alias("value"))
-
-
-@query("cmp1_set_overlaps", f"WITH {_OVER} SELECT a, b, shared, round(shared * 1.0 / (na + nb - shared), 9) AS jaccard, round(2.0 * shared / (na + nb), 9) AS dice, round(shared * 1.0 / least(na, nb), 9) AS overlap FROM x")
+@query("cmp1_set_overlaps", f"WITH {_OVER} SELECT a, b, shared, round(jaccard, 9) AS jaccard, round(2.0 * shared / (na + nb), 9) AS dice, round(overlap, 9) AS overlap FROM x")
 def cmp1(spark, d):
     return _overlaps(spark, d).select("a", "b", "shared", *[F.round(c, 9).alias(c) for c in ("jaccard", "dice", "overlap")])
 
@@ -214,29 +198,29 @@ def cmp1(spark, d):
     SELECT ra, rb, round((s - sr * sc / (n * (n - 1) / 2.0)) / ((sr + sc) / 2 - sr * sc / (n * (n - 1) / 2.0)), 6) AS ari FROM s JOIN r USING (ra, rb) JOIN c USING (ra, rb)""",
 )
 def cmp4(spark, d):
-    m = _runs(spark, d)
-    t = m.select(F.col("run").alias("ra"), "node", F.col("label").alias("x")).join(m.select(F.col("run").alias("rb"), "node", F.col("label").alias("y")), "node").filter("ra < rb").groupBy("ra", "rb", "x", "y").agg(F.count("*").alias("n"))
-    return P.adjusted_rand(t, ["ra", "rb"]).withColumn("ari", F.round("ari", 6))
+    return P.adjusted_rand(_tables(spark, d), ["ra", "rb"]).withColumn("ari", F.round("ari", 6))
 
 
-@query("cmp6_information", f"WITH {_RUNS}, t AS (SELECT a.label AS x, b.label AS y, CAST(count(*) AS DOUBLE) AS n FROM m a JOIN m b USING (node) WHERE a.run = 0 AND b.run = 1 GROUP BY 1, 2), p AS (SELECT n, sum(n) OVER () AS t, sum(n) OVER (PARTITION BY x) AS r, sum(n) OVER (PARTITION BY y) AS c FROM t) SELECT round(2 * sum(n / t * ln(n * t / (r * c))) / (-sum(n / t * ln(r / t)) - sum(n / t * ln(c / t))), 6) AS nmi FROM p")
-def cmp6(spark, d):
-    m = _runs(spark, d)
-    return P.normalised_information(P.contingency(m.filter("run = 0"), m.filter("run = 1"), "node", "label")).select(F.round("nmi", 6).alias("nmi"))
+def _tables(spark, d):
+    """Contingency (ra, rb, x, y, n) of any two runs: a node's labels are gathered once, so the nodes are shuffled once."""
+    labels = _runs(spark, d).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("run", "label"))).alias("l"))  # one for each run
+    pair = labels.select(F.posexplode("l").alias("i", "a"), "l").select("a", F.explode(F.slice("l", F.col("i") + 2, F.lit(1000))).alias("b"))
+    return pair.groupBy(F.col("a.run").alias("ra"), F.col("b.run").alias("rb"), F.col("a.label").alias("x"), F.col("b.label").alias("y")).agg(F.count("*").alias("n"))
 
 
-@query("cmp9_best_recovery", f"WITH {_OVER} SELECT a, arg_min(b, struct_pack(x := -(shared * 1.0 / (na + nb - shared)), y := b)) AS best, round(max(shared * 1.0 / (na + nb - shared)), 9) AS jaccard FROM x GROUP BY 1")
-def cmp9(spark, d):
-    return _overlaps(spark, d).groupBy("a").agg(F.min_by("b", F.struct(-F.col("jaccard"), "b")).alias("best"), F.round(F.max("jaccard"), 9).alias("jaccard"))
+@query(
+    "cmp6_information",
+    f"""WITH {_RUNS}, t AS (SELECT a.run AS ra, b.run AS rb, a.label AS x, b.label AS y, CAST(count(*) AS DOUBLE) AS n FROM m a JOIN m b USING (node) WHERE a.run < b.run GROUP BY ALL),
+    p AS (SELECT ra, rb, n, sum(n) OVER (PARTITION BY ra, rb) AS t, sum(n) OVER (PARTITION BY ra, rb, x) AS r, sum(n) OVER (PARTITION BY ra, rb, y) AS c FROM t)
+    SELECT ra, rb, round(2 * sum(n / t * ln(n * t / (r * c))) / (-sum(n / t * ln(r / t)) - sum(n / t * ln(c / t))), 6) AS nmi FROM p GROUP BY ALL""",
+)
+def cmp6(spark, d):
+    return P.normalised_information(_tables(spark, d), ["ra", "rb"]).withColumn("nmi", F.round("nmi", 6))
 
 
-@query("cmp2_matched_jaccard")
-def cmp2(spark, d):
-    rows = _overlaps(spark, d).select("a", "b", "jaccard").toPandas()  # labels of two runs
-    gain = np.zeros((8, 8))
-    gain[rows["a"], rows["b"] - 8] = rows["jaccard"]
-    out = [(int(i), int(j) + 8, float(gain[i, j])) for i, j in P.optimal_assignment(gain)]
-    return spark.createDataFrame(out, "a int, b int, jaccard double")
+@query("cmp9_best_recovery", f"WITH {_OVER} SELECT a, rb, arg_min(b, struct_pack(x := -jaccard, y := b)) AS best, round(max(jaccard), 9) AS jaccard FROM x GROUP BY 1, 2")
+def cmp9(spark, d):
+    return _overlaps(spark, d).groupBy("a", "rb").agg(F.min_by("b", F.struct(-F.col("jaccard"), "b")).alias("best"), F.round(F.max("jaccard"), 9).alias("jaccard"))
 
 
 @query("cmp11_co_occurrence", f"WITH {_RUNS}, k AS (SELECT label AS core, vec_id AS node FROM embeddings), n AS (SELECT core, run, m.label, count(*) AS n FROM k JOIN m USING (node) GROUP BY 1, 2, 3), t AS (SELECT core, run, arg_min(label, struct_pack(a := -n, b := label)) AS top FROM n GROUP BY 1, 2) SELECT a.core AS i, b.core AS j, round(avg(CASE WHEN a.top = b.top THEN 1.0 ELSE 0 END), 6) AS together FROM t a JOIN t b ON a.run = b.run AND a.core < b.core GROUP BY 1, 2")
@@ -255,7 +239,8 @@ def jon8(spark, d):
     return x.groupBy(*[F.col(c).alias(n) for c, n in (("a.run", "ra"), ("a.label", "la"), ("b.run", "rb"), ("b.label", "lb"))]).agg(F.count("*").alias("shared"))
 
 
-_BASKET = "s AS (SELECT c_mktsegment || (c_custkey % 2) AS set, c_nationkey AS node FROM customer WHERE c_acctbal > 8200 GROUP BY 1, 2)"
+_BASKET = """a AS (SELECT c_mktsegment, c_nationkey, avg(c_acctbal) AS x FROM customer GROUP BY 1, 2),
+    s AS (SELECT c_mktsegment || lv AS set, c_nationkey AS node FROM a, (VALUES (4000), (4500), (5000)) t(lv) WHERE x > lv)"""
 
 
 @query(
@@ -264,7 +249,9 @@ _BASKET = "s AS (SELECT c_mktsegment || (c_custkey % 2) AS set, c_nationkey AS n
     SELECT array_to_string(c.m, ',') AS members, count(*) AS support FROM (SELECT DISTINCT m FROM c WHERE len(m) >= 2) c, b WHERE len(list_intersect(c.m, b.m)) = len(c.m) GROUP BY 1""",
 )
 def agg23(spark, d):
-    s = table(spark, d, "customer").filter("c_acctbal > 8200").select(F.concat("c_mktsegment", (F.col("c_custkey") % 2).cast("string")).alias("set"), F.col("c_nationkey").alias("node")).distinct()
+    mean = table(spark, d, "customer").groupBy("c_mktsegment", "c_nationkey").agg(F.avg("c_acctbal").alias("x"))
+    levels = mean.withColumn("lv", F.explode(F.array(F.lit(4000), F.lit(4500), F.lit(5000)))).filter("x > lv")
+    s = levels.select(F.concat("c_mktsegment", F.col("lv").cast("string")).alias("set"), F.col("c_nationkey").alias("node"))
     return P.closed_sets(s, 2).select(F.array_join("members", ",").alias("members"), "support")
 
 

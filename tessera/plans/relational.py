@@ -228,12 +228,12 @@ def jon3(spark, d):
 
 @query(
     "jon4_concordance",
-    """WITH a AS (SELECT c_nationkey AS k, c_mktsegment AS s, sum(c_acctbal) AS x FROM customer WHERE c_custkey % 3 = 0 GROUP BY 1, 2), b AS (SELECT c_nationkey AS k, c_mktsegment AS s, sum(c_acctbal) AS y FROM customer WHERE c_custkey % 5 = 0 GROUP BY 1, 2)
+    """WITH a AS (SELECT c_nationkey AS k, c_mktsegment AS s, sum(c_acctbal) AS x FROM customer WHERE c_acctbal > 1000 GROUP BY 1, 2), b AS (SELECT c_nationkey AS k, c_mktsegment AS s, sum(c_acctbal) AS y FROM customer WHERE c_acctbal < 6000 GROUP BY 1, 2)
     SELECT k, s, round(x, 2) AS x, round(y, 2) AS y, CASE WHEN x IS NULL OR y IS NULL THEN NULL ELSE (x > 0) = (y > 0) END AS concordant FROM a FULL JOIN b USING (k, s)""",
 )
 def jon4(spark, d):
-    side = lambda m, name: table(spark, d, "customer").filter(f"c_custkey % {m} = 0").groupBy(F.col("c_nationkey").alias("k"), F.col("c_mktsegment").alias("s")).agg(F.sum("c_acctbal").alias(name))
-    return side(3, "x").join(side(5, "y"), ["k", "s"], "full").select("k", "s", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"), ((F.col("x") > 0) == (F.col("y") > 0)).alias("concordant"))
+    side = lambda rule, name: table(spark, d, "customer").filter(rule).groupBy(F.col("c_nationkey").alias("k"), F.col("c_mktsegment").alias("s")).agg(F.sum("c_acctbal").alias(name))
+    return side("c_acctbal > 1000", "x").join(side("c_acctbal < 6000", "y"), ["k", "s"], "full").select("k", "s", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"), ((F.col("x") > 0) == (F.col("y") > 0)).alias("concordant"))
 
 
 @query("jon5_target_rest", "SELECT c_custkey, CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') THEN 'target' ELSE 'rest' END AS side FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")

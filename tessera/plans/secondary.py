@@ -13,8 +13,10 @@ from tessera.operators import statistics as S
 from tessera.plans.matrices import _B as BOTH
 from tessera.plans.matrices import _P as COSINE
 from tessera.plans.matrices import _cosine, _vectors
+from tessera.plans import sqltext as Q
+from tessera.plans.partitions import _OVER as OVER
 from tessera.plans.partitions import _RUNS as RUNS
-from tessera.plans.partitions import _consensus, _runs
+from tessera.plans.partitions import _consensus, _overlaps, _runs
 from tessera.plans.registry import query, table
 
 
@@ -123,21 +125,31 @@ def clu27(spark, d):
     return own.join(t, "i", "left").select("i", F.when(F.col("n") > 1, F.round(F.coalesce("t", F.lit(0.0)) / (F.col("n") - 1), 6)).alias("item"))
 
 
-@query("cmp8_core_overlap_tests")
+@query(
+    "cmp8_core_overlap_tests",
+    f"""WITH {OVER}, t AS (SELECT count(*) AS t FROM embeddings), c AS (SELECT a, b, shared AS w, na - shared AS x, nb - shared AS y, t - na - nb + shared AS z FROM x, t)
+    SELECT a, b, w AS shared, round({Q.fisher("w", "x", "y", "z")}, 9) AS p FROM c""",
+)
 def cmp8(spark, d):
-    s = _runs(spark, d).select((F.col("run") * 8 + F.col("label")).alias("set"), "node")
-    x = P.set_overlaps(s.filter("set < 8"), s.filter("set >= 8 and set < 16"))
-    n = table(spark, d, "embeddings").count()
-    cells = x.withColumn("r", F.col("na") - F.col("shared")).withColumn("c", F.col("nb") - F.col("shared")).withColumn("rest", n - F.col("na") - F.col("nb") + F.col("shared"))
-    return cells.withColumn("p", special.fisher_p("shared", "r", "c", "rest")).select("a", "b", "shared", "p")
+    n = table(spark, d, "embeddings").agg(F.count("*").alias("t"))
+    x = _overlaps(spark, d).crossJoin(F.broadcast(n))
+    cells = x.withColumns({"r": F.col("na") - F.col("shared"), "c": F.col("nb") - F.col("shared"), "rest": F.col("t") - F.col("na") - F.col("nb") + F.col("shared")})
+    return cells.select("a", "b", "shared", F.round(special.fisher_p("shared", "r", "c", "rest"), 9).alias("p"))
 
 
-@query("sta20_pairwise_fisher")
+@query(
+    "sta20_pairwise_fisher",
+    f"""WITH g AS (SELECT c_mktsegment AS g, count(CASE WHEN c_acctbal > 5000 THEN 1 END) AS y, count(CASE WHEN c_acctbal <= 5000 THEN 1 END) AS n FROM customer GROUP BY 1),
+    t AS (SELECT a.g AS i, b.g AS j, {Q.fisher("a.y", "a.n", "b.y", "b.n")} AS p FROM g a JOIN g b ON a.g < b.g), {Q.adjusted("t", "", "i, j", "holm", "ho", "p_holm")}
+    SELECT i, j, round(p, 9) AS p, round(p_holm, 9) AS p_holm FROM ho""",
+)
 def sta20(spark, d):
-    rows = table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("g")).agg(F.count_if(F.col("c_acctbal") > 5000).alias("y"), F.count_if(F.col("c_acctbal") <= 5000).alias("n"))
-    x = rows.alias("a").join(rows.alias("b"), F.expr("a.g < b.g")).select(F.col("a.g").alias("i"), F.col("b.g").alias("j"), F.col("a.y").alias("w"), F.col("a.n").alias("x"), F.col("b.y").alias("y"), F.col("b.n").alias("z"))
-    tested = x.withColumn("p", special.fisher_p("w", "x", "y", "z")).withColumn("family", F.lit("rich"))
-    return S.holm(tested, ["family"], tie=["i", "j"]).select("i", "j", "p", "p_holm")
+    rich = F.col("c_acctbal") > 5000
+    rows = table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("g")).agg(F.count_if(rich).alias("y"), F.count_if(~rich).alias("n"))
+    x = rows.alias("a").join(rows.alias("b"), F.expr("a.g < b.g"))
+    x = x.select(*[F.col(c).alias(n) for c, n in (("a.g", "i"), ("b.g", "j"), ("a.y", "w"), ("a.n", "x"), ("b.y", "y"), ("b.n", "z"))])
+    tested = S.holm(x.withColumn("p", special.fisher_p("w", "x", "y", "z")), [], tie=["i", "j"])
+    return tested.select("i", "j", F.round("p", 9).alias("p"), F.round("p_holm", 9).alias("p_holm"))
 
 
 @query(

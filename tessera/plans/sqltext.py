@@ -5,8 +5,8 @@ from __future__ import annotations
 
 def lower_gamma(a: str, x: str) -> str:
     """The regularised lower incomplete gamma function, by its series of positive terms."""
-    term = f"exp(({a} + n) * ln({x}) - {x} - lgamma({a} + n + 1))"
-    return f"list_sum(list_transform(range(0, 400), lambda n: {term}))"
+    term = f"exp(({a} + term_) * ln({x}) - {x} - lgamma({a} + term_ + 1))"
+    return f"list_sum(list_transform(range(0, 400), lambda term_: {term}))"
 
 
 def chi2_tail(x: str, df: str) -> str:
@@ -26,10 +26,10 @@ def fisher(a: str, b: str, c: str, d: str) -> str:
     fact = lambda x: f"lgamma({x} + 1)"
     log = lambda x: f"-({fact(x)} + {fact(f'({a} + {b} - {x})')} + {fact(f'({a} + {c} - {x})')} + {fact(f'({d} - {a} + {x})')})"
     lows, highs = f"greatest(0, {a} - {d})", f"least({a} + {b}, {a} + {c})"
-    grid = f"list_transform(range({lows}, {highs} + 1), lambda x: {log('x')})"
+    grid = f"list_transform(range({lows}, {highs} + 1), lambda cell_: {log('cell_')})"
     own = log(a)
-    weight = f"list_transform({grid}, lambda v: exp(v - {own}))"
-    return f"least(1.0, list_sum(list_filter({weight}, lambda w: w <= 1 + 1e-7)) / list_sum({weight}))"
+    weight = f"list_transform({grid}, lambda log_: exp(log_ - {own}))"
+    return f"least(1.0, list_sum(list_filter({weight}, lambda share_: share_ <= 1 + 1e-7)) / list_sum({weight}))"
 
 
 def ranked(source: str, keys: str) -> str:
