@@ -1,8 +1,9 @@
 """Connected components by alternating large-star and small-star steps (Kiveris et al., 2014).
 
-Each step is an aggregation and a join, so no vertex's neighbours meet in one task's memory: vertices with more than 1/256
-of the edges are joined by a broadcast, the others by a shuffle. After each step the edges are written to the shared
-folder. The rounds end when a round changes nothing. No edges: no rows; loops and repeated edges change nothing.
+Each step is an aggregation and a join, so no vertex's neighbours meet in one task's memory. The smallest neighbours are
+written to the shared folder first: then both sides of the join come straight from a shuffle, and Spark splits the partition of
+a vertex with very many edges. After each round the edges are written. The rounds end when the edges are stars around
+their smallest nodes. No edges: no rows; loops and repeated edges change nothing.
 """
 
 from __future__ import annotations
@@ -10,38 +11,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import join_by_count, saved
+from tessera.llm.common import saved
 
 
-def _with_least(edges: DataFrame, total: int) -> DataFrame:
-    """The edges with m, the smallest v of their u."""
-    least = saved(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
-    return join_by_count(edges, least, "u", "n", total)
-
-
-def _large_star(edges: DataFrame, total: int) -> DataFrame:
+def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    own = _with_least(both, 2 * total).withColumn("m", F.least("u", "m"))
-    return own.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    least = saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame, total: int) -> DataFrame:
+def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    own = _with_least(down, total)
-    linked = own.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return linked.unionByName(own.filter("v = m").select("u", "v")).filter("u <> v").distinct()
+    least = saved(down.groupBy("u").agg(F.min("v").alias("m")), "least")
+    linked = down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return linked.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether each u has one edge, to a smaller v that has none itself."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), (F.col("u") < F.col("v")).cast("int").alias("wrong"))
+    ends = ends.unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(0).alias("wrong")))
+    by = ends.groupBy("x").agg(F.sum("up").alias("up"), F.count("*").alias("n"), F.max("wrong").alias("wrong"))
+    return by.filter("wrong = 1 or up > 1 or up = 1 and n > 1").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) for all nodes with an edge to another one; edges: u, v (long)."""
     now = saved(edges.filter("u <> v").select("u", "v").distinct(), "edges")
-    mark = None
-    while True:
-        seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if (seen.n, seen.h) == mark or not seen.n:
-            break
-        mark = (seen.n, seen.h)
-        now = saved(_large_star(now, seen.n), "edges")
-        now = saved(_small_star(now, seen.n), "edges")
+    while not _stars(now):
+        now = saved(_small_star(_large_star(now)), "edges")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -4,9 +4,9 @@
    universal hashes (a * x + b over 2**64, upper 32 bits), a byte of each as signature, and a key per band.
 2. Documents with equal sets are one class, which has the smallest doc_id of its rows.
 3. Classes that share a band key are candidates. In each bucket all members are compared by signature with one
-   hub, the member that has most company over all its bands. In a bucket with more than HUBS members that aren't close
-   to the hub, HUBS of these are hubs as well, and all members are compared with each. Then only what isn't joined
-   yet is left: the members outside their bucket's largest component are compared with all members of other
+   hub, the member that has most company over all its bands. In a bucket with more than FAR members that aren't close
+   to the hub, HUBS of these are hubs as well, and all members are compared with each; then only what isn't joined
+   yet is left, the members outside their bucket's largest component. What is left is compared with all members of other
    components, in blocks of BLOCK, each block pair a group of its own. A comparison keeps one link for each two parts
    that it joins, not all pairs; close means an estimate of at least 4.5 standard errors under the threshold. The
    components of these links are families: no link of the contract leaves one, but for what banding misses
@@ -38,7 +38,7 @@ from tessera.llm.components import components
 
 WORDS, BANDS, ROWS = 5, 40, 5
 PERCENT = 75
-BLOCK, HUBS = 64, 16
+BLOCK, FAR, HUBS = 64, 256, 16
 _K = BANDS * ROWS
 #: Signatures agree at this many places at least if the sets may be as close as the threshold.
 _CLOSE = int(_K * (0.75 + 0.25 / 256 - 4.5 * (0.75 * 0.25 / _K) ** 0.5))
@@ -172,20 +172,19 @@ def _linked(members: DataFrame, nodes: DataFrame, total: int, exact: bool) -> Da
     far = saved(far, "far")
     sizes = far.groupBy("key").agg(F.count("*").alias("n_far")).join(hubs, "key").filter("n > 2")
     sizes = saved(sizes.select("key", "n", "n_far"), "open")
-    wide = sizes.filter(F.col("n_far") > HUBS)
-    links, parts = star, None
-    if not wide.isEmpty():
-        rank = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(11)), "node"))
-        chosen = far.join(wide.select("key"), "key", "left_semi").withColumn("rank", rank).filter(F.col("rank") <= HUBS).drop("rank")
-        links = saved(star.unionByName(_met(members, wide, saved(chosen, "hubs"), nodes, total, exact)), "links")
-        parts = components(links)
-        inside = join_by_count(members.select("key", "node"), sizes, "key", "n", total).select("key", "node").join(parts, "node", "left")
-        inside = saved(inside.withColumn("component", F.coalesce("component", "node")), "inside")
-        by_part = inside.groupBy("key", "component").agg(F.count("*").alias("n"))
-        top = saved(by_part.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("top"), F.sum("n").alias("n")), "top")
-        far = join_by_count(inside, top, "key", "n", total).filter("component <> top").select("key", "node")
-        far = saved(far, "far")
-        sizes = saved(far.groupBy("key").agg(F.count("*").alias("n_far")).join(top.select("key", "n"), "key"), "open")
+    wide = sizes.filter(F.col("n_far") > FAR)
+    if wide.isEmpty():
+        return star.unionByName(_met(members, sizes, far, nodes, total, exact))
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(11)), "node"))
+    chosen = far.join(wide.select("key"), "key", "left_semi").withColumn("rank", rank).filter(F.col("rank") <= HUBS).drop("rank")
+    links = saved(star.unionByName(_met(members, wide.withColumn("n_far", F.lit(HUBS)), saved(chosen, "hubs"), nodes, total, exact)), "links")
+    parts = components(links)
+    inside = join_by_count(members.select("key", "node"), sizes, "key", "n", total).select("key", "node").join(parts, "node", "left")
+    inside = saved(inside.withColumn("component", F.coalesce("component", "node")), "inside")
+    by_part = inside.groupBy("key", "component").agg(F.count("*").alias("n"))
+    top = saved(by_part.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("top"), F.sum("n").alias("n")), "top")
+    far = saved(join_by_count(inside, top, "key", "n", total).filter("component <> top").select("key", "node"), "far")
+    sizes = saved(far.groupBy("key").agg(F.count("*").alias("n_far")).join(top.select("key", "n"), "key"), "open")
     return links.unionByName(_met(members, sizes, far, nodes, total, exact, parts))
 
 
@@ -196,8 +195,6 @@ def _met(members: DataFrame, sizes: DataFrame, queries: DataFrame, nodes: DataFr
     in the group of both blocks.
     """
     extra = ["shingles"] if exact else []
-    n_far = queries.groupBy("key").agg(F.count("*").alias("n_far"))
-    sizes = saved(sizes.select("key", "n").join(n_far, "key"), "sizes")
     rows = join_by_count(members.select("key", "node"), sizes, "key", "n", total).join(nodes, "node")
     rows = rows.join(queries.withColumn("far", F.lit(True)), ["key", "node"], "left")
     if parts is not None:
