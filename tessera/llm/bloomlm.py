@@ -48,7 +48,7 @@ PIECE = 1 << 18
 PROBE = 1 << 22
 FLUSH = 1 << 20
 TOKENS_PER_BUCKET = 1 << 20
-_HELD = 1 << 22
+_HELD = 1 << 21
 _END = np.uint64(0x8B72E1CC0F656E64)
 _LOW = np.uint64((1 << 32) - 1)
 _STEP = np.uint64(6364136223846793005)
@@ -72,10 +72,14 @@ def contexts(tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def pair_keys(u: np.ndarray, w: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """The keys of the pairs; hot: the sorted contexts that are spread over all keys."""
-    x = mix(u * np.uint64(0x9FB21C651E98DF25) + (w << np.uint64(32) | w >> np.uint64(32)))
-    own = u & ~_LOW | x & _LOW
-    return np.where(np.isin(u, hot), x, own) if len(hot) else own
+    """The keys of the pairs; hot: whether the context is one of those that are spread over all keys."""
+    x = w << np.uint64(32) | w >> np.uint64(32)
+    x += u * np.uint64(0x9FB21C651E98DF25)
+    x = mix(x)
+    own = u & ~_LOW
+    own |= x & _LOW
+    np.copyto(own, x, where=hot)
+    return own
 
 
 def levels_of(counts: np.ndarray) -> np.ndarray:
@@ -84,7 +88,7 @@ def levels_of(counts: np.ndarray) -> np.ndarray:
 
 def quantised(level: np.ndarray) -> np.ndarray:
     """q of a level in fifths: 0, 5, 14, 28, 56, ..."""
-    return np.where(level > 1, 7 << np.maximum(level, 1), 5 * level).astype(np.int64) >> (level > 1)
+    return np.where(level > 1, 7 << np.minimum(level, 58), 5 * level).astype(np.int64) >> (level > 1)
 
 
 def probes(count: np.ndarray, distinct: int) -> np.ndarray:
@@ -158,8 +162,11 @@ def _gathered(docs: DataFrame, bits: int, keyed: Callable | None, label: str, fi
             w, u = (np.concatenate(x) for x in zip(*held, strict=True))
             if keyed is None:
                 return _packed(bits, *np.unique(w, return_counts=True), None)
-            keys, at, counts = np.unique(keyed(u, w), return_index=True, return_counts=True)
-            return _packed(bits, keys, counts, u[at])
+            keys = keyed(u, w)
+            order = np.argsort(keys)
+            keys = keys[order]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            return _packed(bits, keys[first], np.diff(np.append(first, len(keys))), u[order[first]])
 
         for batch in parts:
             texts = texts_of(batch.column(0))
@@ -224,7 +231,7 @@ class Filter:
 
     def levels(self, keys: np.ndarray, k: np.ndarray, most: np.ndarray) -> np.ndarray:
         """The highest level, `most` at most, such that it and all lower ones are in the filter; 0 if none is."""
-        out = np.zeros(len(keys), np.int64)
+        out = np.zeros(len(keys), np.int8)
         level, live = 1, np.flatnonzero(most >= 1)
         while len(live):
             left = k[live] if level == 1 else np.full(len(live), LEAST_PROBES)
@@ -312,13 +319,13 @@ def _vocabulary(docs: DataFrame) -> tuple[DataFrame, Model]:
 
 def fit(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
     """The model of all rows of docs; blocks of the words that aren't broadcast (keys: sorted uint64, data: counts); and blocks of
-    contexts (keys, data: S in fifths and n, int64) and pairs (keys: the first and the last, data: the filter of those between them)."""
+    contexts (keys, data: S in fifths, then n) and pairs (keys: the first and the last, data: the filter of those between them)."""
     tail, model = _vocabulary(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     bits = min(16, max(4, (model.total // TOKENS_PER_BUCKET).bit_length()))
 
     def keyed(u: np.ndarray, w: np.ndarray) -> np.ndarray:
-        return pair_keys(u, w, shared.value.hot)
+        return pair_keys(u, w, np.isin(u, shared.value.hot))
 
     def finish(keys: np.ndarray, counts: np.ndarray, u: np.ndarray) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
@@ -329,7 +336,7 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
             own, back, n = np.unique(ctx, return_inverse=True, return_counts=True)
             sums = np.zeros(len(own), np.int64)
             np.add.at(sums, back, quantised(level))
-            yield _block(CONTEXT, own, np.stack([sums, n]).astype(np.int64).tobytes())
+            yield _block(CONTEXT, own, _small(np.concatenate([sums, n])))
 
     blocks = _gathered(docs, bits, keyed, "blocks", finish)
     seen = blocks.agg(F.sum("once").alias("once"), F.sum("twice").alias("twice")).first()
@@ -361,32 +368,40 @@ def chances(model: Model, words_: list[str], blocks: list[str], tokens: np.ndarr
     """For each token of texts: its count, and its log10 probability after the token before it; words_, blocks: the files."""
     unit_ = max(model.total + 0.5 * (model.distinct + 1), 0.5)
     distinct, back = np.unique(np.append(tokens, _END), return_inverse=True)
+    back = back.astype(np.int32)
+    w, u = back[:-1], np.concatenate([back[-1:], back[:-2]])
+    u[offsets[:-1]] = back[-1]  # the end
     c = model.look_up(distinct)
+    head = c.copy()
     for _, own, data in _blocks(words_):
         here, there = _found(distinct, own)
         c[here] = _counts(data, len(own))[there]
+    keys, place = np.unique(pair_keys(distinct[u], distinct[w], np.isin(distinct, model.hot)[u]), return_inverse=True)
+    place = place.astype(np.int32)
+    one = np.empty(len(keys), np.int32)
+    one[place] = np.arange(len(place), dtype=np.int32)
+    u, v = u[one], w[one]  # of the distinct pairs
+    rarer = np.minimum(c[u], c[v])
+    most = np.where(rarer > 0, levels_of(rarer), 0).astype(np.int8)
+    k = probes(head, model.distinct).astype(np.int8)[u]
+    level = np.zeros(len(keys), np.int8)
     sums, n = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
-    u, w = np.searchsorted(distinct, contexts(tokens, offsets)), back[:-1]
-    keys, one, place = np.unique(pair_keys(distinct[u], distinct[w], model.hot), return_index=True, return_inverse=True)
-    rarer = np.minimum(c[u[one]], c[w[one]])
-    most = np.where(rarer > 0, levels_of(rarer), 0)
-    k = probes(model.look_up(distinct)[u[one]], model.distinct)
-    level = np.zeros(len(keys), np.int64)
     for kind, own, data in _blocks(blocks):
         if kind == CONTEXT:
             here, there = _found(distinct, own)
-            s, m = np.frombuffer(data, np.int64).reshape(2, -1)
+            s, m = _counts(data, 2 * len(own)).reshape(2, -1)
             sums[here] += s[there]
             n[here] += m[there]
         else:
             part = slice(int(np.searchsorted(keys, own[0])), int(np.searchsorted(keys, own[-1], "right")))
             if part.stop > part.start:
                 level[part] = Filter(np.frombuffer(data, np.uint8)).levels(keys[part], k[part], most[part])
-    count = c[w]
-    plain = (count + 0.5) / unit_
-    s, q = np.maximum(sums[u], 1) / 5, quantised(level)[place] / 5
-    seen = np.minimum(1.0, np.maximum(q - model.discount, 0) / s + model.discount * n[u] / s * plain)
-    return count, np.log10(np.where(sums[u] > 0, seen, plain))
+    plain = ((c + 0.5) / unit_)[v]
+    s = np.maximum(sums, 1)[u] / 5
+    seen = np.maximum(quantised(np.arange(64))[level] / 5 - model.discount, 0) / s
+    seen += model.discount * n[u] / s * plain
+    chance = np.log10(np.where(sums[u] > 0, np.minimum(1.0, seen), plain))
+    return c[w], chance[place]
 
 
 def score(docs: DataFrame, model: Model, tail: DataFrame, blocks: DataFrame) -> DataFrame:
