@@ -21,15 +21,19 @@ def on_workers(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, written to the folder that spark.checkpoint.dir names and read again: lineage ends here, and lost executors cost nothing."""
-    spark = df.sparkSession
+def folder(spark: SparkSession, label: str) -> str:
+    """A new folder in the one that spark.checkpoint.dir names; where none is set, a local session gets one of its own, and a cluster an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(root)
-    path = f"{root.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder and read again: lineage ends here, and lost executors cost nothing."""
+    path = folder(df.sparkSession, "cut")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

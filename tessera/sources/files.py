@@ -21,6 +21,37 @@ def case_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MANIFEST).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
+def write_manifest(cases: DataFrame, path: str, files: int = 4) -> None:
+    """Cases as JSON lists, `files` of them; the cases of a file meet in a task, as a reader of such a file holds them too."""
+    rows = cases.select(F.pmod(F.xxhash64("Case_ID"), F.lit(files)).cast("int").alias("_file"), F.to_json(F.struct(*cases.columns)).alias("_case"))
+    lists = rows.groupBy("_file").agg(F.concat(F.lit("["), F.array_join(F.collect_list("_case"), ","), F.lit("]")).alias("value"))
+    lists.repartitionById(files, "_file").select("value").write.mode("overwrite").text(path)
+
+
+def slide_portal(spark: SparkSession, path: str, required: list[str], tissue: str = "Specimen_Type", kept: str = "tumor_tissue") -> DataFrame:
+    """Slides of a portal's table: rows without a required column and of other tissues go."""
+    rows = spark.read.option("header", True).csv(path)
+    return rows.na.drop(subset=required).filter(F.col(tissue) == kept)
+
+
+def file_table(spark: SparkSession, path: str) -> DataFrame:
+    """path, size and modification time of the files under a path, from their metadata: no file is opened by the driver."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return rows.select("path", F.col("length").alias("size"), F.unix_micros("modificationTime").alias("modified_us"))
+
+
+def content_identity(spark: SparkSession, path: str) -> DataFrame:
+    """path, size and SHA-256 of the files under a path."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return rows.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("digest"))
+
+
+def with_files(rows: DataFrame, files: DataFrame, name: str) -> DataFrame:
+    """The rows whose file, named in the column, is among those of `file_table`, with its path."""
+    have = files.select("path", F.regexp_extract("path", "([^/]+)$", 1).alias(name))
+    return rows.join(have, name)
+
+
 def missing_views(manifest: DataFrame) -> DataFrame:
     """Case_ID and the names of the required views that have no record."""
     none = [F.when(F.coalesce(F.size(v), F.lit(0)) <= 0, F.lit(f"missing_{v}")) for v in VIEWS]
@@ -100,6 +131,22 @@ def read_pairs(spark: SparkSession, path: str, n_views: int | None = None) -> Da
     return rows
 
 
+def tool_results(rows: DataFrame) -> DataFrame:
+    """Snapshots made small: of the metrics (map<string, double>) the finite ones stay, of the texts (map<string, string>) those that
+    aren't blank, of the errors each message once in its order; any status but success is a failure."""
+    finite = F.map_filter("metrics", lambda k, v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    told = lambda c: F.map_filter(c, lambda k, v: F.coalesce(F.trim(v) != "", F.lit(False)))
+    errors = F.array_distinct(F.filter(F.transform(F.coalesce("errors", F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: F.coalesce(x != "", F.lit(False))))
+    status = F.when(F.lower(F.trim("status")) == "success", "success").otherwise("failure")
+    return rows.withColumns({"status": status, "metrics": finite, "artifacts": told("artifacts"), "provenance": told("provenance"), "errors": errors})
+
+
+def write_json(rows: DataFrame, path: str) -> None:
+    """A small table as pretty JSON objects, one after the other; what isn't a number, a text or a list is written as text."""
+    kinds = {c: F.col(c) if t.split("<")[0] in ("bigint", "int", "double", "string", "boolean", "array", "map", "struct") else F.col(c).cast("string") for c, t in rows.dtypes}
+    rows.select(F.to_json(F.struct(*[v.alias(c) for c, v in kinds.items()]), {"pretty": "true"}).alias("value")).write.mode("overwrite").text(path)
+
+
 def write_tables(tables: dict[str, DataFrame], path: str) -> None:
     """The tables of a run, a folder for each."""
     for name, df in tables.items():
@@ -120,3 +167,24 @@ def changed(old: DataFrame, new: DataFrame, key: str, signature: str) -> DataFra
     both = old.select(key, F.col(signature).alias("_o")).join(new.select(key, F.col(signature).alias("_n")), key, "full")
     state = F.when(F.col("_o").isNull(), "new").when(F.col("_n").isNull(), "removed").when(F.col("_o") != F.col("_n"), "changed").otherwise("same")
     return both.select(key, state.alias("state"))
+
+
+def dicom_headers(files: DataFrame) -> DataFrame:
+    """participant, study, series, instance, modality, thickness of the files (path, content binary) that are DICOM; absent elements are null."""
+    import pandas as pd
+
+    from tessera.sources.dicom import TAGS, read_header
+
+    def run(frames):
+        for frame in frames:
+            heads = [(p, read_header(bytes(c))) for p, c in zip(frame["path"], frame["content"], strict=True)]
+            rows = [(p, *(h.get(t) for t in TAGS)) for p, h in heads if h is not None]
+            yield pd.DataFrame(rows, columns=["path", *TAGS])
+
+    return files.select("path", "content").mapInPandas(run, "path string, " + ", ".join(f"{t} string" for t in TAGS))
+
+
+def largest_series(headers: DataFrame) -> DataFrame:
+    """participant, series, n: of each participant the series of the most files; ties: the first in order."""
+    n = headers.groupBy("participant", "series").agg(F.count("*").alias("n"))
+    return n.groupBy("participant").agg(F.min_by("series", F.struct(-F.col("n"), "series")).alias("series"), F.max("n").alias("n"))
