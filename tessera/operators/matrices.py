@@ -6,6 +6,8 @@ a row is copied once for each block and no task holds more than two of them.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -81,11 +83,25 @@ def neighbours(p: DataFrame, k: int) -> DataFrame:
     return neighbours_of(p, [], k)
 
 
+def counts_below(n: DataFrame, keys: list[str], value: str, count: str, buckets: int = 64) -> DataFrame:
+    """The rows (keys, value, count), distinct in keys and value, with `upto`: the sum of the counts up to the value within the keys.
+
+    The values are dealt to `buckets` ranges between quantiles, so a window holds a share of a key's values; what lies in the
+    ranges below is added.
+    """
+    ends = n.groupBy(*keys).agg(F.percentile_approx(value, F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), F.lit(100 * buckets)).alias("_ends"))
+    dealt = n.join(F.broadcast(ends), keys) if keys else n.crossJoin(F.broadcast(ends))
+    dealt = dealt.withColumn("_b", F.size(F.filter("_ends", lambda e: e < F.col(value)))).drop("_ends")
+    below = F.sum("_s").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))  # a row for each range
+    before = dealt.groupBy(*keys, "_b").agg(F.sum(count).alias("_s")).select(*keys, "_b", F.coalesce(below, F.lit(0)).alias("_before"))
+    own = F.sum(count).over(Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    return dealt.withColumn("_own", own).join(F.broadcast(before), [*keys, "_b"]).withColumn("upto", F.col("_own") + F.col("_before")).drop("_own", "_before", "_b")
+
+
 def average_ranks(p: DataFrame, keys: list[str], value: str) -> DataFrame:
     """The rows with rank: the average rank of the value within the keys, over its distinct values and their counts."""
-    n = p.groupBy(*keys, value).agg(F.count("*").alias("_t"))
-    upto = F.sum("_t").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    return p.join(n.select(*keys, value, (upto - F.col("_t") / 2 + 0.5).alias("rank")), [*keys, value])
+    n = counts_below(p.groupBy(*keys, value).agg(F.count("*").alias("_t")), keys, value, "_t")
+    return p.join(n.select(*keys, value, (F.col("upto") - F.col("_t") / 2 + 0.5).alias("rank")), [*keys, value])
 
 
 def diverse_medoids(rows: DataFrame, key: str, group: str, vector: str, top: int) -> DataFrame:
@@ -152,20 +168,73 @@ def block_means(p: DataFrame, groups: DataFrame, key: str, group: str) -> DataFr
     return p.join(a, "i").join(b, "j").groupBy(F.least("gi", "gj").alias("g"), F.greatest("gi", "gj").alias("h")).agg(F.avg("value").alias("mean"), F.count("*").alias("n"))
 
 
-def cosine_group_means(df: DataFrame, key: str, vector: str, group: str) -> DataFrame:
+def _unit_matrix(column: pa.Array) -> np.ndarray:
+    """The vectors of a column as rows of unit length; a zero vector stays."""
+    x = np.asarray(column.flatten().to_numpy(zero_copy_only=False), float).reshape(len(column), -1)
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+
+
+def group_sums(df: DataFrame, vector: str, group: str) -> DataFrame:
+    """g, s (sum of the group's unit vectors), q (of their squares), n: one matrix product a batch, and a row for each task and group."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                codes = batch.column(0).dictionary_encode()
+                at = codes.indices.to_numpy()
+                u = _unit_matrix(batch.column(1))
+                hot = np.zeros((len(codes.dictionary), len(at)))
+                hot[at, np.arange(len(at))] = 1
+                sums = hot @ u
+                yield pa.RecordBatch.from_arrays(
+                    [codes.dictionary, pa.array(list(sums), pa.list_(pa.float64())), pa.array(hot @ (u * u).sum(axis=1)), pa.array(hot.sum(axis=1).astype(np.int64))], names=["g", "s", "q", "n"])
+
+    kind = df.schema[group].dataType.simpleString()
+    parts = df.select(group, vector).filter(F.col(group).isNotNull()).mapInArrow(run, f"g {kind}, s array<double>, q double, n long")
+    add = F.aggregate(F.slice("l", 2, F.lit(1 << 30)), F.get("l", F.lit(0)), lambda t, x: F.zip_with(t, x, lambda a, b: a + b))
+    return parts.groupBy("g").agg(F.collect_list("s").alias("l"), F.sum("q").alias("q"), F.sum("n").alias("n")).select("g", add.alias("s"), "q", "n")  # a row for each batch
+
+
+def cosine_group_means(df: DataFrame, key: str, vector: str, group: str, shard: int = 10_000) -> DataFrame:
     """As group_means of the cosine distances, without the pairs: the mean of 1 - u v over a group's v is 1 - u S / n, S the
-    group's sum of unit vectors, itself left out. Work and rows grow with rows times groups, not with the square of rows."""
-    rows = unit_rows(df.select(F.col(key).alias("i"), F.col(group).alias("own"), vector), vector)
-    sums = rows.select("own", F.posexplode(vector).alias("pos", "x")).groupBy("own", "pos").agg(F.sum("x").alias("x"))
-    sums = sums.groupBy(F.col("own").alias("g")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda e: e["x"]).alias("s"))
-    sums = sums.join(rows.groupBy(F.col("own").alias("g")).agg(F.count("*").alias("size")), "g")
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
-    mine = F.col("own") == F.col("g")
-    n = F.col("size") - F.when(mine, 1).otherwise(0)
-    total = dot(vector, "s") - F.when(mine, dot(vector, vector)).otherwise(0.0)
-    small = sums.count() <= 10_000  # groups; with more, Spark chooses
-    out = rows.crossJoin(F.broadcast(sums) if small else sums).filter(n > 0)
-    return out.select("i", "g", (1 - total / n).alias("mean"), n.cast("long").alias("n"), "own")
+    group's sum of unit vectors, itself left out. Work and rows grow with rows times groups, not with the square of rows.
+    The sums go to all tasks, `shard` groups at a time; a batch is one matrix product with them."""
+    sums = group_sums(df, vector, group)
+    shards = -(-sums.count() // shard) or 1
+    kind = df.schema[group].dataType.simpleString()
+    own = df.select(F.col(key).alias("i"), F.col(group).alias("own"), F.col(vector).alias("_v"))
+    schema = f"i {df.schema[key].dataType.simpleString()}, g {kind}, mean double, n long, own {kind}"
+
+    def means(part: DataFrame) -> DataFrame:
+        held = part.toArrow()  # `shard` rows at most
+        names = held.column("g").combine_chunks()
+        total, size = np.array(held.column("s").to_pylist(), float).reshape(len(names), -1), held.column("n").to_numpy()
+        shared = df.sparkSession.sparkContext.broadcast((names, total, size))
+
+        def run(batches):
+            names, total, size = shared.value
+            place = {g: k for k, g in enumerate(names.to_pylist())}
+            for batch in batches:
+                if not batch.num_rows or not len(names):
+                    continue
+                u = _unit_matrix(batch.column(2))
+                at = np.array([place.get(g, -1) for g in batch.column(1).to_pylist()])
+                dots, n = u @ total.T, np.repeat(size[None, :], len(u), axis=0)
+                here = np.flatnonzero(at >= 0)
+                dots[here, at[here]] -= (u[here] * u[here]).sum(axis=1)
+                n[here, at[here]] -= 1
+                keep = n > 0
+                row, col = np.nonzero(keep)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(row)), names.take(pa.array(col)), pa.array(1 - dots[keep] / n[keep]), pa.array(n[keep]), batch.column(1).take(pa.array(row))], names=["i", "g", "mean", "n", "own"])
+
+        return own.mapInArrow(run, schema)
+
+    if shards == 1:
+        return means(sums)
+    out = [means(sums.filter(F.pmod(F.xxhash64("g"), F.lit(2 * shards)) == s)) for s in range(2 * shards)]
+    return reduce(DataFrame.unionByName, out)
 
 
 def silhouette_of(means: DataFrame) -> DataFrame:
@@ -177,7 +246,11 @@ def silhouette_of(means: DataFrame) -> DataFrame:
 
 
 def cosine_block_means(df: DataFrame, key: str, vector: str, group: str) -> DataFrame:
-    """As block_means of the cosine distances, from the groups' means: (g, h, mean, n), g <= h."""
-    m = cosine_group_means(df, key, vector, group)
-    total = m.groupBy(F.least("own", "g").alias("g"), F.greatest("own", "g").alias("h")).agg(F.sum(F.col("mean") * F.col("n")).alias("t"), F.sum("n").alias("n"))
-    return total.select("g", "h", (F.col("t") / F.col("n")).alias("mean"), (F.col("n") / 2).cast("long").alias("n"))
+    """As block_means of the cosine distances, from the groups' sums alone: (g, h, mean, n), g <= h. The rows are read once."""
+    sums = group_sums(df, vector, group)
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+    other = sums.select(F.col("g").alias("h"), F.col("s").alias("t"), F.col("n").alias("m"))
+    pairs = sums.join(other, F.col("g") < F.col("h")).select("g", "h", (1 - dot("s", "t") / (F.col("n") * F.col("m"))).alias("mean"), (F.col("n") * F.col("m")).alias("n"))
+    pair_count = F.col("n") * (F.col("n") - 1)
+    inside = sums.filter("n > 1").select("g", F.col("g").alias("h"), (1 - (dot("s", "s") - F.col("q")) / pair_count).alias("mean"), (pair_count / 2).cast("long").alias("n"))
+    return pairs.unionByName(inside)

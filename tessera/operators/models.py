@@ -4,30 +4,57 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
-def prune_correlated(names: list[str], x: np.ndarray, limit: float = 0.95) -> list[str]:
-    """Features kept when no two may correlate beyond the limit. Pairs go by |r| descending, then names; of a pair, the
-    feature with the larger mean |r| to the features still there is dropped, in a tie the larger name. The order of the
-    columns doesn't matter. Columns that are constant up to rounding are dropped first."""
-    spread = x.std(axis=0)
-    scale = np.maximum(1.0, np.abs(x).max(axis=0, initial=0))
-    order = [i for i in sorted(range(len(names)), key=lambda i: names[i]) if spread[i] > 16 * np.finfo(float).eps * scale[i]]
-    if len(order) < 2:
-        return [names[i] for i in order]
-    r = np.abs(np.corrcoef(x[:, order], rowvar=False))
+def prune_by(names: list[str], r: np.ndarray, limit: float) -> list[str]:
+    """Names kept when no two may have |r| beyond the limit: pairs go by |r| descending, then names; of a pair the one with the larger
+    mean |r| to those still there is dropped, in a tie the larger name. The order of the names doesn't matter."""
+    order = sorted(range(len(names)), key=lambda i: names[i])
+    r = np.abs(r[np.ix_(order, order)])
     live = np.ones(len(order), bool)
     i, j = np.triu_indices(len(order), 1)
     over = r[i, j] > limit
-    edges = sorted(zip(-r[i, j][over], i[over].tolist(), j[over].tolist(), strict=True))
-    for _, a, b in edges:
+    for _, a, b in sorted(zip(-r[i, j][over], i[over].tolist(), j[over].tolist(), strict=True)):
         if live[a] and live[b]:
             mean = [(r[c][live].sum() - 1) / max(1, live.sum() - 1) for c in (a, b)]
             live[a if mean[0] > mean[1] + 1e-12 else b] = False
     return [names[order[k]] for k in np.flatnonzero(live)]
 
 
+def prune_correlated(names: list[str], x: np.ndarray, limit: float = 0.95) -> list[str]:
+    """As prune_by, of the columns of a matrix; columns that are constant up to rounding are dropped first."""
+    spread, scale = x.std(axis=0), np.maximum(1.0, np.abs(x).max(axis=0, initial=0))
+    live = [i for i in range(len(names)) if spread[i] > 16 * np.finfo(float).eps * scale[i]]
+    return prune_by([names[i] for i in live], np.atleast_2d(np.corrcoef(x[:, live], rowvar=False)) if live else np.zeros((0, 0)), limit)
+
+
+def correlations(df: DataFrame, vector: str) -> tuple[np.ndarray, np.ndarray]:
+    """Correlations of the entries of the vectors, and their deviations: sums and products are added up in the tasks, so the rows stay there."""
+
+    def run(batches):
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                x = np.asarray(batch.column(0).flatten().to_numpy(zero_copy_only=False), float).reshape(batch.num_rows, -1)
+                x = np.column_stack([np.ones(len(x)), x])
+                total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"s": pa.array([total.ravel().tolist()], pa.list_(pa.float64()))})
+
+    parts = [np.array(r.s) for r in df.select(vector).mapInArrow(run, "s array<double>").collect()]  # a row for each task
+    total = sum(parts)
+    width = int(len(total) ** 0.5)
+    total = total.reshape(width, width)
+    mean = total[0, 1:] / total[0, 0]
+    cov = total[1:, 1:] / total[0, 0] - np.outer(mean, mean)
+    sd = np.sqrt(np.maximum(np.diag(cov), 0))
+    scale = np.where(sd > 0, sd, 1)
+    return cov / np.outer(scale, scale), sd
+
+
 def kernel(distance: np.ndarray, k: int = 20, mu: float = 0.5) -> np.ndarray:
     """As matrices.affinity, of a matrix: the density of Normal(0, mu sigma) at each distance, sigma from the k nearest of both rows."""
     k = min(k, len(distance) - 1)
@@ -126,27 +153,38 @@ def bootstrap_delta(spark: SparkSession, a: np.ndarray, b: np.ndarray, repeats:
     return delta(a, b), q[0], q[1]
 
 
-def cox(time: np.ndarray, event: np.ndarray, x: np.ndarray, penalty: float = 0.1, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """Coefficients and standard errors of a proportional-hazards model (Efron's ties, ridge penalty per row), by Newton steps."""
-    order = np.argsort(time, kind="stable")
-    time, event, x = time[order], event[order].astype(bool), x[order]
-    n, k = x.shape
+def cox(df: DataFrame, time: str, event: str, terms: list[str], penalty: float = 0.1, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients and standard errors of a proportional-hazards model (Efron's ties, ridge penalty per row), by Newton steps.
+
+    Each step is one aggregation of the rows by their distinct times; the driver holds sums for each time, not rows.
+    """
+    k = len(terms)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    x = [F.col(c).cast("double") for c in terms]
+    rows = df.select(time, (F.col(event) == 1).alias("_d"), *[c.alias(f"_x{i}") for i, c in enumerate(x)]).na.drop()
+    x = [F.col(f"_x{i}") for i in range(k)]
     beta = np.zeros(k)
     for _ in range(rounds):
-        w = np.exp(x @ beta)
+        w = F.exp(sum((F.lit(float(b)) * c for b, c in zip(beta, x, strict=True)), F.lit(0.0)))
+        sums = [w, *[w * c for c in x], *[w * x[i] * x[j] for i, j in pairs]]
+        dead = lambda c: F.when(F.col("_d"), c).otherwise(0.0)
+        aggregates = [F.count("*"), F.count_if("_d"), *[F.sum(c) for c in sums], *[F.sum(dead(c)) for c in sums], *[F.sum(dead(c)) for c in x]]
+        by = rows.groupBy(time).agg(*[a.alias(f"a{i}") for i, a in enumerate(aggregates)]).orderBy(F.desc(time)).collect()  # a row for each distinct time
+        table = np.array([r[1:] for r in by], float).reshape(len(by), len(aggregates))
+        n, size = table[:, 0].sum(), len(sums)
         g, h = -penalty * n * beta, -penalty * n * np.eye(k)
-        for t in np.unique(time[event]):
-            risk, dead = time >= t, (time == t) & event
-            m = int(dead.sum())
-            s0, s1 = w[risk].sum(), w[risk] @ x[risk]
-            s2 = (x[risk] * w[risk, None]).T @ x[risk]
-            d0, d1, d2 = w[dead].sum(), w[dead] @ x[dead], (x[dead] * w[dead, None]).T @ x[dead]
-            g = g + x[dead].sum(axis=0)
-            for i in range(m):
-                f = i / m
-                e = (s1 - f * d1) / (s0 - f * d0)
-                g = g - e
-                h = h - ((s2 - f * d2) / (s0 - f * d0) - np.outer(e, e))
+        risk = np.cumsum(table[:, 2 : 2 + size], axis=0)
+        for row, at_risk in zip(table, risk, strict=True):
+            m, own = int(row[1]), row[2 + size : 2 + 2 * size]
+            if not m:
+                continue
+            share = at_risk[None, :] - (np.arange(m) / m)[:, None] * own[None, :]
+            mean = share[:, 1 : 1 + k] / share[:, :1]
+            square = np.zeros((k, k))
+            for (i, j), v in zip(pairs, (share[:, 1 + k :] / share[:, :1]).sum(axis=0), strict=True):
+                square[i, j] = square[j, i] = v
+            g = g + row[2 + 2 * size :] - mean.sum(axis=0)
+            h = h - (square - mean.T @ mean)
         step = np.linalg.solve(h, g)
         beta = beta - step
         if np.abs(step).max() < 1e-9:

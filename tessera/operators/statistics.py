@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.matrices import counts_below
+
 
 def benjamini_hochberg(df: DataFrame, family: list[str], p: str = "p", out: str = "q", tie: list[str] | None = None) -> DataFrame:
     """Step-up q-values within a family. A null p isn't in the family and has a null q."""
@@ -32,8 +34,12 @@ def value_ranks(df: DataFrame, keys: list[str], group: str, value: str) -> DataF
     """
     n = df.filter(F.col(value).isNotNull()).groupBy(*keys, group, value).agg(F.count("*").alias("n"))
     ties = n.groupBy(*keys, value).agg(F.sum("n").alias("t"))
-    below = F.sum("t").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    return n.join(ties.withColumn("rank", below - F.col("t") / 2 + 0.5), [*keys, value])
+    if keys:
+        upto = F.sum("t").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+        ties = ties.withColumn("upto", upto)
+    else:  # one family of values: its window is dealt to ranges
+        ties = counts_below(ties, [], value, "t")
+    return n.join(ties.withColumn("rank", F.col("upto") - F.col("t") / 2 + 0.5).drop("upto"), [*keys, value])
 
 
 def kruskal(df: DataFrame, keys: list[str], group: str, value: str) -> DataFrame:

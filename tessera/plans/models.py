@@ -13,46 +13,63 @@ from tessera.operators import statistics as S
 from tessera.plans.registry import query, table
 
 
-def _nation_features(spark, d):
-    """Nations by features: order counts and sums by priority and status. 25 rows, whatever the scale."""
-    orders = table(spark, d, "orders").select("o_custkey", "o_totalprice", "o_orderpriority", "o_orderstatus")
-    x = orders.join(table(spark, d, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
-    long = x.groupBy("c_nationkey", F.concat_ws("_", "o_orderpriority", "o_orderstatus").alias("feature")).agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("s"))
-    long = long.select("c_nationkey", F.explode(F.array(F.struct(F.concat(F.lit("n_"), "feature").alias("f"), F.col("n").cast("double").alias("v")), F.struct(F.concat(F.lit("s_"), "feature").alias("f"), F.col("s").alias("v")))).alias("e"))
-    return L.matrix_of(long.select("c_nationkey", "e.f", "e.v"), "c_nationkey", "f", "v")
+@query("agg3_pruned_features")
+def agg3(spark, d):
+    """Entries of the vectors of which no two correlate beyond 0.08, over all vectors."""
+    r, sd = L.correlations(table(spark, d, "embeddings"), "embedding")
+    names = [f"e{i:02d}" for i in range(len(sd)) if sd[i] > 0]
+    return spark.createDataFrame([(n,) for n in L.prune_by(names, r[np.ix_(sd > 0, sd > 0)], 0.08)], "feature string")
+
 
+@query("agg4_pruned_alone")
+def agg4(spark, d):
+    """The same of the matrix of one label's vectors, each label in a task."""
 
-def _nation_distances(spark, d):
-    rows, _, x = _nation_features(spark, d)
-    z = (x - x.mean(axis=0)) / np.maximum(x.std(axis=0), 1e-12)
-    return rows, np.sqrt(np.maximum(((z[:, None] - z[None]) ** 2).sum(axis=2), 0))
+    def one(key, frame):
+        x = np.array(frame["embedding"].tolist(), float)
+        kept = L.prune_correlated([f"e{i:02d}" for i in range(x.shape[1])], x, 0.3)
+        return pd.DataFrame({"label": key[0], "feature": kept})
 
+    return table(spark, d, "embeddings").groupBy("label").applyInPandas(one, "label int, feature string")
 
-@query("agg3_pruned_features")
-def agg3(spark, d):
-    _, names, x = _nation_features(spark, d)
-    return spark.createDataFrame([(n,) for n in L.prune_correlated(names, x, 0.7)], "feature string")
+
+def _matrix(spark, cases, value):
+    """Pairs i < j of a symmetric matrix of the cases."""
+    i, j = np.triu_indices(len(cases), 1)
+    return spark.createDataFrame(pd.DataFrame({"i": np.array(cases)[i], "j": np.array(cases)[j], "value": value[i, j]}))
 
 
 @query("mat6_fused_network")
 def mat6(spark, d):
-    rows, names, x = _nation_features(spark, d)
-    views = [[i for i, n in enumerate(names) if n[0] == kind] for kind in "ns"]
-    kernels = []
-    for own in views:
-        z = (x[:, own] - x[:, own].mean(axis=0)) / np.maximum(x[:, own].std(axis=0), 1e-12)
-        dist = np.sqrt(np.maximum(((z[:, None] - z[None]) ** 2).sum(axis=2), 0))
-        kernels.append(np.exp(-(dist**2) / (2 * np.median(dist[dist > 0]) ** 2)))
-    fused = L.fuse(kernels, 5, 10)
-    i, j = np.triu_indices(len(rows), 1)
-    return spark.createDataFrame(pd.DataFrame({"i": np.array(rows)[i], "j": np.array(rows)[j], "value": fused[i, j]}))
+    """The four views of the cases, fused: a matrix with a row for each case, so it is for cohorts."""
+    from tessera.plans.consensus import cohort_views
+
+    cases, views = cohort_views(spark, d)
+    return _matrix(spark, cases, L.fuse(views))
+
+
+def _case_distances(spark, d):
+    rows = table(spark, d, "embeddings").select("vec_id", "label", "embedding").orderBy("vec_id").toPandas()
+    x = np.array(rows["embedding"].tolist(), float)
+    return rows, np.sqrt(np.maximum((x * x).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * x @ x.T, 0)) * (1 - np.eye(len(x)))
 
 
 @query("mat22_principal_coordinates")
 def mat22(spark, d):
-    rows, dist = _nation_distances(spark, d)
+    rows, dist = _case_distances(spark, d)
     x = L.principal_coordinates(dist)
-    return spark.createDataFrame(pd.DataFrame({"nation": rows, "x": x[:, 0], "y": x[:, 1]}))
+    return spark.createDataFrame(pd.DataFrame({"vec_id": rows["vec_id"], "x": x[:, 0], "y": x[:, 1]}))
+
+
+@query("mat23_consensus_scatter")
+def mat23(spark, d):
+    """Principal coordinates of 1 - consensus of the eight runs."""
+    from tessera.plans.partitions import _consensus
+
+    pairs = _consensus(spark, d).select("i", "j", "value")
+    cases = [r.vec_id for r in table(spark, d, "embeddings").select("vec_id").orderBy("vec_id").collect()]
+    x = L.principal_coordinates(1 - P.square(pairs, cases, 0.0, 1.0))
+    return spark.createDataFrame(pd.DataFrame({"vec_id": cases, "x": x[:, 0], "y": x[:, 1]}))
 
 
 @query("sta5_bootstrap_delta")
@@ -66,8 +83,9 @@ def sta5(spark, d):
 @query("sta36_cox")
 def sta36(spark, d):
     orders = table(spark, d, "orders").groupBy("o_custkey").agg(F.date_diff(F.max("o_orderdate"), F.min("o_orderdate")).alias("days"), F.max((F.col("o_orderstatus") == "P").cast("int")).alias("event"))
-    rows = table(spark, d, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey")).select("days", "event", (F.col("c_acctbal") / 1000).alias("x"), (F.col("c_mktsegment") == "BUILDING").cast("double").alias("g")).toPandas()
-    beta, error = L.cox(rows["days"].to_numpy(float), rows["event"].to_numpy(), rows[["x", "g"]].to_numpy(float), 0.01)
+    both = table(spark, d, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey"))
+    rows = both.select("days", "event", (F.col("c_acctbal") / 1000).alias("balance"), (F.col("c_mktsegment") == "BUILDING").cast("double").alias("building"))
+    beta, error = L.cox(rows, "days", "event", ["balance", "building"], 0.01)
     return spark.createDataFrame(pd.DataFrame({"term": ["balance", "building"], "beta": beta, "se": error}))
 
 
@@ -182,39 +200,54 @@ def sec51(spark, d):
 
 @query("sec58_linkage_choice")
 def sec58(spark, d):
-    rows, dist = _nation_distances(spark, d)
+    """For each number of states: whether both linkages of the cases agree (adjusted Rand), and the smallest state, with all runs and without each k."""
+    from tessera.plans.partitions import _runs
+
+    runs = _runs(spark, d)
+    cases = [r.vec_id for r in table(spark, d, "embeddings").select("vec_id").orderBy("vec_id").collect()]
     out = []
-    for k in (2, 3, 4):
-        a, b = (P.linkage_cut(dist, clusters=k, method=m) for m in ("average", "complete"))
-        table_ = pd.crosstab(a, b).to_numpy()
-        c2 = lambda n: n * (n - 1) / 2
-        s, r, c, t = c2(table_).sum(), c2(table_.sum(1)).sum(), c2(table_.sum(0)).sum(), c2(len(rows))
-        top = (r + c) / 2 - r * c / t
-        out.append((k, float((s - r * c / t) / top) if top else 1.0, int(min(np.bincount(a).min(), np.bincount(b).min()))))
-    return spark.createDataFrame(out, "k int, ari double, least int")
+    for excluded in (-1, 0, 1, 2, 3):
+        joint = P.coassignment(runs.filter(F.col("run") % 4 != excluded), "run", "node", "label").select("i", "j", "value")
+        dist = 1 - P.square(joint, cases, 0.0, 1.0)
+        for k in (2, 3, 4):
+            a, b = (P.linkage_cut(dist, clusters=k, method=m) for m in ("average", "complete"))
+            cells = pd.crosstab(a, b).to_numpy()
+            c2 = lambda n: n * (n - 1) / 2
+            s, r, c, t = c2(cells).sum(), c2(cells.sum(1)).sum(), c2(cells.sum(0)).sum(), c2(len(cases))
+            top = (r + c) / 2 - r * c / t
+            out.append((excluded, k, float((s - r * c / t) / top) if top else 1.0, int(min(np.bincount(a).min(), np.bincount(b).min()))))
+    return spark.createDataFrame(out, "excluded int, k int, ari double, least int")
 
 
 @query("mat18_structure_screen")
 def mat18(spark, d):
-    rows, dist = _nation_distances(spark, d)
-    w = np.exp(-(dist**2) / (2 * np.median(dist[dist > 0]) ** 2))
-    np.fill_diagonal(w, 0)
-    degree = w.sum(axis=1)
-    values = np.sort(np.linalg.eigvalsh(np.eye(len(w)) - w / np.sqrt(np.outer(degree, degree))))
-    two = P.linkage_cut(dist, clusters=2, method="average")
-    cut = sum(w[np.ix_(two == c, two != c)].sum() / w[two == c].sum() for c in (0, 1))
-    return spark.createDataFrame([(float(values[2] - values[1]), float(cut), int(min(np.bincount(two))))], "eigengap double, normalised_cut double, least_child int")
+    """Gap of eigenvalues, normalised cut and smallest side of the split of the cases in two, for each label of theirs."""
+
+    def one(key, frame):
+        x = np.array(frame.sort_values("vec_id")["embedding"].tolist(), float)
+        dist = np.linalg.norm(x[:, None] - x[None], axis=2)
+        w = np.exp(-(dist**2) / (2 * np.median(dist[dist > 0]) ** 2))
+        np.fill_diagonal(w, 0)
+        degree = w.sum(axis=1)
+        values = np.sort(np.linalg.eigvalsh(np.eye(len(w)) - w / np.sqrt(np.outer(degree, degree))))
+        two = P.linkage_cut(dist, clusters=2, method="average")
+        cut = sum(w[np.ix_(two == c, two != c)].sum() / max(degree[two == c].sum(), 1e-300) for c in (0, 1))
+        return pd.DataFrame([(key[0], float(values[2] - values[1]), float(cut), int(min(np.bincount(two))))], columns=["label", "eigengap", "normalised_cut", "least_child"])
+
+    big = table(spark, d, "embeddings")
+    return big.groupBy("label").applyInPandas(one, "label int, eigengap double, normalised_cut double, least_child int")
 
 
 @query("mat21_concordance")
 def mat21(spark, d):
-    rows, names, x = _nation_features(spark, d)
-    kernels = []
-    for kind in "ns":
-        own = x[:, [i for i, n in enumerate(names) if n[0] == kind]]
-        z = own - own.mean(axis=0)
-        kernels.append(z @ z.T)
-    flat = [k / np.linalg.norm(k) for k in kernels]
+    """Generalised RV of the kernels of two halves of the vectors, with permutations of the cases in tasks."""
+    rows = table(spark, d, "embeddings").select("embedding").orderBy("vec_id").toPandas()
+    x = np.array(rows["embedding"].tolist(), float)
+    flat = []
+    for half in (x[:, :32], x[:, 32:]):
+        z = half - half.mean(axis=0)
+        kernel = z @ z.T
+        flat.append(kernel / np.linalg.norm(kernel))
     seen = float((flat[0] * flat[1]).sum())
     shared = spark.sparkContext.broadcast((flat, seen))
 
@@ -226,3 +259,27 @@ def mat21(spark, d):
 
     over = spark.range(0, 999, 1, 8).mapInPandas(run, "over int").groupBy().sum("over").first()[0]
     return spark.createDataFrame([(seen, (over + 1) / 1000)], "grv double, p double")
+
+
+@query("sec30_state_medoids", "WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT a.label, a.vec_id AS i, avg(list_dot_product(a.v, b.v)) AS m FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY 1, 2) SELECT label, arg_max(i, struct_pack(a := round(m, 9), b := -i)) AS medoid FROM p GROUP BY 1")
+def sec30(spark, d):
+    """The case of each state with the highest mean similarity to the others of it, itself left out: from the state's sum of vectors."""
+    rows = table(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+    sums = rows.select("label", F.posexplode("v").alias("pos", "x")).groupBy("label", "pos").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
+    sums = sums.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda e: e["x"]).alias("s"), F.max("n").alias("n"))
+    mean = (dot("v", "s") - dot("v", "v")) / (F.col("n") - 1)
+    scored = rows.join(F.broadcast(sums), "label").filter("n > 1").withColumn("m", F.round(mean, 9))  # a row for each label
+    return scored.groupBy("label").agg(F.max_by("vec_id", F.struct("m", -F.col("vec_id"))).alias("medoid"))
+
+
+@query("sec15_raw_cramers_v", "WITH n AS (SELECT lang AS r, source AS c, count(*) AS o FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY 1, 2), t AS (SELECT CAST(sum(o) AS DOUBLE) AS n, count(DISTINCT r) AS k, count(DISTINCT c) AS m FROM n), g AS (SELECT a.r, b.c, rs * cs / (SELECT n FROM t) AS e FROM (SELECT r, sum(o) AS rs FROM n GROUP BY 1) a CROSS JOIN (SELECT c, sum(o) AS cs FROM n GROUP BY 1) b), x AS (SELECT sum((coalesce(o, 0) - e) * (coalesce(o, 0) - e) / e) AS x FROM g LEFT JOIN n ON g.r = n.r AND g.c = n.c) SELECT round(sqrt(x / n / (least(k, m) - 1)), 6) AS v, CAST(n AS BIGINT) AS n FROM x, t")
+def sec15(spark, d):
+    rows = table(spark, d, "documents").filter("lang is not null and source is not null")
+    return S.chi_square(rows, [], "lang", "source").select(F.round("v", 6).alias("v"), "n")
+
+
+@query("sec16_corrected_cramers_v", "WITH n AS (SELECT o_orderpriority AS r, o_orderstatus AS c, count(*) AS o FROM orders GROUP BY 1, 2), t AS (SELECT CAST(sum(o) AS DOUBLE) AS n, CAST(count(DISTINCT r) AS DOUBLE) AS k, CAST(count(DISTINCT c) AS DOUBLE) AS m FROM n), g AS (SELECT a.r, b.c, rs * cs / (SELECT n FROM t) AS e FROM (SELECT r, sum(o) AS rs FROM n GROUP BY 1) a CROSS JOIN (SELECT c, sum(o) AS cs FROM n GROUP BY 1) b), x AS (SELECT sum((coalesce(o, 0) - e) * (coalesce(o, 0) - e) / e) AS x FROM g LEFT JOIN n ON g.r = n.r AND g.c = n.c) SELECT round(sqrt(greatest(0, x / n - (k - 1) * (m - 1) / (n - 1)) / (least(k - (k - 1) * (k - 1) / (n - 1), m - (m - 1) * (m - 1) / (n - 1)) - 1)), 6) AS v_corrected FROM x, t")
+def sec16(spark, d):
+    """The grid has the rows and columns that have entries: empty ones are left out."""
+    return S.chi_square(table(spark, d, "orders"), [], "o_orderpriority", "o_orderstatus").select(F.round("v_corrected", 6).alias("v_corrected"))

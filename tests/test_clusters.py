@@ -234,3 +234,34 @@ def test_linkage_by_merges_of_sets(spark):
     df = partitions.merge_sets(spark.createDataFrame(rows, "node long, set string, part boolean"), ["1", "0"])
     out = {r.node: r.set for r in partitions.split_set(df, "2", "part").collect()}
     assert out == {i: "0_M_1" if i % 3 < 2 else ("2_S1" if i <= 4 else "2_S2") for i in range(9)}
+
+
+def test_correlations_from_sums(spark):
+    r = np.random.default_rng(9)
+    x = r.normal(size=(40, 5))
+    df = spark.createDataFrame([(v.tolist(),) for v in x], "v array<double>").repartition(3)
+    got, sd = models.correlations(df, "v")
+    assert got == pytest.approx(np.corrcoef(x, rowvar=False)) and sd == pytest.approx(x.std(axis=0))
+
+
+def test_group_means_in_shards_and_blocks(spark):
+    r = np.random.default_rng(10)
+    x, g = r.normal(size=(30, 4)), r.integers(0, 5, 30)
+    df = spark.createDataFrame([(i, int(c), v.tolist()) for i, (c, v) in enumerate(zip(g, x, strict=True))], "k long, g int, v array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d = 1 - u @ u.T
+    for shard in (10_000, 2):
+        for row in matrices.cosine_group_means(df, "k", "v", "g", shard).collect():
+            own = [j for j in range(30) if g[j] == row.g and j != row.i]
+            assert row.n == len(own) and row.mean == pytest.approx(d[row.i, own].mean()) and row.own == g[row.i]
+        assert matrices.cosine_group_means(df, "k", "v", "g", shard).count() == sum(sum(g[j] == c for j in range(30) if j != i) > 0 for i in range(30) for c in range(5))
+    for row in matrices.cosine_block_means(df, "k", "v", "g").collect():
+        own = [d[i, j] for i in range(30) for j in range(30) if g[i] == row.g and g[j] == row.h and (row.g != row.h or i < j)]
+        assert row.n == len(own) and row.mean == pytest.approx(np.mean(own))
+
+
+def test_counts_below_in_ranges(spark):
+    r = np.random.default_rng(12)
+    rows = [(k, float(v), int(c)) for k in (0, 1) for v, c in zip(r.permutation(200), r.integers(1, 5, 200), strict=True)]
+    got = {(x.k, x.v): x.upto for x in matrices.counts_below(spark.createDataFrame(rows, "k int, v double, c int"), ["k"], "v", "c", 8).collect()}
+    assert got == {(k, v): sum(c2 for k2, v2, c2 in rows if k2 == k and v2 <= v) for k, v, _ in rows}
