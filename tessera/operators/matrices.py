@@ -209,7 +209,7 @@ def cosine_group_means(df: DataFrame, key: str, vector: str, group: str, shard:
     def means(part: DataFrame) -> DataFrame:
         held = part.toArrow()  # `shard` rows at most
         names = held.column("g").combine_chunks()
-        total, size = np.array(held.column("s").to_pylist(), float).reshape(len(names), -1), held.column("n").to_numpy()
+        total, size = np.array(held.column("s").to_pylist() or [[]], float)[: len(names)], held.column("n").to_numpy()
         shared = df.sparkSession.sparkContext.broadcast((names, total, size))
 
         def run(batches):
