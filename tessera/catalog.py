@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.plans import registry
 
-PLANS = ("cleaning", "relational", "statistics", "matrices", "partitions", "models", "secondary", "suites", "consensus", "files", "review", "images")
+PLANS = ("cleaning", "relational", "statistics", "matrices", "partitions", "models", "secondary", "suites", "consensus", "files", "review", "images", "extra")
 for _name in PLANS:
     import_module(f"tessera.plans.{_name}")
 

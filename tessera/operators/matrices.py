@@ -254,3 +254,25 @@ def cosine_block_means(df: DataFrame, key: str, vector: str, group: str) -> Data
     pair_count = F.col("n") * (F.col("n") - 1)
     inside = sums.filter("n > 1").select("g", F.col("g").alias("h"), (1 - (dot("s", "s") - F.col("q")) / pair_count).alias("mean"), (pair_count / 2).cast("long").alias("n"))
     return pairs.unionByName(inside)
+
+
+def drawn_members(members: DataFrame, group: str, key: str, repeats: int) -> DataFrame:
+    """rep, group, key: the members that a draw with replacement of the size of each group has, each once; draws are hashes of (repeat, group, place)."""
+    spark = members.sparkSession
+    place = F.row_number().over(Window.partitionBy(group).orderBy(key)) - 1
+    rows = members.select(group, key, place.cast("long").alias("_pos"), F.count("*").over(Window.partitionBy(group)).alias("_size"))
+    reps = F.broadcast(spark.range(repeats).select(F.col("id").alias("rep")))
+    number = F.conv(F.left(F.md5(F.concat_ws("|", F.col("rep").cast("string"), F.col(group).cast("string"), F.col("_pos").cast("string"))), F.lit(8)), 16, 10).cast("long")
+    drawn = rows.crossJoin(reps).select("rep", group, (number % F.col("_size")).alias("_pos")).distinct()
+    return drawn.join(rows.select(group, key, "_pos"), [group, "_pos"]).select("rep", group, key)
+
+
+def margins(rows: DataFrame, keys: list[str], group: str, vector: str, width: int) -> DataFrame:
+    """keys, group, margin of each unit vector: its mean similarity to the others of its group less that to the rows of other groups, from sums of vectors."""
+    sums = rows.groupBy(*keys, group).agg(F.count("*").alias("_n"), F.array(*[F.sum(F.get(vector, F.lit(i))) for i in range(width)]).alias("_s"))
+    all_ = sums.groupBy(*keys).agg(F.sum("_n").alias("_whole"), F.array(*[F.sum(F.get("_s", F.lit(i))) for i in range(width)]).alias("_total"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+    x = rows.join(sums, [*keys, group]).join(all_, keys).filter("_n > 1 and _whole > _n")
+    own = (dot(vector, "_s") - dot(vector, vector)) / (F.col("_n") - 1)
+    other = (dot(vector, "_total") - dot(vector, "_s")) / (F.col("_whole") - F.col("_n"))
+    return x.select(*keys, group, (own - other).alias("margin"))

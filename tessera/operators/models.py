@@ -192,6 +192,29 @@ def cox(df: DataFrame, time: str, event: str, terms: list[str], penalty: float =
     return beta, np.sqrt(np.diag(np.linalg.inv(-h)))
 
 
+def hazards_test(df: DataFrame, time: str, event: str, term: str, penalty: float = 0.1) -> dict:
+    """beta, se, and the test of proportional hazards of one term (Grambsch and Therneau, 1994): chi2 of one degree for the
+    correlation of Schoenfeld's residuals with the ranks of the event times; p. One row for each distinct time comes to the driver."""
+    from tessera.functions.special import chi2_tail
+
+    beta, se = cox(df, time, event, [term], penalty)
+    x, d = F.col(term).cast("double"), F.col(event) == 1
+    w = F.exp(float(beta[0]) * x)
+    by = df.filter(F.col(term).isNotNull()).groupBy(time).agg(F.sum(w).alias("s0"), F.sum(w * x).alias("s1"), F.count_if(d).alias("m"), F.sum(F.when(d, x).otherwise(0.0)).alias("sx")).orderBy(F.desc(time)).collect()
+    table = np.array([r[1:] for r in by], float).reshape(len(by), 4)
+    s0, s1 = np.cumsum(table[:, 0]), np.cumsum(table[:, 1])
+    m = table[:, 2][::-1]
+    residual = (table[:, 3] - table[:, 2] * s1 / np.maximum(s0, 1e-300))[::-1]
+    events = m.sum()
+    if events < 2:
+        return {"beta": float(beta[0]), "se": float(se[0]), "chi2": None, "p": None}
+    rank = np.cumsum(m) - m / 2 + 0.5
+    rank = rank - (rank * m).sum() / events
+    spread = (rank * rank * m).sum()
+    chi2 = float(events * se[0] ** 2 * (rank * residual).sum() ** 2 / spread) if spread > 0 else None
+    return {"beta": float(beta[0]), "se": float(se[0]), "chi2": chi2, "p": chi2_tail(chi2, 1)}
+
+
 def image_quality(frame: pd.DataFrame) -> dict[str, float]:
     """Moments and noise ratios of a slice's foreground and background values (column `fg` tells them apart); ratios fall back to the
     foreground's mean over its deviation where the background is unusable."""

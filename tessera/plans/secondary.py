@@ -57,9 +57,19 @@ def prj20(spark, d):
     return table(spark, d, "part").select("p_partkey", F.round(256 * 0.5 / mpp).cast("long").alias("pixels"), F.round(mpp * 224, 6).alias("microns"))
 
 
-@query("prj22_registry", "SELECT * FROM (VALUES ('age', 'available', 'descriptive'), ('grade', 'available', 'outcome'), ('ethnicity', 'absent', 'none')) t(variable, status, role)")
+@query(
+    "prj22_registry",
+    """WITH r(variable, role) AS (VALUES ('lang', 'descriptive'), ('source', 'confounder'), ('quality', 'outcome'), ('grade', 'none')), k AS (SELECT 'lang' AS variable, count(lang) AS n FROM documents
+    UNION ALL SELECT 'source', count(source) FROM documents UNION ALL SELECT 'quality', count(quality) FROM labels) SELECT variable, role, CASE WHEN coalesce(n, 0) > 0 THEN 'available' ELSE 'absent' END AS status, coalesce(n, 0) AS n FROM r LEFT JOIN k USING (variable)""",
+)
 def prj22(spark, d):
-    return spark.createDataFrame([("age", "available", "descriptive"), ("grade", "available", "outcome"), ("ethnicity", "absent", "none")], "variable string, status string, role string")
+    """The registry of variables with their roles, and how many cases have each."""
+    roles = spark.createDataFrame([("lang", "descriptive"), ("source", "confounder"), ("quality", "outcome"), ("grade", "none")], "variable string, role string")
+    docs = table(spark, d, "documents").agg(F.count("lang").alias("lang"), F.count("source").alias("source"))
+    known = docs.crossJoin(table(spark, d, "labels").agg(F.count("quality").alias("quality")))
+    counts = known.unpivot([], ["lang", "source", "quality"], "variable", "n")
+    status = F.when(F.coalesce("n", F.lit(0)) > 0, "available").otherwise("absent")
+    return roles.join(counts, "variable", "left").select("variable", "role", status.alias("status"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("prj23_patch_proxies", "SELECT l_orderkey, count(*) AS patches, round(count(CASE WHEN l_quantity > 25 THEN 1 END) * 1.0 / count(*), 6) AS tumour FROM lineitem GROUP BY 1")

@@ -265,3 +265,15 @@ def test_counts_below_in_ranges(spark):
     rows = [(k, float(v), int(c)) for k in (0, 1) for v, c in zip(r.permutation(200), r.integers(1, 5, 200), strict=True)]
     got = {(x.k, x.v): x.upto for x in matrices.counts_below(spark.createDataFrame(rows, "k int, v double, c int"), ["k"], "v", "c", 8).collect()}
     assert got == {(k, v): sum(c2 for k2, v2, c2 in rows if k2 == k and v2 <= v) for k, v, _ in rows}
+
+
+def test_hazards_test_sees_a_changing_effect(spark):
+    r = np.random.default_rng(13)
+    rows = []
+    for i in range(600):
+        g = i % 2
+        early = r.random() < (0.8 if g else 0.2)  # one group goes early or late, so its effect turns round
+        rows.append((int(r.integers(1, 20) if early else r.integers(60, 80)) if g else int(r.integers(20, 60)), 1, float(g)))
+    turned = models.hazards_test(spark.createDataFrame(rows, "t int, e int, g double"), "t", "e", "g", 0.0)
+    steady = models.hazards_test(spark.createDataFrame([(int(1 + 50 * r.exponential() / (1.5 if i % 2 else 1)), 1, float(i % 2)) for i in range(600)], "t int, e int, g double"), "t", "e", "g", 0.0)
+    assert turned["p"] < 1e-6 < 0.001 < steady["p"] and steady["beta"] == pytest.approx(math.log(1.5), abs=0.3)
