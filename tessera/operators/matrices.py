@@ -68,6 +68,15 @@ def set_distance(sets: DataFrame, key: str, item: str, empty: float = 1.0) -> Da
     return out.select("i", "j", (1 - F.col("c") / (F.col("ni") + F.col("nj") - F.col("c"))).alias("value"))
 
 
+def full_set_distance(cases: DataFrame, sets: DataFrame, key: str, item: str, empty: float) -> DataFrame:
+    """Jaccard distances (i, j, value) of all pairs i < j of the cases; two without an item have `empty`. As many rows as pairs: for cohorts."""
+    size = cases.select(F.col(key).alias("k")).join(sets.select(F.col(key).alias("k"), F.col(item).alias("x")).distinct().groupBy("k").agg(F.count("*").alias("n")), "k", "left").na.fill(0, ["n"])
+    near = set_distance(sets, key, item)
+    pairs = size.select(F.col("k").alias("i"), F.col("n").alias("ni")).join(size.select(F.col("k").alias("j"), F.col("n").alias("nj")), F.expr("i < j"))
+    value = F.when(F.col("ni") + F.col("nj") == 0, empty).otherwise(F.coalesce("value", F.lit(1.0)))
+    return pairs.join(near, ["i", "j"], "left").select("i", "j", value.alias("value"))
+
+
 def both_ways(p: DataFrame) -> DataFrame:
     return p.select("i", "j", "value").unionByName(p.select(F.col("j").alias("i"), F.col("i").alias("j"), "value"))
 

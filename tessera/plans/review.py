@@ -13,7 +13,7 @@ from tessera.operators import suites as U
 from tessera.plans import sqltext as Q
 from tessera.plans.partitions import _OVER, _RUNS, _consensus, _overlaps, _runs, _sets
 from tessera.plans.registry import query, table
-from tessera.plans.suites import _LONG, _RECORDS, _groups, _long, _permanova_sql, _records, _round
+from tessera.plans.suites import _LONG, _RECORDS, REPEATS, _chi, _groups, _long, _permanova_sql, _records, _round
 from tessera.session import folder
 
 
@@ -403,3 +403,139 @@ def sec56(spark, d):
     grid = spark.createDataFrame([(j, o) for j in (0.05, 0.1, 0.15) for o in (0.1, 0.2, 0.3)], "jt double, ot double")
     x = _overlaps(spark, d).select("a", "b", "jaccard", "overlap").crossJoin(F.broadcast(grid)).filter("jaccard >= jt and overlap >= ot")  # nine combinations
     return x.groupBy(F.col("jt").alias("jaccard"), F.col("ot").alias("overlap")).agg(F.count("*").alias("pairs"), F.count_distinct("a").alias("sets"))
+
+
+def _round_tables(spark, d):
+    """One review round of each order: its sets are the return flags of its lines, its reports and actions come from the lines as well."""
+    from tessera.operators import review as R
+
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("plan"), F.col("l_returnflag").alias("set"), F.col("l_linenumber").alias("no"), "l_partkey", "l_suppkey", "l_quantity", "l_linestatus")
+    sets = lines.select("plan", "set").distinct()
+    status = table(spark, d, "orders").select(F.col("o_orderkey").alias("plan"), "o_orderstatus", "o_orderpriority")
+    reports = lines.join(status, "plan").select(
+        "plan", F.concat(F.lit("ER"), "no").alias("ref"), F.when(F.col("l_partkey") % 3 == 0, R.BIOLOGY).otherwise(R.CONSISTENCY).alias("dimension"), F.lit(R.STRUCTURE).alias("aspect"),
+        F.when(F.col("l_suppkey") % 4 == 0, "partition").otherwise("set").alias("scope"), F.when(F.col("l_suppkey") % 4 == 0, F.array().cast("array<string>")).otherwise(F.array("set")).alias("targets"),
+        F.when(F.col("l_quantity") > 20, F.array(F.lit("membership_representation"), F.lit("internal_subdivision"))).otherwise(F.array(F.lit("internal_subdivision"))).alias("foci"))
+    refs = reports.filter("scope = 'set'").select("plan", F.get("targets", F.lit(0)).alias("set"), "ref").groupBy("plan", "set").agg(F.array_sort(F.collect_set("ref")).alias("refs"))
+    per = sets.join(refs, ["plan", "set"], "left").join(status, "plan").withColumn("refs", F.coalesce("refs", F.array().cast("array<string>")))
+    terminal = per.filter("o_orderstatus <> 'P'").select("plan", F.col("set").alias("no"), F.when(F.col("o_orderpriority") == "1-URGENT", "drop").otherwise("accept").alias("action"), F.array("set").alias("targets"), "refs", F.lit(0).alias("children"), F.lit("").alias("reason"))
+    split = per.filter("o_orderstatus = 'P' and set = 'N'").select("plan", F.col("set").alias("no"), F.lit("split").alias("action"), F.array("set").alias("targets"), "refs", F.lit(2).alias("children"), F.lit("").alias("reason"))
+    feasible = lines.groupBy("plan", "set").agg(F.count("*").alias("n")).filter("n > 1").select("plan", "set", F.lit(2).alias("children"))
+    return sets, terminal.unionByName(split), reports, feasible, sets.select("plan", F.col("set").alias("a"), F.col("set").alias("b")).limit(0)
+
+
+def _verdicts(spark, d):
+    from tessera.operators import review as R
+
+    tables = _round_tables(spark, d)
+    return R.verdicts(tables[1], R.violations(*tables, lambda action, reason: reason.contains("not justified")))
+
+
+@query("rul6_plan_verdicts")
+def rul6(spark, d):
+    """The first rule that each order's plan breaks."""
+    return _verdicts(spark, d)
+
+
+@query("rul7_repairs")
+def rul7(spark, d):
+    """What is asked for in the plans that lack a prerequisite."""
+    from tessera.operators import review as R
+
+    return R.repairs(_verdicts(spark, d))
+
+
+_QUESTIONS = "rg(dimension, scope, focus) AS (VALUES ('cross_modal_consistency', 'set', 'membership_representation'), ('cross_modal_consistency', 'pair', 'boundary_representation'), ('cross_modal_consistency', 'partition', 'partition_structural_screen'))"
+
+
+def _registry(spark):
+    rows = [("cross_modal_consistency", "set", "membership_representation"), ("cross_modal_consistency", "pair", "boundary_representation"), ("cross_modal_consistency", "partition", "partition_structural_screen")]
+    return spark.createDataFrame(rows, "dimension string, scope string, focus string")
+
+
+_REPORTS = f"""{_QUESTIONS}, st AS (SELECT DISTINCT l_orderkey AS plan, l_returnflag AS set FROM lineitem), an AS (SELECT l_orderkey AS plan, CASE WHEN l_partkey % 3 = 0 THEN 'biological_support' ELSE 'cross_modal_consistency' END AS dimension,
+    CASE WHEN l_suppkey % 4 = 0 THEN 'partition' ELSE 'set' END AS scope, CASE WHEN l_suppkey % 4 = 0 THEN '' ELSE l_returnflag END AS targets, unnest(CASE WHEN l_quantity > 20 THEN ['membership_representation', 'internal_subdivision'] ELSE ['internal_subdivision'] END) AS focus FROM lineitem),
+    aq AS (SELECT plan, 'partition' AS scope, '' AS targets FROM (SELECT DISTINCT plan FROM st) UNION ALL SELECT plan, 'set', set FROM st UNION ALL SELECT a.plan, 'pair', a.set || ',' || b.set FROM st a JOIN st b ON a.plan = b.plan AND a.set < b.set)"""
+
+
+@query("rul9_available_requests", f"WITH {_REPORTS} SELECT plan, dimension, scope, focus, targets FROM aq JOIN rg USING (scope) WHERE NOT EXISTS (SELECT 1 FROM an WHERE an.plan = aq.plan AND an.dimension = rg.dimension AND an.scope = aq.scope AND an.targets = aq.targets AND an.focus = rg.focus)")
+def rul9(spark, d):
+    """Questions that are open in each round."""
+    from tessera.operators import review as R
+
+    sets, _, reports, _, _ = _round_tables(spark, d)
+    return R.available_requests(sets, _registry(spark), reports).withColumn("targets", F.array_join("targets", ","))
+
+
+@query(
+    "rul10_report_coverage",
+    f"""WITH {_REPORTS}, rq AS (SELECT plan, dimension, scope, targets, focus FROM aq JOIN rg USING (scope)), gv AS (SELECT plan, dimension, scope, targets, focus, count(*) AS n FROM an GROUP BY ALL)
+    SELECT plan, count(CASE WHEN n IS NULL THEN 1 END) AS missing, count(CASE WHEN asked IS NULL THEN 1 END) AS extra, count(CASE WHEN asked AND n > 1 THEN 1 END) AS repeated
+    FROM (SELECT *, true AS asked FROM rq) r FULL JOIN gv USING (plan, dimension, scope, targets, focus) GROUP BY 1""",
+)
+def rul10(spark, d):
+    """Whether each question has its one report."""
+    from tessera.operators import review as R
+
+    sets, _, reports, _, _ = _round_tables(spark, d)
+    none = reports.limit(0)
+    return R.coverage(R.available_requests(sets, _registry(spark), none), reports)
+
+
+@query(
+    "rul13_review_rounds",
+    f"""WITH {_RUNS}, n AS (SELECT label, count(*) AS n, row_number() OVER (ORDER BY count(*), label) AS i FROM m WHERE run = 0 GROUP BY 1), ab AS (SELECT min(label) AS a, max(label) AS b FROM n WHERE i <= 2),
+    s AS (SELECT node, CASE WHEN label IN (a, b) THEN a || '_M_' || b ELSE CAST(label AS VARCHAR) END AS set FROM m, ab WHERE run = 0), z AS (SELECT set, count(*) AS k FROM s GROUP BY 1)
+    SELECT node, set, CASE WHEN 8 * k >= (SELECT count(*) FROM embeddings) THEN 'accept' ELSE 'drop' END AS decision FROM s JOIN z USING (set)""",
+)
+def rul13(spark, d):
+    """A review with a plain policy: the two smallest sets are merged, then sets of an eighth of the cases or more are accepted."""
+    from tessera.operators import review as R
+
+    members = _runs(spark, d).filter("run = 0").select("node", F.col("label").cast("string").alias("set"))
+
+    def policy(sizes, number):
+        rows = sorted((r.n, r.set) for r in sizes.collect())  # a row for each set
+        if not number:
+            return ("merge", rows[0][1], rows[1][1])
+        whole = sum(n for n, _ in rows)
+        return ("end", {name: "accept" if 8 * n >= whole else "drop" for n, name in rows})
+
+    return R.review(members, policy)[0].select("node", "set", "decision")
+
+
+@query(
+    "sec35_variable_empty_distance",
+    """WITH s AS (SELECT DISTINCT l_suppkey AS k, p_brand AS x FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 48 AND l_discount > 0.05), n AS (SELECT s_suppkey AS k, count(x) AS n FROM supplier LEFT JOIN s ON k = s_suppkey GROUP BY 1),
+    c AS (SELECT a.k AS i, b.k AS j, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.k < b.k GROUP BY 1, 2) SELECT a.k AS i, b.k AS j, round(CASE WHEN a.n + b.n = 0 THEN 0.5 ELSE 1 - coalesce(c, 0) * 1.0 / (a.n + b.n - coalesce(c, 0)) END, 9) AS value
+    FROM n a JOIN n b ON a.k < b.k LEFT JOIN c ON c.i = a.k AND c.j = b.k""",
+)
+def sec35(spark, d):
+    """Jaccard distances of all pairs of cases; two cases without any feature have the distance that is given."""
+    part = table(spark, d, "part").select("p_partkey", "p_brand")
+    s = table(spark, d, "lineitem").filter("l_quantity > 48 and l_discount > 0.05").join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("k"), "p_brand")
+    return _round(M.full_set_distance(table(spark, d, "supplier").select(F.col("s_suppkey").alias("k")), s, "k", "p_brand", 0.5), "value", places=9)
+
+
+@query("sec47_representatives", "WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT a.label, a.vec_id AS i, avg(1 - list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v))) AS m FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY 1, 2) SELECT label, arg_min(i, struct_pack(a := round(m, 9), b := CAST(i AS VARCHAR))) AS representative FROM p GROUP BY 1")
+def sec47(spark, d):
+    """The case with the smallest mean distance to the others of its group; ties go by the text of its name."""
+    m = M.cosine_group_means(table(spark, d, "embeddings"), "vec_id", "embedding", "label").filter("g = own")
+    return m.groupBy(F.col("own").alias("label")).agg(F.min_by("i", F.struct(F.round("mean", 9), F.col("i").cast("string"))).alias("representative"))
+
+
+@query(
+    "sec39_clinical_gate",
+    f"""WITH {_RECORDS}, om AS (WITH {_chi("variable", "cm")}, z AS (SELECT variable, p_perm AS p FROM ch WHERE df > 0), {Q.adjusted("z", "", "variable")} SELECT variable, q FROM adj),
+    cp AS (SELECT cm.*, a.g AS ga, b.g AS gb FROM cm SEMI JOIN (SELECT variable FROM om WHERE q < 1.01) USING (variable), (SELECT DISTINCT g FROM cm) a, (SELECT DISTINCT g FROM cm) b WHERE a.g < b.g AND cm.g IN (a.g, b.g)),
+    x AS (WITH {_chi("variable, ga, gb", "cp")}, z AS (SELECT variable, ga, gb, p_perm AS p FROM ch WHERE df > 0), {Q.adjusted("z", "variable", "ga, gb", "holm", "ho", "p_holm")} SELECT * FROM ho)
+    SELECT x.variable, ga AS group_a, gb AS group_b, round(q, 6) AS q, round(p_holm, 6) AS p_holm FROM x JOIN om USING (variable)""",
+)
+def sec39(spark, d):
+    """Categorical variables in one family, and the pairs of groups of those that pass the gate (here: all that can be tested)."""
+    rows = _records(spark, d).filter("value is not null")
+    own = S.permuted_chi_square(rows, ["variable"], "key", "group", "value", REPEATS).filter("df > 0")
+    gate = S.benjamini_hochberg(own, [], tie=["variable"]).filter("q < 1.01").select("variable", "q")
+    pairs = S.permuted_chi_square(U.group_pairs(rows.join(gate, "variable", "left_semi")), ["variable", "group_a", "group_b"], "key", "group", "value", REPEATS).filter("df > 0")
+    out = S.holm(pairs, ["variable"], tie=["group_a", "group_b"]).join(gate, "variable")
+    return _round(out.select("variable", "group_a", "group_b", "q", "p_holm"), "q", "p_holm")
