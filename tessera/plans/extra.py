@@ -159,3 +159,142 @@ def sec25(spark, d):
         return pd.DataFrame(rows, columns=["linkage", "core", "cluster", "state"])
 
     return means.groupBy("one").applyInPandas(one, "linkage string, core int, cluster int, state int")
+
+
+@query("sec42_consensus_with_zeros")
+def sec42(spark, d):
+    """Resampled consensus over few draws, where pairs that no draw has together are 0 instead of an error."""
+    from tessera.plans.consensus import cohort_views
+
+    cases, views = cohort_views(spark, d)
+    out = P.resampled_consensus(spark, views, (2,), 3, unseen=0.0)
+    names = spark.createDataFrame(pd.DataFrame({"pos": range(len(cases)), "node": cases}), "pos long, node long")
+    return out.join(names.toDF("i", "ni"), "i").join(names.toDF("j", "nj"), "j").select(F.col("ni").alias("i"), F.col("nj").alias("j"), "seen", F.round("value", 9).alias("value"))
+
+
+@query("sec43_transformed_features")
+def sec43(spark, d):
+    """Features that pruning keeps, with mean 0 and deviation 1 over all cases; constant ones are dropped."""
+    e = table(spark, d, "embeddings")
+    r, sd = L.correlations(e, "embedding")
+    kept = [i for i in range(len(sd)) if sd[i] > 0]
+    names = {f"e{i:02d}": i for i in kept}
+    chosen = [names[n] for n in L.prune_by(list(names), r[kept][:, kept], 0.08)]
+    return M.z_rows(e.select("vec_id", F.array(*[F.get("embedding", F.lit(i)) for i in chosen]).alias("v")), "vec_id", "v")
+
+
+@query("sec48_bootstrap_by_group")
+def sec48(spark, d):
+    """Cliff's delta of the building segment against the others with its bootstrap interval, for each nation; a nation's customers meet in a task."""
+    import numpy as np
+
+    def one(key, frame):
+        own = frame["c_mktsegment"] == "BUILDING"
+        a, b = np.sort(frame.loc[own, "c_acctbal"].to_numpy()), np.sort(frame.loc[~own, "c_acctbal"].to_numpy())
+        if not len(a) or not len(b):
+            return pd.DataFrame([(key[0], None, None, None)], columns=["c_nationkey", "delta", "low", "high"])
+        delta = lambda x, y: float((np.searchsorted(y, x, "left").sum() - (len(y) - np.searchsorted(y, x, "right")).sum()) / len(x) / len(y))
+        r = np.random.default_rng([7, int(key[0])])
+        drawn = [delta(r.choice(a, len(a)), np.sort(r.choice(b, len(b)))) for _ in range(999)]
+        return pd.DataFrame([(key[0], delta(a, b), *np.quantile(drawn, (0.025, 0.975)))], columns=["c_nationkey", "delta", "low", "high"])
+
+    return table(spark, d, "customer").select("c_nationkey", "c_mktsegment", "c_acctbal").groupBy("c_nationkey").applyInPandas(one, "c_nationkey int, delta double, low double, high double")
+
+
+_SUPPLY = """ch AS (SELECT l_suppkey AS case_id, p_brand AS feature, sum(l_quantity) AS value FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2), cs AS (SELECT DISTINCT case_id FROM ch), ft AS (SELECT DISTINCT feature FROM ch),
+    dn AS (SELECT case_id, feature, log2(coalesce(value, 0) + 1) AS x FROM cs CROSS JOIN ft LEFT JOIN ch USING (case_id, feature))"""
+
+
+def _supply(spark, d):
+    from tessera.operators import relational as R
+
+    part = table(spark, d, "part").select("p_partkey", "p_brand")
+    rows = table(spark, d, "lineitem").select("l_suppkey", "l_partkey", "l_quantity").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    long = rows.groupBy(F.col("l_suppkey").alias("case_id"), F.col("p_brand").alias("feature")).agg(F.sum("l_quantity").alias("value"))
+    return long, R
+
+
+@query(
+    "mat25_top_mad_distance",
+    f"""WITH {_SUPPLY}, m AS (SELECT feature, median(x) AS m FROM dn GROUP BY 1), s AS (SELECT feature, median(abs(x - m)) AS mad FROM dn JOIN m USING (feature) GROUP BY 1), tp AS (SELECT feature FROM s ORDER BY round(mad, 9) DESC, feature LIMIT 10),
+    z AS (SELECT case_id, feature, x - avg(x) OVER (PARTITION BY case_id) AS x FROM dn SEMI JOIN tp USING (feature)), n AS (SELECT case_id, sqrt(sum(x * x)) AS n FROM z GROUP BY 1)
+    SELECT a.case_id AS i, b.case_id AS j, round(1 - sum(a.x * b.x) / (any_value(p.n) * any_value(q.n)), 6) AS value FROM z a JOIN z b ON a.feature = b.feature AND a.case_id < b.case_id JOIN n p ON p.case_id = a.case_id JOIN n q ON q.case_id = b.case_id
+    WHERE p.n > 0 AND q.n > 0 GROUP BY 1, 2""",
+)
+def mat25(spark, d):
+    """Correlation distances of the cases over their ten most variable features."""
+    long, R = _supply(spark, d)
+    top = R.mad_features(long, 0.0, 0.0, 10).select("feature")
+    wide = R.dense(long).join(F.broadcast(top), "feature", "left_semi")  # ten features
+    rows = wide.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("feature", F.log2(F.col("value") + 1).alias("x")))), lambda e: e["x"]).alias("v"))
+    return _round(M.pairs(rows, "case_id", "v", "correlation"), "value")
+
+
+@query(
+    "sec7_set_scores",
+    f"""WITH {_SUPPLY}, gs(name, feature) AS (SELECT 'low', 'Brand#' || range FROM range(1, 9) UNION ALL SELECT 'high', 'Brand#' || range FROM range(15, 26) UNION ALL SELECT 'alone', 'Brand#1'),
+    ok AS (SELECT name FROM gs SEMI JOIN ft USING (feature) GROUP BY 1 HAVING count(*) >= 3), rk AS (SELECT case_id, feature, rank() OVER (PARTITION BY case_id ORDER BY x) + (count(*) OVER (PARTITION BY case_id, x) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY case_id) AS n FROM dn)
+    SELECT name, case_id, round(avg(r / n), 6) AS score FROM rk JOIN gs USING (feature) SEMI JOIN ok USING (name) GROUP BY 1, 2""",
+)
+def sec7(spark, d):
+    """Scores of feature sets in each case, the mean of their ranks; sets of which fewer than three features are there are left out."""
+    long, R = _supply(spark, d)
+    sets = [("low", f"Brand#{i}") for i in range(1, 9)] + [("high", f"Brand#{i}") for i in range(15, 26)] + [("alone", "Brand#1")]
+    gs = spark.createDataFrame(sets, "name string, feature string")
+    there = gs.join(long.select("feature").distinct(), "feature", "left_semi").groupBy("name").agg(F.count("*").alias("n")).filter("n >= 3")
+    dense = R.dense(long).withColumn("x", F.log2(F.col("value") + 1))
+    ranks = M.average_ranks(dense, ["case_id"], "x")
+    n = long.agg(F.count_distinct("feature").alias("n"))
+    x = ranks.join(F.broadcast(gs), "feature").join(F.broadcast(there.select("name")), "name", "left_semi").crossJoin(F.broadcast(n))  # the sets
+    return x.groupBy("name", "case_id").agg(F.round(F.avg(F.col("rank") / F.col("n")), 6).alias("score"))
+
+
+@query(
+    "sec18_mapping_by_confidence",
+    """WITH t AS (SELECT label AS state, (vec_id // 7) % 3 AS reference, abs(embedding[1]) * 5 AS confidence FROM embeddings), c AS (SELECT unnest([0.0, 0.6, 0.8]) AS least),
+    n AS (SELECT least, state, reference, count(*) AS n FROM t, c WHERE confidence >= least GROUP BY ALL) SELECT CAST(least AS DOUBLE) AS least, state, reference, n, round(n * 100.0 / sum(n) OVER (PARTITION BY least, state), 6) AS row_pct FROM n""",
+)
+def sec18(spark, d):
+    """States against reference labels, for all cases and for those whose label is sure enough."""
+    e = table(spark, d, "embeddings")
+    t = e.select(F.col("label").alias("state"), (F.floor(F.col("vec_id") / 7) % 3).alias("reference"), (F.abs(F.get("embedding", F.lit(0))) * 5).alias("confidence"))
+    rows = t.withColumn("least", F.explode(F.array(F.lit(0.0), F.lit(0.6), F.lit(0.8)))).filter("confidence >= least")
+    n = rows.groupBy("least", "state", "reference").agg(F.count("*").alias("n"))
+    whole = n.groupBy("least", "state").agg(F.sum("n").alias("t"))
+    return n.join(whole, ["least", "state"]).select("least", "state", "reference", "n", F.round(F.col("n") * 100.0 / F.col("t"), 6).alias("row_pct"))
+
+
+@query(
+    "sec19_core_reference",
+    f"""WITH t AS (SELECT label AS core, (vec_id // 7) % 3 AS reference FROM embeddings), ce AS (SELECT c.core, r.reference, count(CASE WHEN t.core = c.core AND t.reference = r.reference THEN 1 END) AS a, count(CASE WHEN t.core = c.core AND t.reference <> r.reference THEN 1 END) AS b,
+        count(CASE WHEN t.core <> c.core AND t.reference = r.reference THEN 1 END) AS c, count(CASE WHEN t.core <> c.core AND t.reference <> r.reference THEN 1 END) AS d FROM t, (SELECT DISTINCT core FROM t) c, (SELECT DISTINCT reference FROM t) r GROUP BY ALL),
+    z AS (SELECT *, {Q.fisher("a", "b", "c", "d")} AS p FROM ce), {Q.adjusted("z", "", "core, reference")}
+    SELECT core, reference, a, round(p, 6) AS p, round(q, 6) AS q, CASE WHEN a < 5 THEN 'low' WHEN q < 0.05 THEN 'enriched' ELSE 'none' END AS status FROM adj""",
+)
+def sec19(spark, d):
+    """Reference labels in each core against the other cores, with the status that they give."""
+    from tessera.functions import special
+
+    e = table(spark, d, "embeddings")
+    t = e.select(F.col("label").alias("core"), (F.floor(F.col("vec_id") / 7) % 3).alias("reference"))
+    n = t.groupBy("core", "reference").agg(F.count("*").alias("a"))
+    by, col, all_ = n.groupBy("core").agg(F.sum("a").alias("r")), n.groupBy("reference").agg(F.sum("a").alias("s")), n.agg(F.sum("a").alias("t"))
+    grid = by.crossJoin(F.broadcast(col)).crossJoin(F.broadcast(all_)).join(n, ["core", "reference"], "left").na.fill(0, ["a"])  # a row for each label
+    cells = grid.withColumns({"b": F.col("r") - F.col("a"), "c": F.col("s") - F.col("a"), "d": F.col("t") - F.col("r") - F.col("s") + F.col("a")})
+    out = S.benjamini_hochberg(cells.withColumn("p", special.fisher_p("a", "b", "c", "d")), [], tie=["core", "reference"])
+    status = F.when(F.col("a") < 5, "low").when(F.col("q") < 0.05, "enriched").otherwise("none")
+    return _round(out.select("core", "reference", "a", "p", "q").withColumn("status", status), "p", "q")
+
+
+@query(
+    "sec10_confounder_union",
+    f"""WITH {_RECORDS}, w AS (WITH {_chi("variable", "cm")} SELECT 'all' AS scope, variable, chi2, p_perm AS p FROM ch WHERE df > 0), co AS (SELECT g AS target, variable, key, CASE WHEN cm.g = t.g2 THEN 'in' ELSE 'out' END AS g, v, t.g2 AS scope FROM cm, (SELECT DISTINCT g AS g2 FROM cm) t),
+    k AS (WITH {_chi("scope, variable", "co")} SELECT scope, variable, chi2, p_perm AS p FROM ch WHERE df > 0) SELECT scope, variable, round(chi2, 6) AS chi2, round(p, 6) AS p FROM (SELECT * FROM w UNION ALL SELECT * FROM k)""",
+)
+def sec10(spark, d):
+    """The confounder tests over all groups, and of each group against the rest, in one table."""
+    rows = _records(spark, d).filter("value is not null")
+    whole = S.permuted_chi_square(rows, ["variable"], "key", "group", "value", REPEATS).filter("df > 0").select(F.lit("all").alias("scope"), "variable", "chi2", "p")
+    each = U.against_rest(rows).withColumn("group", F.when(F.col("group") == F.col("target"), "in").otherwise("out"))
+    own = S.permuted_chi_square(each, ["target", "variable"], "key", "group", "value", REPEATS).filter("df > 0").select(F.col("target").alias("scope"), "variable", "chi2", "p")
+    return _round(whole.unionByName(own), "chi2", "p")
