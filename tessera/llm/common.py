@@ -22,8 +22,14 @@ BYTES_PER_BATCH = 1 << 24
 _scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 
 
+#: Python workers are kept between tasks; so they give large arrays back to the system when they are done with them.
+_MEMORY = {"MALLOC_MMAP_THRESHOLD_": str(1 << 23), "MALLOC_TRIM_THRESHOLD_": str(1 << 24), "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def tuned(spark: SparkSession) -> SparkSession:
     on_workers(spark)
+    for name, value in _MEMORY.items():
+        spark.sparkContext.environment.setdefault(name, value)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_PER_BATCH))
     return spark

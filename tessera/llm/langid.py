@@ -37,12 +37,14 @@ UNKNOWN = "und"
 
 _CLEAN = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 _SLICE = 1 << 20
+_ROWS = 256  # of a matrix of counts: 4 MB
 
 
 def counts(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
     """Yields, for runs of texts, (first text, matrix of hashed n-gram counts)."""
     raw = [(t or "").lower().encode().translate(_CLEAN) + b"  " for t in texts]
-    for first, last in batches(raw):
+    runs = [(a, min(a + _ROWS, last)) for first, last in batches(raw) for a in range(first, last, _ROWS)]
+    for first, last in runs:
         data = np.frombuffer(b"  " + b"".join(raw[first:last]), np.uint8)
         ends = 2 + np.cumsum([len(x) for x in raw[first:last]])
         out = np.zeros((last - first) * DIMENSIONS, np.float32)
