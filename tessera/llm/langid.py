@@ -32,7 +32,7 @@ CENTROIDS = 4
 #: Bound of the sample that the centroids of a language are fitted on (a documented parameter).
 PER_LANGUAGE = 1000
 REACH = 1.25
-LEAST_LIMIT, SHORT = 0.9, 32
+LEAST_LIMIT, SHORT = 0.9, 64
 UNKNOWN = "und"
 
 _CLEAN = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))

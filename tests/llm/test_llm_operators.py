@@ -524,7 +524,7 @@ def test_language_against_a_plain_classifier(spark, make_docs):
         x, letters = vector(r.text)
         cosine = model.centres @ x
         best = int(np.argmax(cosine))
-        limit = max(model.limit[best], 0.9 * min(1, (32 / letters) ** 0.5))
+        limit = max(model.limit[best], langid.LEAST_LIMIT * min(1, (langid.SHORT / letters) ** 0.5))
         assert (r.lang_pred, r.rejected) == (model.names[best], 1 - cosine[best] > limit) and r.score == pytest.approx(max(0, cosine[best]), abs=1e-5)
         assert r.rejected == (r.doc_id == 500)
 
