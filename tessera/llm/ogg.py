@@ -11,7 +11,9 @@ the granule position is the number of samples so far) and checks (a header packe
 samples' number and CRC-32). `decode` verifies each page's checksum and order, demultiplexes by serial number,
 puts packets together, and derives times from granule positions. A damaged stream raises ValueError.
 
-Null or empty text gives 64 zero bytes; texts that are equal give equal media. Other columns are ignored.
+Null or empty text gives 64 zero bytes; texts that are equal give equal media, and rows that repeat a row each. An empty table gives
+no rows. Very long texts are packets over as many pages as they need, held whole, one at a time. Null doc_id stays null. Other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -101,6 +101,20 @@ def test_plan_covers_any_histogram():
         assert len(fill) == plan.sequences
 
 
+def test_least_squares_converge():
+    parts, r = packing.combinations(64), np.random.default_rng(3)
+    for h in (r.integers(0, 500, 64).astype(float), np.bincount(np.minimum(63, r.exponential(16, 5000).astype(int)), minlength=64).astype(float)):
+        h[0] = 0
+
+        def loss(x, h=h):
+            use = np.bincount(parts.ravel(), np.repeat(x, 3), 64)
+            use[0] = 0
+            return ((use - h) ** 2).sum()
+
+        x = packing.solve(parts, h)
+        assert x.min() >= 0 and loss(x) - loss(packing.solve(parts, h, 3000)) < 1e-3 * (h @ h)
+
+
 def test_token_files_round_trip(spark, odd_docs):
     manifest = arrowstore.write_tokens(odd_docs, BPE)
     rows = arrowstore.read_tokens(spark, manifest, with_ids=True).collect()
