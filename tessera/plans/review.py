@@ -14,7 +14,7 @@ from tessera.plans import sqltext as Q
 from tessera.plans.partitions import _OVER, _RUNS, _consensus, _overlaps, _runs, _sets
 from tessera.plans.registry import query, table
 from tessera.plans.suites import _LONG, _RECORDS, REPEATS, _chi, _groups, _long, _permanova_sql, _records, _round
-from tessera.session import folder
+from tessera.session import cut, folder
 
 
 @query("rul1_partition_check", f"WITH {_RUNS} SELECT run, count(DISTINCT label) AS sets, count(*) = count(DISTINCT node) AS disjoint, bool_and(label IS NOT NULL) AS named FROM m GROUP BY 1")
@@ -535,7 +535,7 @@ def sec39(spark, d):
     """Categorical variables in one family, and the pairs of groups of those that pass the gate (here: all that can be tested)."""
     rows = _records(spark, d).filter("value is not null")
     own = S.permuted_chi_square(rows, ["variable"], "key", "group", "value", REPEATS).filter("df > 0")
-    gate = S.benjamini_hochberg(own, [], tie=["variable"]).filter("q < 1.01").select("variable", "q")
+    gate = cut(S.benjamini_hochberg(own, [], tie=["variable"]).filter("q < 1.01").select("variable", "q"))  # used twice
     pairs = S.permuted_chi_square(U.group_pairs(rows.join(gate, "variable", "left_semi")), ["variable", "group_a", "group_b"], "key", "group", "value", REPEATS).filter("df > 0")
     out = S.holm(pairs, ["variable"], tie=["group_a", "group_b"]).join(gate, "variable")
     return _round(out.select("variable", "group_a", "group_b", "q", "p_holm"), "q", "p_holm")

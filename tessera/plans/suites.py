@@ -14,6 +14,7 @@ from tessera.operators import suites as U
 from tessera.plans import sqltext as Q
 from tessera.plans.partitions import _RUNS, _runs
 from tessera.plans.registry import query, table
+from tessera.session import cut
 
 _LONG = f"""{_RUNS}, g AS (SELECT node, label AS g FROM m WHERE run = 0),
     l AS (SELECT feature, v.node, g, CAST(x AS DOUBLE) AS x FROM (SELECT vec_id AS node, unnest(range(64)) AS feature, unnest(embedding) AS x FROM embeddings) v JOIN g USING (node))"""
@@ -495,7 +496,8 @@ def sta28(spark, d):
 )
 def sta29(spark, d):
     factors, vectors = _factors(spark, d), _vectors(spark, d)
-    seen = S.benjamini_hochberg(U.permanova(factors.join(vectors, "node"), ["factor"], "node", "group", "v", 64, 99), [], tie=["factor"]).filter("q < 0.05")
+    seen = S.benjamini_hochberg(U.permanova(factors.join(vectors, "node"), ["factor"], "node", "group", "v", 64, 99), [], tie=["factor"])
+    seen = cut(seen.filter("q < 0.05").select("factor"))
     groups = factors.join(seen, "factor", "left_semi").select("factor", "group").distinct()
     pairs = groups.withColumnRenamed("group", "group_a").join(groups.withColumnRenamed("group", "group_b"), "factor").filter("group_a < group_b")
     rows = factors.join(F.broadcast(pairs), "factor").filter("group = group_a or group = group_b").join(vectors, "node")  # a row for each pair of groups
