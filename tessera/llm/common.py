@@ -58,11 +58,14 @@ def folder(spark: SparkSession, label: str) -> str:
     return path
 
 
-def saved(df: DataFrame, label: str) -> DataFrame:
-    """The rows, written to the shared folder and read again: lineage ends here, and lost executors cost nothing."""
+def saved(df: DataFrame, label: str, tasks: int | None = None) -> DataFrame:
+    """The rows, written to the shared folder and read again: lineage ends here, and lost executors cost nothing.
+
+    tasks: the most that write, where the rows are known to be few, so that a small table isn't as many files as the shuffles have partitions.
+    """
     spark = df.sparkSession
     path = folder(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    (df if tasks is None else df.coalesce(tasks)).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -141,14 +141,19 @@ def _same(a: bytes, b: bytes) -> bool:
     return 100 * common >= PERCENT * (len(x) + len(y) - common)
 
 
+def _tasks(rows: int, exact: bool) -> int:
+    """Tasks that are enough for tables of so many rows (ids and signatures, or full sets)."""
+    return -(-rows // (1 << (12 if exact else 18))) + 5
+
+
 def _linked(members: DataFrame, nodes: DataFrame, total: int, exact: bool) -> DataFrame:
     """Links u, v that join all that is close within each key; members: key, node, score; nodes: node, signature (and shingles), each node once."""
-    extra = ["shingles"] if exact else []
+    extra, tasks = ["shingles"] if exact else [], _tasks(total, exact)
     hubs = members.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("score", (-F.col("node")).alias("least"), "node"))["node"].alias("hub")).filter("n > 1")
-    hubs = saved(hubs, "hubs")
+    hubs = saved(hubs, "hubs", tasks)
     # written, so that a hub with very many members meets a plain scan: the join's large partitions can then be split
     own = nodes.select(F.col("node").alias("hub"), *[F.col(c).alias(f"hub_{c}") for c in ("signature", *extra)])
-    own = saved(own.join(hubs.select("hub").distinct(), "hub", "left_semi"), "own")
+    own = saved(own.join(hubs.select("hub").distinct(), "hub", "left_semi"), "own", tasks)
 
     def test(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
@@ -165,26 +170,26 @@ def _linked(members: DataFrame, nodes: DataFrame, total: int, exact: bool) -> Da
     spokes = join_by_count(members.select("key", "node"), hubs, "key", "n", total).filter("node <> hub")
     pairs = spokes.select("node", "hub").distinct() if not exact else spokes.select("node", "hub")
     pairs = pairs.join(nodes, "node").join(own, "hub")
-    tested = saved(pairs.mapInArrow(test, "node long, hub long, close boolean"), "spokes")
+    tested = saved(pairs.mapInArrow(test, "node long, hub long, close boolean"), "spokes", tasks)
     star = tested.filter("close").select(F.col("node").alias("u"), F.col("hub").alias("v"))
 
     far = spokes.join(tested.filter("not close").select("node", "hub"), ["node", "hub"], "left_semi").select("key", "node")
-    far = saved(far, "far")
+    far = saved(far, "far", tasks)
     sizes = far.groupBy("key").agg(F.count("*").alias("n_far")).join(hubs, "key").filter("n > 2")
-    sizes = saved(sizes.select("key", "n", "n_far"), "open")
+    sizes = saved(sizes.select("key", "n", "n_far"), "open", tasks)
     wide = sizes.filter(F.col("n_far") > FAR)
     if wide.isEmpty():
         return star.unionByName(_met(members, sizes, far, nodes, total, exact))
     rank = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(11)), "node"))
     chosen = far.join(wide.select("key"), "key", "left_semi").withColumn("rank", rank).filter(F.col("rank") <= HUBS).drop("rank")
-    links = saved(star.unionByName(_met(members, wide.withColumn("n_far", F.lit(HUBS)), saved(chosen, "hubs"), nodes, total, exact)), "links")
-    parts = components(links)
+    links = saved(star.unionByName(_met(members, wide.withColumn("n_far", F.lit(HUBS)), saved(chosen, "hubs", tasks), nodes, total, exact)), "links", tasks)
+    parts = components(links, tasks)
     inside = join_by_count(members.select("key", "node"), sizes, "key", "n", total).select("key", "node").join(parts, "node", "left")
-    inside = saved(inside.withColumn("component", F.coalesce("component", "node")), "inside")
+    inside = saved(inside.withColumn("component", F.coalesce("component", "node")), "inside", tasks)
     by_part = inside.groupBy("key", "component").agg(F.count("*").alias("n"))
-    top = saved(by_part.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("top"), F.sum("n").alias("n")), "top")
-    far = saved(join_by_count(inside, top, "key", "n", total).filter("component <> top").select("key", "node"), "far")
-    sizes = saved(far.groupBy("key").agg(F.count("*").alias("n_far")).join(top.select("key", "n"), "key"), "open")
+    top = saved(by_part.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("top"), F.sum("n").alias("n")), "top", tasks)
+    far = saved(join_by_count(inside, top, "key", "n", total).filter("component <> top").select("key", "node"), "far", tasks)
+    sizes = saved(far.groupBy("key").agg(F.count("*").alias("n_far")).join(top.select("key", "n"), "key"), "open", tasks)
     return links.unionByName(_met(members, sizes, far, nodes, total, exact, parts))
 
 
@@ -244,14 +249,15 @@ def marked(docs: DataFrame) -> DataFrame:
     classes = known.filter("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), *first)
     classes = saved(classes.withColumn("node", number), "classes")
     total = classes.count() * BANDS
+    tasks = _tasks(total, False)
     rows = classes.select("node", F.explode("bands").alias("key"))
-    buckets = saved(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
-    members = saved(join_by_count(rows, buckets, "key", "n", total), "members")
-    scores = saved(members.groupBy("node").agg(F.sum("n").alias("score")), "scores")
-    candidates = saved(scores.join(classes.select("node", "signature", "doc"), "node"), "candidates")
-    bucketed = saved(members.select("key", "node").join(scores, "node"), "bucketed")
-    families = components(_linked(bucketed, candidates.select("node", "signature"), total, False))
-    families = saved(families.withColumnRenamed("component", "key").join(candidates, "node"), "families")
+    buckets = saved(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets", tasks)
+    members = saved(join_by_count(rows, buckets, "key", "n", total), "members", tasks)
+    scores = saved(members.groupBy("node").agg(F.sum("n").alias("score")), "scores", tasks)
+    candidates = saved(scores.join(classes.select("node", "signature", "doc"), "node"), "candidates", tasks)
+    bucketed = saved(members.select("key", "node").join(scores, "node"), "bucketed", tasks)
+    families = components(_linked(bucketed, candidates.select("node", "signature"), total, False), tasks)
+    families = saved(families.withColumnRenamed("component", "key").join(candidates, "node"), "families", tasks)
 
     def shingles(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
@@ -267,13 +273,13 @@ def marked(docs: DataFrame) -> DataFrame:
         wanted = F.broadcast(wanted)
     texts = docs.withColumn("doc", F.col("doc_id").cast("long")).select("doc", "text").join(wanted, "doc", "left_semi").select("text")
     full = texts.mapInArrow(shingles, "class binary, shingles binary").select(number, "shingles").dropDuplicates(["node"])
-    full = saved(full.join(families.select("node", "signature"), "node").select("node", "signature", "shingles"), "sets")
-    found = saved(components(_linked(families.select("key", "node", "score"), full, n_families, True)).join(candidates.select("node", "doc"), "node"), "found")
+    full = saved(full.join(families.select("node", "signature"), "node").select("node", "signature", "shingles"), "sets", _tasks(n_families, True))
+    found = saved(components(_linked(families.select("key", "node", "score"), full, n_families, True), tasks).join(candidates.select("node", "doc"), "node"), "found", tasks)
     least = found.groupBy("component").agg(F.min("doc").alias("least"), F.count("*").alias("n"))
     found = join_by_count(found.select("node", "component"), least, "component", "n", n_families).select("node", "least", F.col("component").alias("group"))
     parts = classes.select("class", "copies", "doc", "node").join(found, "node", "left").withColumn("component", F.coalesce("least", "doc"))
     parts = parts.withColumn("group", F.coalesce("group", "node"))
-    parts = saved(parts.filter("copies > 1 or component <> doc").select("class", "copies", "component", "group"), "parts")
+    parts = saved(parts.filter("copies > 1 or component <> doc").select("class", "copies", "component", "group"), "parts", tasks)
     out = join_by_count(known.select("doc_id", "text_key", "n_shingles", "class"), parts, "class", "copies", known.count(), "left")
     group = F.when(F.col("doc_id").isNotNull() & F.col("class").isNotNull(), F.coalesce("group", F.xxhash64("class"))).alias("group")
     return out.select("doc_id", "text_key", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"), group)
