@@ -238,3 +238,15 @@ def matrix_of(long: DataFrame, row: str, col: str, value: str) -> tuple[list, li
     """A small long table as (rows, columns, matrix), 0 where it has none."""
     wide = long.toPandas().pivot_table(index=row, columns=col, values=value, fill_value=0.0)
     return list(wide.index), [str(c) for c in wide.columns], wide.to_numpy(float)
+
+
+def kernel_factors(x: np.ndarray, width: int) -> list[np.ndarray]:
+    """The first `width` columns and the others, each centred and scaled so that its kernel z z' has norm 1 (that of z z' is that of z' z)."""
+    halves = [half - half.mean(axis=0) for half in (x[:, :width], x[:, width:])]
+    return [z / np.sqrt(np.linalg.norm(z.T @ z)) for z in halves]
+
+
+def kernel_product(a: np.ndarray, b: np.ndarray) -> float:
+    """The sum of the products of the entries of the kernels a a' and b b', from the small matrix a' b."""
+    small = a.T @ b
+    return float((small * small).sum())
