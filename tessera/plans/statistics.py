@@ -212,7 +212,9 @@ def sta48(spark, d):
     rows = _customers(spark, d).withColumn("group", F.col("group") == "BUILDING")
     own = F.col("group")
     gap = F.avg(F.when(own, F.col("x"))) - F.avg(F.when(~own, F.col("x")))
-    drawn = S.permuted_groups(rows, REPEATS, by=["c_nationkey"]).groupBy("c_nationkey", "rep").agg(gap.alias("gap"))
+    mean = F.try_divide("s", "n")
+    dealt = F.max(F.when(own, mean)) - F.max(F.when(~own, mean))  # a row for each group
+    drawn = S.permuted_sums(rows, REPEATS, "key", "group", "x", ["c_nationkey"]).groupBy("c_nationkey", "rep").agg(dealt.alias("gap"))
     seen = rows.groupBy("c_nationkey").agg(gap.alias("seen")).filter("seen is not null")
     out = drawn.join(seen, "c_nationkey").groupBy("c_nationkey", "seen").agg(F.count_if(F.abs("gap") >= F.abs("seen") - 1e-9).alias("k"))
     return out.select("c_nationkey", F.round("seen", 6).alias("gap"), F.round((F.col("k") + 1) / (REPEATS + 1.0), 6).alias("p"))
